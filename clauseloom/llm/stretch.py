@@ -1,0 +1,68 @@
+"""Finding short texts (needles) as stretches of longer texts (hay) that share a key, without forming all pairs.
+
+Keys with few pairs are joined on the key. A hot key (more than PAIRS pairs) is joined on the key and on an anchor: of
+the pieces of the needle that begin after a blank, the one that is rarest in the key's hay. Both ways are exact.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+PAIRS = 4096  # pairs of one key that the plain join may form
+HOT_LISTED = 20_000  # so many hot keys are broadcast; beyond that every key takes the anchored way
+LONG, SHORT = 24, 10  # characters of an anchor, for needles that have such a piece
+
+
+def _pieces(text: str, size: int) -> str:
+    """SQL: the distinct pieces of the given size that begin after a blank of the text."""
+    return (
+        f"array_distinct(transform(filter(sequence(2, greatest(2, length({text}) - {size} + 1)), i -> "
+        f"substring({text}, i - 1, 1) = ' ' and i + {size} - 1 <= length({text})), i -> substring({text}, i, {size})))"
+    )
+
+
+def stretch_pairs(
+    needles: DataFrame, hay: DataFrame, key: str, sizes: tuple[DataFrame, DataFrame], pairs: int = PAIRS
+) -> DataFrame:
+    """Rows of needles joined with rows of hay where hay.hay contains needles.needle and the keys are equal.
+
+    needles: key, needle and other columns; hay: key, hay and other columns, none of the same name. Rows whose key,
+    needle or hay is null give nothing; an empty needle is in every hay of its key. sizes: for the needles and the hay
+    a frame with the key only, one row for each row (cheap to read), by which hot keys are found."""
+    counts = [s.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(f"n{i}")) for i, s in enumerate(sizes)]
+    hot = counts[0].join(counts[1], key).where(F.col("n0") * F.col("n1") > pairs).select(key)
+    listed = [r[0] for r in hot.limit(HOT_LISTED + 1).collect()]
+    inside = F.contains(F.col("hay"), F.col("needle"))
+    if not listed:
+        return needles.join(hay, key).where(inside)
+    if len(listed) <= HOT_LISTED:
+        marks = F.broadcast(needles.sparkSession.createDataFrame([(k,) for k in listed], f"{key} string"))
+        plain = needles.join(marks, key, "left_anti").join(hay.join(marks, key, "left_anti"), key).where(inside)
+        needles, hay = needles.join(marks, key, "left_semi"), hay.join(marks, key, "left_semi")
+    else:
+        plain = None
+    anchored = _anchored(needles, hay, key).where(inside)
+    return anchored if plain is None else plain.unionByName(anchored)
+
+
+def _anchored(needles: DataFrame, hay: DataFrame, key: str) -> DataFrame:
+    parts = []
+    for_long, for_short = (F.size(F.expr(_pieces("needle", n))) > 0 for n in (LONG, SHORT))
+    own = [c for c in needles.columns]
+    for size, rows in ((LONG, needles.where(for_long)), (SHORT, needles.where(~for_long & for_short))):
+        grams = hay.select("*", F.explode(F.expr(_pieces("hay", size))).alias("_anchor"))
+        often = grams.groupBy(key, "_anchor").agg(F.count(F.lit(1)).alias("_often"))
+        ranked = (
+            rows.select("*", F.xxhash64(*own).alias("_row"), F.explode(F.expr(_pieces("needle", size))).alias("_anchor"))
+            .join(often, [key, "_anchor"])
+            .groupBy(key, "_row")
+            .agg(F.min_by(F.struct("_anchor", *[F.col(c).alias(f"_o_{c}") for c in own if c != key]), F.struct("_often", "_anchor")).alias("_b"))
+            .select(key, F.col("_b._anchor").alias("_anchor"), *[F.col(f"_b._o_{c}").alias(c) for c in own if c != key])
+        )
+        parts.append(ranked.join(grams, [key, "_anchor"]).drop("_anchor"))
+    rest = needles.where(~for_long & ~for_short)  # without such a piece (hardly any blank): joined on the key
+    parts.append(rest.join(hay, key))
+    out = parts[0].select(key, *[c for c in parts[0].columns if c != key])
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
