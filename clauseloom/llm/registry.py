@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from clauseloom.llm import p1_lookalikes as p1
+from clauseloom.llm import p1_lookalikes as p1, p3_encoding as p3
 
 QUERIES = {
     "p1_found": p1.p1_found,
     "p1_consistent_passages": p1.p1_consistent_passages,
     "p1_consistent_evidence": p1.p1_consistent_evidence,
+    "p3_found": p3.p3_found,
+    "p3_restored": p3.p3_restored,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -32,6 +32,7 @@ ARMENIAN_LIKE = dict(zip("ՕՍԼօսոհցզ", "OULounhgq"))
 LATIN_LIKE = dict(zip("ɡɑɩʏ", "gaiy"))
 
 _LIKE = {**CYRILLIC_LIKE, **GREEK_LIKE, **ARMENIAN_LIKE, **LATIN_LIKE}
+LOOK_ALIKE = frozenset(_LIKE)
 _BACK = {
     "C": {v: k for k, v in reversed(list(CYRILLIC_LIKE.items()))},
     "G": {v: k for k, v in reversed(list(GREEK_LIKE.items()))},
