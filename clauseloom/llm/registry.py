@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clauseloom.llm import p1_lookalikes as p1, p3_encoding as p3
+from clauseloom.llm import p1_lookalikes as p1, p3_encoding as p3, p7_leaks as p7, p8_spam as p8
 
 QUERIES = {
     "p1_found": p1.p1_found,
@@ -10,5 +10,9 @@ QUERIES = {
     "p1_consistent_evidence": p1.p1_consistent_evidence,
     "p3_found": p3.p3_found,
     "p3_restored": p3.p3_restored,
+    "p7_found": p7.p7_found,
+    "p7_items_leaked": p7.p7_items_leaked,
+    "p8_found": p8.p8_found,
+    "p8_shares": p8.p8_shares,
 }
 ORACLE_SQL: dict[str, str] = {}
