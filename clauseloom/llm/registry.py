@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clauseloom.llm import p1_lookalikes as p1, p3_encoding as p3, p7_leaks as p7, p8_spam as p8
+from clauseloom.llm import p1_lookalikes as p1, p3_encoding as p3, p4_boilerplate as p4, p6_packing as p6, p7_leaks as p7, p8_spam as p8
 
 QUERIES = {
     "p1_found": p1.p1_found,
@@ -10,6 +10,11 @@ QUERIES = {
     "p1_consistent_evidence": p1.p1_consistent_evidence,
     "p3_found": p3.p3_found,
     "p3_restored": p3.p3_restored,
+    "p4_found": p4.p4_found,
+    "p4_cleaned": p4.p4_cleaned,
+    "p4_blocks": p4.p4_blocks,
+    "p6_containers": p6.p6_containers,
+    "p6_fill": p6.p6_fill,
     "p7_found": p7.p7_found,
     "p7_items_leaked": p7.p7_items_leaked,
     "p8_found": p8.p8_found,
