@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from clauseloom.llm import p1_lookalikes as p1, p3_encoding as p3, p4_boilerplate as p4, p6_packing as p6, p7_leaks as p7, p8_spam as p8
+from clauseloom.llm import p1_lookalikes as p1, p2_neighbours as p2, p3_encoding as p3, p4_boilerplate as p4, p5_truncation as p5, p6_packing as p6, p7_leaks as p7, p8_spam as p8
 
 QUERIES = {
     "p1_found": p1.p1_found,
     "p1_consistent_passages": p1.p1_consistent_passages,
     "p1_consistent_evidence": p1.p1_consistent_evidence,
+    "p2_found": p2.p2_found,
     "p3_found": p3.p3_found,
     "p3_restored": p3.p3_restored,
     "p4_found": p4.p4_found,
     "p4_cleaned": p4.p4_cleaned,
     "p4_blocks": p4.p4_blocks,
+    "p5_found": p5.p5_found,
+    "p5_source_rates": p5.p5_source_rates,
+    "p5_length_limits": p5.p5_length_limits,
     "p6_containers": p6.p6_containers,
     "p6_fill": p6.p6_fill,
     "p7_found": p7.p7_found,

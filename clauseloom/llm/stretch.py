@@ -22,9 +22,10 @@ def _pieces(text: str, size: int) -> str:
 
 
 def stretch_pairs(
-    needles: DataFrame, hay: DataFrame, key: str, sizes: tuple[DataFrame, DataFrame], pairs: int = PAIRS
+    needles: DataFrame, hay: DataFrame, key: str, sizes: tuple[DataFrame, DataFrame], view: str = "hay", pairs: int = PAIRS
 ) -> DataFrame:
-    """Rows of needles joined with rows of hay where hay.hay contains needles.needle and the keys are equal.
+    """Rows of needles joined with rows of hay where hay's text contains needles.needle and the keys are equal. view: SQL
+    of the text in which to look, if it is not hay itself.
 
     needles: key, needle and other columns; hay: key, hay and other columns, none of the same name. Rows whose key,
     needle or hay is null give nothing; an empty needle is in every hay of its key. sizes: for the needles and the hay
@@ -32,7 +33,7 @@ def stretch_pairs(
     counts = [s.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(f"n{i}")) for i, s in enumerate(sizes)]
     hot = counts[0].join(counts[1], key).where(F.col("n0") * F.col("n1") > pairs).select(key)
     listed = [r[0] for r in hot.limit(HOT_LISTED + 1).collect()]
-    inside = F.contains(F.col("hay"), F.col("needle"))
+    inside = F.contains(F.expr(view), F.col("needle"))
     if not listed:
         return needles.join(hay, key).where(inside)
     if len(listed) <= HOT_LISTED:
@@ -41,16 +42,16 @@ def stretch_pairs(
         needles, hay = needles.join(marks, key, "left_semi"), hay.join(marks, key, "left_semi")
     else:
         plain = None
-    anchored = _anchored(needles, hay, key).where(inside)
+    anchored = _anchored(needles, hay, key, view).where(inside)
     return anchored if plain is None else plain.unionByName(anchored)
 
 
-def _anchored(needles: DataFrame, hay: DataFrame, key: str) -> DataFrame:
+def _anchored(needles: DataFrame, hay: DataFrame, key: str, view: str) -> DataFrame:
     parts = []
     for_long, for_short = (F.size(F.expr(_pieces("needle", n))) > 0 for n in (LONG, SHORT))
     own = [c for c in needles.columns]
     for size, rows in ((LONG, needles.where(for_long)), (SHORT, needles.where(~for_long & for_short))):
-        grams = hay.select("*", F.explode(F.expr(_pieces("hay", size))).alias("_anchor"))
+        grams = hay.select("*", F.explode(F.expr(_pieces(view, size))).alias("_anchor"))
         often = grams.groupBy(key, "_anchor").agg(F.count(F.lit(1)).alias("_often"))
         ranked = (
             rows.select("*", F.xxhash64(*own).alias("_row"), F.explode(F.expr(_pieces("needle", size))).alias("_anchor"))
