@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clauseloom.llm.stretch import stretch_pairs
+from clauseloom.operators.containment import stretch_pairs
 from clauseloom.llm.textform import consistent_form, squeeze
 from clauseloom.session import table
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from clauseloom.llm.stretch import stretch_pairs
+from clauseloom.operators.containment import stretch_pairs
 from clauseloom.llm.textform import consistent_form
 from clauseloom.session import cut, table
 
