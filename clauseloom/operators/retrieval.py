@@ -33,13 +33,13 @@ def postings(items: DataFrame, key: str, heading: str, text: str) -> DataFrame:
 def bm25(index: DataFrame, key: str, queries: DataFrame, query: str) -> DataFrame:
     """query, key, rank (lower is better) of every item with a term of the query. index: postings; queries: (query,
     terms). Statistics are those of the whole index. Only the postings of query terms are shuffled."""
-    sizes = index.groupBy(key).agg(F.max("size").alias("size")).agg(F.count(F.lit(1)).alias("_items"), F.avg("size").alias("_mean"))
+    items, mean = index.groupBy(key).agg(F.max("size").alias("size")).agg(F.count(F.lit(1)), F.avg("size")).first()
     asked = queries.select(query, F.explode("terms").alias("term")).distinct()
     used = index.join(asked.select("term").distinct(), "term", "left_semi")
-    often = used.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(sizes))  # one row
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("_items") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)))
-    weights = often.select("term", idf.alias("_idf"), "_mean")
-    part = F.col("_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("_mean")))
+    often = used.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    idf = F.greatest(F.lit(1e-6), F.log((F.lit(items) - F.col("_df") + 0.5) / (F.col("_df") + 0.5)))
+    weights = often.select("term", idf.alias("_idf"))
+    part = F.col("_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean or 1.0)))
     scored = used.join(weights, "term").select("term", key, part.alias("_part"))
     return scored.join(asked, "term").groupBy(query, key).agg((-F.sum("_part")).alias("rank"))
 

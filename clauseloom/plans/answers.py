@@ -1 +1,235 @@
-"""Queries."""
+"""Queries on the attempts: deduplication, joins with the codebook, best answers, scores, reconciliation, pivots."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window, functions as F
+
+from clauseloom.functions import text as T
+from clauseloom.operators import answers as A, pages as P
+from clauseloom.plans import SQL_ATTEMPTS, SQL_WS, query
+
+_WSU = f"regexp_replace(lower(trim(coalesce(answer, ''))), '{SQL_WS}+', '_', 'g')"
+_SCORE = f"""CASE WHEN {_WSU} IN ('not_discussed', 'not_discussed.') THEN 'not_discussed' WHEN starts_with({_WSU}, 'discussed_unclear') THEN 'discussed_unclear' WHEN starts_with({_WSU}, 'not_applicable') THEN 'not_applicable'
+    WHEN {_WSU} IN ('no', 'no.', 'none', 'none_specifically_cited') THEN 'no' WHEN regexp_matches(lower(trim(coalesce(answer, ''))), '^no\\s*[,.;:—-]') THEN 'no' WHEN {_WSU} = '' THEN 'not_discussed' ELSE 'substantive' END"""
+_VU = f"regexp_replace({_WSU}, '^[._]+|[._]+$', '', 'g')"
+_VERIFY = f"""CASE WHEN trim(coalesce(answer, '')) = '' THEN 'empty' WHEN starts_with({_VU}, 'not_discussed') THEN 'not_discussed' WHEN starts_with({_VU}, 'discussed_unclear') THEN 'discussed_unclear'
+    WHEN starts_with({_VU}, 'not_applicable') THEN 'not_applicable' WHEN {_VU} IN ('no', 'none', 'none_specifically_cited', 'no_provision') THEN 'no' ELSE 'substantive' END"""
+_CONF = "CASE lower(trim(coalesce(confidence, ''))) WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
+_BEST = f"""scored AS (SELECT *, {_SCORE} AS status FROM att), ranked AS (SELECT *, CASE WHEN status = 'substantive' THEN 10 + CASE WHEN length(trim(coalesce(evidence, ''))) > 0 THEN 5 ELSE 0 END ELSE 0 END + {_CONF} AS score FROM scored),
+    best AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY document_id, question_id ORDER BY score DESC, attempt_id) = 1)"""
+
+
+def _attempts(read, *columns: str) -> DataFrame:
+    return read("attempts").select("attempt_id", *columns).dropDuplicates(["attempt_id"])
+
+
+def _book(read) -> list[str]:
+    return sorted(r[0] for r in read("questions").select("qid").collect())
+
+
+@query(f"WITH {SQL_ATTEMPTS} SELECT {_SCORE} AS scorer, {_VERIFY} AS verifier, coalesce(source, '') AS source, count(*) AS n FROM att GROUP BY ALL")
+def classify_answers(read) -> DataFrame:
+    a = F.col("answer")
+    rows = _attempts(read, "answer", "source").select(T.status_for_score(a).alias("scorer"), T.status_for_verify(a).alias("verifier"), F.coalesce("source", F.lit("")).alias("source"))
+    return rows.groupBy("scorer", "verifier", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ALIASES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.MISSING.items()) + "}"
+
+
+@query(f"WITH {SQL_ATTEMPTS} SELECT coalesce({_ALIASES}[lower(trim(answer))], trim(answer)) AS answer, count(*) AS n FROM att GROUP BY 1")
+def answer_aliases(read) -> DataFrame:
+    return _attempts(read, "answer").groupBy(T.answer_alias(F.col("answer")).alias("answer")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT document_id, question_id, source, max(attempt_id) AS attempt_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id, question_id, source ORDER BY loaded_at DESC, attempt_id DESC) AS rn FROM attempts) WHERE rn = 1 GROUP BY ALL")
+def dedup_last(read) -> DataFrame:
+    """The attempt of each document, question and source that was loaded last."""
+    rows = read("attempts").select("document_id", "question_id", "source", "loaded_at", "attempt_id")
+    return P.latest(rows, ["document_id", "question_id", "source"], ["loaded_at", "attempt_id"]).select("document_id", "question_id", "source", "attempt_id")
+
+
+@query("SELECT evidence, min(attempt_id) AS attempt_id, count(DISTINCT attempt_id) AS n FROM attempts WHERE length(trim(evidence)) > 0 GROUP BY evidence")
+def dedup_first(read) -> DataFrame:
+    """Equal quotations once, by their first attempt."""
+    rows = _attempts(read, "evidence").where(F.length(F.trim("evidence")) > 0)
+    return rows.groupBy("evidence").agg(F.min("attempt_id").alias("attempt_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SQL_ATTEMPTS}, {_BEST} SELECT document_id, question_id, attempt_id, score, status FROM best")
+def argmax_rank(read) -> DataFrame:
+    rows = _attempts(read, "document_id", "question_id", "answer", "evidence", "confidence")
+    best = A.best_answers(rows, ["document_id", "question_id"], ["attempt_id"])
+    return best.select("document_id", "question_id", "attempt_id", "score", T.status_for_score(F.col("answer")).alias("status"))
+
+
+@query(f"""
+    WITH {SQL_ATTEMPTS}, {_BEST}, d AS (SELECT DISTINCT document_id FROM documents), t AS (SELECT document_id, qid AS question_id FROM d, questions)
+    SELECT t.document_id, t.question_id, coalesce(nullif(trim(answer), ''), 'not_discussed') AS answer, coalesce(nullif(trim(confidence), ''), 'unclear') AS confidence, attempt_id IS NOT NULL AS coded
+    FROM t LEFT JOIN best b ON t.document_id = b.document_id AND t.question_id = b.question_id
+""")
+def left_defaults(read) -> DataFrame:
+    """Every document with every question and its best answer, defaults where there is none."""
+    rows = _attempts(read, "document_id", "question_id", "answer", "evidence", "confidence")
+    best = A.best_answers(rows, ["document_id", "question_id"], ["attempt_id"])
+    grid = A.template(read("documents").select("document_id").distinct(), _book(read))
+    full = grid.join(best, ["document_id", "question_id"], "left")
+    return full.select(
+        "document_id", "question_id", A.with_defaults(F.col("answer"), "not_discussed").alias("answer"), A.with_defaults(F.col("confidence"), "unclear").alias("confidence"), F.col("attempt_id").isNotNull().alias("coded")
+    )
+
+
+@query("""
+    WITH d AS (SELECT DISTINCT document_id FROM documents) SELECT document_id, count(*) AS n_pending FROM d, questions q
+    WHERE NOT EXISTS (SELECT 1 FROM attempts a WHERE a.document_id = d.document_id AND a.question_id = q.qid) GROUP BY document_id
+""")
+def pending_anti(read) -> DataFrame:
+    """How many questions of each document no attempt has answered."""
+    grid = A.template(read("documents").select("document_id").distinct(), _book(read))
+    done = read("attempts").select("document_id", "question_id").distinct()
+    return grid.join(done, ["document_id", "question_id"], "left_anti").groupBy("document_id").agg(F.count(F.lit(1)).alias("n_pending"))
+
+
+@query("SELECT doc_id, document_id FROM documents d WHERE EXISTS (SELECT 1 FROM attempts a WHERE a.document_id = d.document_id AND a.grounded)")
+def exists_semi(read) -> DataFrame:
+    """Documents with a grounded attempt."""
+    return read("documents").select("doc_id", "document_id").join(read("attempts").where("grounded").select("document_id"), "document_id", "left_semi").select("doc_id", "document_id")
+
+
+@query("""
+    WITH b AS (SELECT DISTINCT question_id, document_id, evidence FROM attempts WHERE length(evidence) >= 60), n AS (SELECT question_id, document_id, count(*) AS own FROM b GROUP BY ALL)
+    SELECT question_id, document_id, own, (sum(own) OVER (PARTITION BY question_id) - own)::BIGINT AS n_other FROM n
+""")
+def cross_doc_exemplar(read) -> DataFrame:
+    """For each question and document the exemplar quotations of the document and of all others, without pairing them."""
+    own = read("attempts").where(F.length("evidence") >= 60).select("question_id", "document_id", "evidence").distinct().groupBy("question_id", "document_id").agg(F.count(F.lit(1)).alias("own"))
+    every = own.groupBy("question_id").agg(F.sum("own").alias("_all"))
+    return own.join(every, "question_id").select("question_id", "document_id", "own", (F.col("_all") - F.col("own")).alias("n_other"))
+
+
+@query(f"""
+    WITH {SQL_ATTEMPTS}, {_BEST}, d AS (SELECT document_id FROM best GROUP BY document_id HAVING count(*) >= 5)
+    SELECT question_id, count(*) AS n_documents, round(avg((status = 'substantive')::INT), 6) AS rate FROM best WHERE document_id IN (SELECT document_id FROM d) GROUP BY question_id HAVING count(*) >= 3
+""")
+def base_rate(read) -> DataFrame:
+    """How often each question is answered in documents with five answers and more, if three of them have it."""
+    rows = _attempts(read, "document_id", "question_id", "answer", "evidence", "confidence")
+    best = A.best_answers(rows, ["document_id", "question_id"], ["attempt_id"]).select("document_id", "question_id", (T.status_for_score(F.col("answer")) == "substantive").cast("int").alias("sub"))
+    known = best.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 5").select("document_id")
+    return best.join(known, "document_id", "left_semi").groupBy("question_id").agg(F.count(F.lit(1)).alias("n_documents"), F.round(F.avg("sub"), 6).alias("rate")).where("n_documents >= 3")
+
+
+@query(f"""
+    WITH {SQL_ATTEMPTS}, s AS (SELECT document_id, question_id, source, max_by({_SCORE}, attempt_id) AS status FROM att WHERE source IN ('sweep', 'verify') GROUP BY ALL),
+    p AS (SELECT document_id, question_id, max(CASE WHEN source = 'sweep' THEN status END) AS sweep, max(CASE WHEN source = 'verify' THEN status END) AS verify FROM s GROUP BY ALL)
+    SELECT sweep, verify, count(*) AS n FROM p WHERE sweep IS NOT NULL AND verify IS NOT NULL GROUP BY ALL
+""")
+def paired_crosstab(read) -> DataFrame:
+    """How the statuses of two programs go together where both answered."""
+    rows = _attempts(read, "document_id", "question_id", "source", "answer").where(F.col("source").isin("sweep", "verify")).withColumn("status", T.status_for_score(F.col("answer")))
+    last = rows.groupBy("document_id", "question_id", "source").agg(F.max_by("status", "attempt_id").alias("status"))
+    pair = last.groupBy("document_id", "question_id").agg(*[F.max(F.when(F.col("source") == s, F.col("status"))).alias(s) for s in ("sweep", "verify")])
+    return pair.where("sweep is not null and verify is not null").groupBy("sweep", "verify").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+    WITH {SQL_ATTEMPTS}, s AS (SELECT document_id, question_id, coalesce(source, '') AS source, attempt_id, {_SCORE} AS status, list_distinct(regexp_extract_all(coalesce(page, ''), '[0-9]+')) AS pages FROM att),
+    gold AS (SELECT document_id, question_id, max_by(status, attempt_id) AS status, max_by(pages, attempt_id) AS pages FROM s WHERE source = 'reviewer' GROUP BY ALL),
+    j AS (SELECT s.source, (s.status = g.status)::INT AS status_ok, CASE WHEN g.status = 'not_discussed' THEN 1 ELSE list_has_any(s.pages, g.pages)::INT END AS page_ok FROM s JOIN gold g ON s.document_id = g.document_id AND s.question_id = g.question_id WHERE s.source <> 'reviewer')
+    SELECT source, count(*) AS n, round(avg(status_ok), 4) AS status, round(avg(page_ok), 4) AS page, round(avg(status_ok * page_ok), 4) AS overall FROM j GROUP BY source
+""")
+def score_flags(read) -> DataFrame:
+    """The answers of each program scored by the reviewers' as a key: status, page, both."""
+    pages = F.array_distinct(F.regexp_extract_all(F.coalesce("page", F.lit("")), F.lit("[0-9]+"), F.lit(0)))
+    rows = _attempts(read, "document_id", "question_id", "source", "answer", "page").select("attempt_id", "document_id", "question_id", F.coalesce("source", F.lit("")).alias("source"), T.status_for_score(F.col("answer")).alias("status"), pages.alias("pages"))
+    gold = rows.where("source = 'reviewer'").groupBy("document_id", "question_id").agg(F.max_by(F.struct("status", "pages"), "attempt_id").alias("g"))
+    both = rows.where("source <> 'reviewer'").join(gold, ["document_id", "question_id"])
+    status = (F.col("status") == F.col("g.status")).cast("int")
+    page = F.when(F.col("g.status") == "not_discussed", 1).otherwise(F.arrays_overlap("pages", "g.pages").cast("int"))
+    flags = both.select("source", status.alias("s"), page.alias("p"))
+    return flags.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 4).alias("status"), F.round(F.avg("p"), 4).alias("page"), F.round(F.avg(F.col("s") * F.col("p")), 4).alias("overall"))
+
+
+@query(f"WITH {SQL_ATTEMPTS}, {_BEST}, b AS (SELECT document_id, question_id, coalesce(nullif(trim(answer), ''), 'not_discussed') AS answer FROM best) PIVOT b ON question_id USING first(answer) GROUP BY document_id")
+def wide_pivot(read) -> DataFrame:
+    """Documents by questions: the best answer of each, in the codebook's columns."""
+    rows = _attempts(read, "document_id", "question_id", "answer", "evidence", "confidence")
+    best = A.best_answers(rows, ["document_id", "question_id"], ["attempt_id"]).withColumn("answer", A.with_defaults(F.col("answer"), "not_discussed"))
+    return best.groupBy("document_id").pivot("question_id", _book(read)).agg(F.first("answer"))
+
+
+@query(f"""
+    WITH {SQL_ATTEMPTS}, u AS (SELECT attempt_id, unnest(['answer', 'evidence', 'page', 'confidence', 'coder_notes']) AS field, unnest([answer, evidence, page, confidence, coder_notes]) AS value FROM att)
+    SELECT field, count(*) AS n, sum((value IS NULL OR trim(value) = '')::INT)::BIGINT AS n_blank, sum((field = 'confidence' AND lower(trim(coalesce(value, ''))) NOT IN ('high', 'medium', 'low'))::INT)::BIGINT AS n_invalid, count(DISTINCT value) AS n_distinct FROM u GROUP BY field
+""")
+def unpivot_validate(read) -> DataFrame:
+    """The text fields of the attempts one below the other, and what is wrong with each."""
+    fields = ["answer", "evidence", "page", "confidence", "coder_notes"]
+    long = _attempts(read, *fields).unpivot("attempt_id", fields, "field", "value")
+    blank = F.col("value").isNull() | (F.trim("value") == "")
+    invalid = (F.col("field") == "confidence") & ~F.lower(F.trim(F.coalesce("value", F.lit("")))).isin("high", "medium", "low")
+    n = lambda c: F.sum(c.cast("long"))
+    return long.groupBy("field").agg(F.count(F.lit(1)).alias("n"), n(blank).alias("n_blank"), n(invalid).alias("n_invalid"), F.countDistinct("value").alias("n_distinct"))
+
+
+@query(f"""
+    WITH {SQL_ATTEMPTS} SELECT coalesce(source, '') AS source, lower(trim(coalesce(confidence, ''))) AS confidence, count(*) AS n, count(DISTINCT document_id) AS n_documents, grouping(source, confidence) AS level
+    FROM (SELECT coalesce(source, '') AS source, lower(trim(coalesce(confidence, ''))) AS confidence, document_id FROM att) GROUP BY ROLLUP (source, confidence)
+""")
+def confidence_rollup(read) -> DataFrame:
+    rows = _attempts(read, "source", "confidence", "document_id").select(F.coalesce("source", F.lit("")).alias("source"), F.lower(F.trim(F.coalesce("confidence", F.lit("")))).alias("confidence"), "document_id")
+    rolled = rows.rollup("source", "confidence").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("document_id").alias("n_documents"), F.grouping_id().alias("level"))
+    return rolled.select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("confidence", F.lit("")).alias("confidence"), "n", "n_documents", "level")
+
+
+@query(f"""
+    WITH {SQL_ATTEMPTS} SELECT coalesce(source, '') AS source, pass_no, count(*) AS n, sum((coalesce(grounding_error, '') <> '')::INT)::BIGINT AS n_error, round(avg((coalesce(grounding_error, '') <> '')::INT), 6) AS share, avg((coalesce(grounding_error, '') <> '')::INT) > 0.05 AS damaged FROM att GROUP BY ALL
+""")
+def error_share(read) -> DataFrame:
+    """Runs (source and pass) with more than one error in twenty."""
+    bad = (F.coalesce("grounding_error", F.lit("")) != "").cast("int")
+    rows = _attempts(read, "source", "pass_no", "grounding_error").groupBy(F.coalesce("source", F.lit("")).alias("source"), "pass_no")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(bad).alias("n_error"), F.round(F.avg(bad), 6).alias("share"), (F.avg(bad) > 0.05).alias("damaged"))
+
+
+@query(f"""
+    WITH {SQL_ATTEMPTS}, r AS (SELECT document_id, question_id, source, attempt_id, answer, evidence, grounded FROM att WHERE source IN ('sweep', 'verify') QUALIFY row_number() OVER (PARTITION BY document_id, question_id, source ORDER BY attempt_id DESC) = 1),
+    c AS (SELECT *, {_SCORE} AS status, {_SCORE} = 'substantive' AND length(trim(coalesce(evidence, ''))) > 0 AS solid, list_distinct(list_transform(regexp_extract_all(coalesce(answer, ''), '\\d[\\d,]*\\.?\\d*'), lambda x: regexp_replace(replace(x, ',', ''), '\\.$', ''))) AS fig FROM r),
+    p AS (SELECT document_id, question_id, max(CASE WHEN source = 'sweep' THEN {{'a': coalesce(answer, ''), 'e': coalesce(evidence, ''), 's': status, 'ok': solid, 'f': fig, 'g': coalesce(grounded, false)}} END) AS x, max(CASE WHEN source = 'verify' THEN {{'a': coalesce(answer, ''), 'e': coalesce(evidence, ''), 's': status, 'ok': solid, 'f': fig, 'g': coalesce(grounded, false)}} END) AS y FROM c GROUP BY ALL),
+    z AS (SELECT *, coalesce(x.ok, false) AS xo, coalesce(y.ok, false) AS yo, coalesce(x.ok, false) AND coalesce(y.ok, false) AND y.g AND len(list_filter(y.f, lambda v: NOT list_contains(x.f, v))) > 0 AS adds FROM p)
+    SELECT document_id, question_id, CASE WHEN adds THEN x.a || '; also (verify): ' || y.a WHEN xo THEN x.a WHEN yo THEN y.a
+      ELSE coalesce(nullif(CASE WHEN x.s = 'no' THEN x.a WHEN y.s = 'no' THEN y.a WHEN x IS NOT NULL THEN x.a ELSE y.a END, ''), 'not_discussed') END AS answer,
+      CASE WHEN xo THEN x.e WHEN yo THEN y.e ELSE '' END AS evidence, CASE WHEN xo THEN 'sweep' WHEN yo THEN 'verify' ELSE '' END AS base, CASE WHEN adds THEN 1 ELSE 0 END AS n_added FROM z
+""")
+def reconcile_sources(read) -> DataFrame:
+    """The latest answers of two programs made one, the first leading."""
+    rows = _attempts(read, "document_id", "question_id", "source", "answer", "evidence", "grounded").where(F.col("source").isin("sweep", "verify"))
+    last = P.latest(rows, ["document_id", "question_id", "source"], ["attempt_id"])
+    return A.reconcile(last, ["document_id", "question_id"], ["sweep", "verify"])
+
+
+@query()
+def variant_fold(read) -> DataFrame:
+    """For each document and question the different substantive answers joined."""
+    rows = _attempts(read, "document_id", "question_id", "answer").where(T.status_for_score(F.col("answer")) == "substantive")
+    return A.fold_variants(rows, ["document_id", "question_id"], ["attempt_id"])
+
+
+@query(f"""
+    WITH {SQL_ATTEMPTS}, r AS (SELECT question_id, attempt_id, page, row_number() OVER (PARTITION BY document_id ORDER BY attempt_id) AS n FROM att)
+    SELECT attempt_id, CASE WHEN regexp_matches(page, '[0-9]\\s*[-–]\\s*[0-9]') AND len(i) >= 2 AND list_max(i) - list_min(i) <= 30 THEN range(list_min(i), list_max(i) + 1) ELSE list_sort(list_distinct(i)) END AS pages
+    FROM (SELECT attempt_id, page, list_transform(regexp_extract_all(page, '[0-9]+'), lambda x: x::INTEGER) AS i FROM r WHERE page IS NOT NULL)
+""")
+def page_references(read) -> DataFrame:
+    return _attempts(read, "page").where("page is not null").select("attempt_id", T.page_list(F.col("page")).alias("pages"))
+
+
+@query(f"""
+    WITH {SQL_ATTEMPTS}, g AS (SELECT question_id, split_part(question_id, '_', 1) AS category, row_number() OVER (PARTITION BY split_part(question_id, '_', 1) ORDER BY question_id) AS rn FROM (SELECT DISTINCT question_id FROM att WHERE question_id IS NOT NULL))
+    SELECT question_id, category, (rn - 1) // 6 + 1 AS batch FROM g
+""")
+def question_batches(read) -> DataFrame:
+    """Questions in batches of six within their category."""
+    asked = read("attempts").select("question_id").where("question_id is not null").distinct().withColumn("category", F.split("question_id", "_")[0])
+    rn = F.row_number().over(Window.partitionBy("category").orderBy("question_id"))
+    return asked.select("question_id", "category", (F.floor((rn - 1) / 6) + 1).alias("batch"))
