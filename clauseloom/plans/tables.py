@@ -1 +1,252 @@
-"""Queries."""
+"""Queries on step tables, readings, clauses and the star schema."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from clauseloom.functions import text as T
+from clauseloom.operators import pages as P, readings as D, repair as X, tables as G
+from clauseloom.plans import SQL_ATTEMPTS, SQL_LATEST, SQL_PASSAGES, query, sql_squeeze
+
+_ROW = G.ROW
+_CELLS = rf"""ln AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, string_split(replace(text, chr(12), chr(10)), chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+    rw AS (SELECT doc_id, pos, regexp_extract(line, '{_ROW}', 1) AS kind, regexp_extract(line, '{_ROW}', 2)::BIGINT AS step, regexp_extract_all(regexp_extract(line, '{_ROW}', 3), '\d{{1,3}},\d{{3}}') AS v FROM ln WHERE regexp_matches(line, '{_ROW}')),
+    cells AS (SELECT doc_id, kind, step, pos, generate_subscripts(v, 1) AS lane, replace(unnest(v), ',', '')::BIGINT AS value FROM rw)"""
+
+
+def _cells(read) -> DataFrame:
+    return G.cells(read("documents").where("text is not null").select("doc_id", "text"), "doc_id")
+
+
+@query(f"WITH {_CELLS} SELECT doc_id, kind, count(*) AS n_cells, count(DISTINCT pos) AS n_rows, count(DISTINCT step) AS n_steps, max(lane) AS n_lanes, sum(value)::BIGINT AS total FROM cells GROUP BY ALL")
+def grid_cells(read) -> DataFrame:
+    c = _cells(read).groupBy("doc_id", "kind")
+    return c.agg(F.count(F.lit(1)).alias("n_cells"), F.countDistinct("at").alias("n_rows"), F.countDistinct("step").alias("n_steps"), F.max("lane").alias("n_lanes"), F.sum("value").alias("total"))
+
+
+@query(f"""
+    WITH {_CELLS}, l AS (SELECT doc_id, kind, step, lane, max_by(value, pos) AS value FROM cells GROUP BY ALL)
+    SELECT doc_id, kind, step, {", ".join(f"max(CASE WHEN lane = {i} THEN value END) AS lane_{i}" for i in range(1, 6))} FROM l GROUP BY doc_id, kind, step
+""")
+def grid_pivot(read) -> DataFrame:
+    return G.grid(_cells(read), ["doc_id", "kind"], 5)
+
+
+@query(f"""
+    WITH {_CELLS}, s AS (SELECT doc_id, kind, list_sort(list(DISTINCT step)) AS s FROM cells GROUP BY ALL), g AS (SELECT *, list_filter(range(s[1], s[-1] + 1), lambda x: NOT list_contains(s, x)) AS gone FROM s)
+    SELECT doc_id, kind, len(s) AS n_steps, CASE WHEN len(s) >= 4 AND len(gone) <= greatest(2.0, (s[-1] - s[1]) / 4) THEN gone ELSE [] END AS missing FROM g
+""")
+def gap_detect(read) -> DataFrame:
+    steps = _cells(read).groupBy("doc_id", "kind").agg(F.array_sort(F.collect_set("step")).alias("s"))
+    return steps.select("doc_id", "kind", F.size("s").cast("long").alias("n_steps"), F.array_sort(G.missing_steps(F.col("s"))).alias("missing"))
+
+
+@query(f"WITH {_CELLS} SELECT doc_id, kind, step, count(DISTINCT pos) AS n FROM cells GROUP BY ALL HAVING count(DISTINCT pos) > 1")
+def duplicate_labels(read) -> DataFrame:
+    return _cells(read).groupBy("doc_id", "kind", "step").agg(F.countDistinct("at").alias("n")).where("n > 1")
+
+
+@query(f"""
+    WITH {_CELLS}, l AS (SELECT doc_id, kind, lane, step, max_by(value, pos) AS value FROM cells GROUP BY ALL), d AS (SELECT *, value - lag(value) OVER (PARTITION BY doc_id, kind, lane ORDER BY step) AS d FROM l)
+    SELECT doc_id, kind, lane, count(*) AS n, coalesce(count(*) >= 5 AND min(d) = max(d) AND min(d) <> 0, false) AS uniform FROM d GROUP BY ALL
+""")
+def uniform_progression(read) -> DataFrame:
+    return G.progressions(_cells(read), ["doc_id", "kind"])
+
+
+@query(f"""
+    WITH {_CELLS}, r AS (SELECT doc_id, kind, pos, list(value ORDER BY lane) AS v FROM cells GROUP BY ALL), g AS (SELECT doc_id, kind, v, count(*) AS n FROM r GROUP BY ALL)
+    SELECT doc_id, kind, sum(n)::BIGINT AS n_rows, max(n) AS most, sum(n) > 2 AND max(n) > 0.7 * sum(n) AS collapsed FROM g GROUP BY doc_id, kind
+""")
+def row_collapse(read) -> DataFrame:
+    """Tables most of whose rows are the same."""
+    rows = _cells(read).groupBy("doc_id", "kind", "at").agg(F.transform(F.array_sort(F.collect_list(F.struct("lane", "value"))), lambda x: x["value"]).alias("v"))
+    same = rows.groupBy("doc_id", "kind", "v").agg(F.count(F.lit(1)).alias("n"))
+    return same.groupBy("doc_id", "kind").agg(F.sum("n").alias("n_rows"), F.max("n").alias("most"), ((F.sum("n") > 2) & (F.max("n") > 0.7 * F.sum("n"))).alias("collapsed"))
+
+
+@query(f"""
+    WITH {_CELLS}, c AS (SELECT doc_id, value, count(*) FILTER (WHERE kind = 'Step') AS a, count(*) FILTER (WHERE kind = 'Year') AS b FROM cells GROUP BY ALL)
+    SELECT doc_id, round(sum(least(a, b)) / greatest(sum(a), sum(b)), 6) AS overlap FROM c GROUP BY doc_id HAVING sum(a) > 0 AND sum(b) > 0
+""")
+def grid_overlap(read) -> DataFrame:
+    """How far the step table and the year table of a document hold the same values."""
+    n = lambda k: F.sum((F.col("kind") == k).cast("long"))
+    counts = _cells(read).groupBy("doc_id", "value").agg(n("Step").alias("a"), n("Year").alias("b"))
+    return G.multiset_overlap(counts, ["doc_id"], F.col("a"), F.col("b"), "value").select("doc_id", F.round("overlap", 6).alias("overlap"))
+
+
+@query("""
+    WITH s AS (SELECT l_orderkey, count(*) AS n_values, CASE WHEN count(*) < 4 THEN '#' || l_orderkey ELSE md5(array_to_string(list_sort(list(l_partkey)), ',')) END AS s FROM lineitem GROUP BY l_orderkey)
+    SELECT l_orderkey, n_values, min(l_orderkey) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS members FROM s
+""")
+def multiset_classes(read) -> DataFrame:
+    """Orders with the same multiset of parts: one row an order with its class."""
+    return G.multiset_classes(read("lineitem"), "l_orderkey", "l_partkey")
+
+
+@query("""
+    WITH s AS (SELECT l_orderkey, l_returnflag, list_sort(list(DISTINCT l_suppkey)) AS v, count(*) AS n FROM lineitem GROUP BY ALL)
+    SELECT md5(array_to_string(v, ',')) AS signature, len(v) AS n_values, count(*) AS n_columns, sum(n)::BIGINT AS n_rows FROM s GROUP BY v
+""")
+def identical_columns(read) -> DataFrame:
+    """Columns (an order's lines of one return flag) that hold the same distinct suppliers."""
+    cols = read("lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.array_sort(F.collect_set("l_suppkey")).alias("v"), F.count(F.lit(1)).alias("n"))
+    same = cols.groupBy(G.signature(F.col("v")).alias("signature"), F.size("v").cast("long").alias("n_values"))
+    return same.agg(F.count(F.lit(1)).alias("n_columns"), F.sum("n").alias("n_rows"))
+
+
+# --- readings -----------------------------------------------------------------------------------------------------------
+
+_FIG = lambda c: rf"list_distinct(list_transform(regexp_extract_all({c}, '\d[\d,]*\.?\d*'), lambda x: regexp_replace(replace(x, ',', ''), '\.$', '')))"
+
+
+@query(f"""
+    WITH {SQL_LATEST}, {SQL_PASSAGES}, a AS (SELECT document_id, unnest(string_split(text, chr(12))) AS page, generate_subscripts(string_split(text, chr(12)), 1) AS page_no FROM latest WHERE text IS NOT NULL),
+    b AS (SELECT document_id, page_start AS page_no, string_agg(text, chr(10) ORDER BY passage_id) AS passages FROM pas WHERE text IS NOT NULL AND page_start IS NOT NULL GROUP BY ALL),
+    j AS (SELECT coalesce(a.document_id, b.document_id) AS document_id, coalesce(a.page_no, b.page_no) AS page_no, coalesce(page, '') AS page, coalesce(passages, '') AS passages FROM a FULL JOIN b ON a.document_id = b.document_id AND a.page_no = b.page_no),
+    s AS (SELECT *, length(trim(page)) > 0 AS x, length(trim(passages)) > 0 AS y, {_FIG("page")} AS fa, {_FIG("passages")} AS fb FROM j),
+    t AS (SELECT *, CASE WHEN len(list_distinct(list_concat(fa, fb))) = 0 THEN 1.0 ELSE round(len(list_intersect(fa, fb)) / len(list_distinct(list_concat(fa, fb))), 3) END AS sc FROM s)
+    SELECT document_id, page_no, CASE WHEN x AND y THEN CASE WHEN sc >= 0.75 THEN 'passages' ELSE 'page' END WHEN x THEN 'page' WHEN y THEN 'passages' ELSE '' END AS engine, CASE WHEN x AND y THEN sc END AS agreement, (x AND y AND sc < 0.75)::INT AS disputed FROM t
+""")
+def jaccard_arbitration(read) -> DataFrame:
+    """Two readings of each page, the document's and the passages', brought to one by the agreement of their figures."""
+    docs = P.latest(read("documents").select("document_id", "doc_id", "text"), ["document_id"], ["doc_id"]).drop("doc_id")
+    a = P.explode_pages(docs)
+    pas = read("passages").where("text is not null and page_start is not null").select("passage_id", "document_id", F.col("page_start").cast("long").alias("page_no"), "text").dropDuplicates(["passage_id"])
+    # the passages of one page of one document: no more than a page holds
+    b = pas.groupBy("document_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("passage_id", "text"))), lambda x: x["text"]), "\n").alias("passages"))
+    return D.arbitrate(a.join(b, ["document_id", "page_no"], "full"), ["document_id", "page_no"], "page", "passages")
+
+
+@query(r"""
+    WITH p AS (SELECT doc_id, unnest(string_split(text, chr(12))) AS page, generate_subscripts(string_split(text, chr(12)), 1) AS page_no FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT *, list_filter(list_transform(string_split(page, chr(10)), lambda x: trim(x)), lambda x: length(x) > 3) AS lines FROM p WHERE length(trim(page)) > 0)
+    SELECT doc_id, page_no, CASE WHEN len(lines) = 0 THEN 1.0 ELSE round(len(list_distinct(lines)) / len(lines), 6) END AS distinct_lines, CASE WHEN len(lines) = 0 THEN false ELSE len(list_distinct(lines)) / len(lines) < 0.6 END AS repeats,
+      regexp_matches(page, '!\[[^\]]*\]\(https?://|\bimgur\b|\bexample\.com\b') AS invented FROM l
+""")
+def page_gate(read) -> DataFrame:
+    """Pages that look generated: repeated lines, references no scan has."""
+    p = P.explode_pages(read("documents").select("doc_id", "text")).where(F.length(F.trim("page")) > 0)
+    share = D.distinct_lines(F.col("page"))
+    return p.select("doc_id", "page_no", F.round(share, 6).alias("distinct_lines"), (share < D.DISTINCT).alias("repeats"), D.invented(F.col("page")).alias("invented"))
+
+
+@query()
+def page_compression(read) -> DataFrame:
+    """How far each page deflates; far means a repetition loop."""
+    p = P.explode_pages(read("documents").select("doc_id", "text"))
+    return D.compression(p, ["doc_id", "page_no"], "page").select("doc_id", "page_no", F.round("ratio", 6).alias("ratio"), "loop")
+
+
+@query(f"""
+    WITH {SQL_ATTEMPTS} SELECT attempt_id, round(levenshtein(evidence, coalesce(alt_evidence, '')) / greatest(1, length(coalesce(alt_evidence, ''))), 6) AS cer FROM att WHERE evidence IS NOT NULL AND length(trim(alt_evidence)) > 0 AND length(evidence) > 0
+      AND regexp_full_match(evidence, '[ -~]*') AND regexp_full_match(alt_evidence, '[ -~]*')
+""")
+def edit_distance(read) -> DataFrame:
+    """Character error rate of the evidence against the alternative one, where both are plain ASCII."""
+    rows = read("attempts").select("attempt_id", "evidence", "alt_evidence").dropDuplicates(["attempt_id"])
+    rows = rows.where("evidence is not null and length(evidence) > 0 and length(trim(alt_evidence)) > 0").where(F.col("evidence").rlike("^[ -~]*$") & F.col("alt_evidence").rlike("^[ -~]*$"))
+    return rows.select("attempt_id", F.round(D.error_rate(F.col("evidence"), F.col("alt_evidence")), 6).alias("cer"))
+
+
+@query()
+def word_error_rate(read) -> DataFrame:
+    """Word error rate of each question's wording against the note for its extraction."""
+    return D.word_errors(read("questions"), "qid", "question", "extract_note")
+
+
+# --- clauses --------------------------------------------------------------------------------------------------------------
+
+WEIGHTS = {"must": 1.0, "shall": 1.0, "will": 0.9, "should": 0.7, "ought": 0.7, "need": 0.7, "may": 0.3, "can": 0.3, "could": 0.2, "might": 0.1}
+_MODAL = r"regexp_extract(regexp_replace(lower(s), '\([^)]*\)', ' ', 'g'), '\b(must|shall|will|should|ought|need|may|can|could|might)\b', 1)"
+
+
+@query(rf"""
+    WITH {SQL_PASSAGES}, st AS (SELECT document_id, unnest(list_filter(string_split(regexp_replace(text, '([.;:!?]){T.WS}+', '\1' || chr(31), 'g'), chr(31)), lambda x: length(x) >= 25)[1:120]) AS s FROM pas WHERE text IS NOT NULL),
+    m AS (SELECT document_id, {_MODAL} AS modal, regexp_matches(lower(s), '\b(must|shall|will|should|ought|need|may|can|could|might)\s+not\b') AS neg FROM st),
+    w AS (SELECT document_id, CASE modal WHEN 'must' THEN 1.0 WHEN 'shall' THEN 1.0 WHEN 'will' THEN 0.9 WHEN 'should' THEN 0.7 WHEN 'ought' THEN 0.7 WHEN 'need' THEN 0.7 WHEN 'may' THEN 0.3 WHEN 'can' THEN 0.3 WHEN 'could' THEN 0.2 ELSE 0.1 END::DOUBLE AS w,
+      CASE WHEN neg THEN 'prohibition' WHEN modal IN ('may', 'can', 'could', 'might') THEN 'permission' ELSE 'obligation' END AS type FROM m WHERE modal <> '')
+    SELECT document_id, round(sum(CASE WHEN type = 'obligation' THEN w ELSE 0 END), 4) AS obligation, round(sum(CASE WHEN type = 'permission' THEN w ELSE 0 END), 4) AS permission, round(sum(CASE WHEN type = 'prohibition' THEN w ELSE 0 END), 4) AS prohibition,
+      count(*) AS n_clauses, round(sum(CASE WHEN type = 'obligation' THEN w ELSE 0 END) / CASE WHEN sum(w) = 0 THEN 1 ELSE sum(w) END, 6) AS share_obligation FROM w GROUP BY document_id
+""")
+def weighted_buckets(read) -> DataFrame:
+    """Sentences with a modal verb, weighted by its strength and summed by what they state."""
+    rows = read("passages").where("text is not null").select("passage_id", "document_id", "text").dropDuplicates(["passage_id"])
+    s = P.sentences(rows, "text").select("document_id", T.modal(F.col("sentence")).alias("modal"), F.lower("sentence").rlike(r"\b(must|shall|will|should|ought|need|may|can|could|might)\s+not\b").alias("neg")).where("modal <> ''")
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("modal"))
+    kind = F.when(F.col("neg"), "prohibition").when(F.col("modal").isin("may", "can", "could", "might"), "permission").otherwise("obligation")
+    w = s.select("document_id", weight.alias("w"), kind.alias("type"))
+    part = lambda t: F.sum(F.when(F.col("type") == t, F.col("w")).otherwise(0.0))
+    total = F.sum("w")
+    return w.groupBy("document_id").agg(
+        *[F.round(part(t), 4).alias(t) for t in ("obligation", "permission", "prohibition")], F.count(F.lit(1)).alias("n_clauses"), F.round(part("obligation") / F.when(total == 0, 1.0).otherwise(total), 6).alias("share_obligation")
+    )
+
+
+_CITE = r"(?:Article [IVXLC]+|Section \d+[–-]\d+|§ \d+\.\d+|Sec\. \d+)"
+
+
+@query(rf"""
+    WITH c AS (SELECT doc_id, regexp_extract_all(text, '{_CITE}') AS all_c FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, len(all_c) AS n, list_transform(list_filter(list_zip(all_c, range(len(all_c))), lambda z: list_position(all_c, z[1]) = z[2] + 1), lambda z: z[1])[1:12] AS first_citations FROM c WHERE len(all_c) > 0
+""")
+def law_citations(read) -> DataFrame:
+    """References to articles and sections: how many, and the first twelve different ones."""
+    c = F.regexp_extract_all("text", F.lit(_CITE), F.lit(0))
+    rows = read("documents").where("text is not null").select("doc_id", c.alias("c")).where(F.size("c") > 0)
+    return rows.select("doc_id", F.size("c").cast("long").alias("n"), F.slice(F.array_distinct("c"), 1, 12).alias("first_citations"))
+
+
+@query()
+def keyword_windows(read) -> DataFrame:
+    """Places of "the" words for money in a document, no two nearer than 400 characters, the first three (greedy)."""
+    places = F.expr(r"filter(sequence(1, greatest(1, length(text))), i -> substring(text, i, 1) = '$')")
+    rows = read("documents").where("length(text) > 0").select("doc_id", places.alias("p"))
+    kept = F.aggregate("p", F.array().cast("array<int>"), lambda acc, x: F.when((F.size(acc) < 3) & ((F.size(acc) == 0) | (x - F.element_at(acc, -1) > 400)), F.concat(acc, F.array(x))).otherwise(acc))
+    return rows.select("doc_id", kept.alias("places")).where(F.size("places") > 0)
+
+
+@query()
+def quote_repair(read) -> DataFrame:
+    """Quotations that their document doesn't hold as they are, with the stretch of it that they come from."""
+    q = read("attempts").where(F.length("evidence") >= X.ANCHOR).select("attempt_id", "document_id", F.col("evidence").alias("quote")).dropDuplicates(["attempt_id"])
+    docs = P.latest(read("documents").select("document_id", "doc_id", "text"), ["document_id"], ["doc_id"]).where("text is not null").select("document_id", F.col("text").alias("page"))
+    rows = q.join(docs, "document_id").where(~F.contains("page", "quote"))
+    return X.repair(rows, "attempt_id").where("repaired <> ''")
+
+
+# --- star schema ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT r_regionkey AS key, r_name AS name, 'region' AS source FROM region UNION ALL SELECT n_nationkey, n_name, 'nation' FROM nation")
+def union_positional(read) -> DataFrame:
+    from clauseloom.sources.files import union_by_position
+
+    a = read("region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"), F.lit("region").alias("source"))
+    b = read("nation").select("n_nationkey", "n_name", F.lit("nation").alias("source"))
+    return union_by_position(a, b)
+
+
+@query("""
+    SELECT n_name, o_orderpriority, count(*) AS n_orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL
+""")
+def revenue_by_nation(read) -> DataFrame:
+    """A star join with an aggregate: the dimensions are broadcast by their size, the facts shuffled on the order."""
+    rows = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy("n_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("""
+    WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
+    SELECT user_id, session::BIGINT AS session, count(*) AS n_events, round(sum(value), 4) AS value FROM s GROUP BY ALL
+""")
+def event_sessions(read) -> DataFrame:
+    """Events of a user in sessions that a pause of 30 minutes ends (beyond the reference)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.lag("ts").over(w).isNull() | (F.col("ts") - F.lag("ts").over(w) > F.expr("interval 30 minutes"))
+    rows = read("events").withColumn("new", gap.cast("long")).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n_events"), F.round(F.sum("value"), 4).alias("value"))
