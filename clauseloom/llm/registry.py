@@ -24,4 +24,25 @@ QUERIES = {
     "p8_found": p8.p8_found,
     "p8_shares": p8.p8_shares,
 }
-ORACLE_SQL: dict[str, str] = {}
+_REPEATED = r"""
+WITH dis AS (SELECT document_id, min(lower(trim(district))) AS district FROM documents WHERE length(trim(district)) > 0 GROUP BY document_id),
+pas AS (SELECT DISTINCT passage_id, document_id, text FROM passages),
+size AS (SELECT district, count(DISTINCT document_id) AS docs FROM pas JOIN dis USING (document_id) GROUP BY district),
+lin AS (SELECT passage_id, document_id, district, generate_subscripts(l, 1) AS line_no, trim(regexp_replace(lower(unnest(l)), '[^\p{L}\p{M}]+', ' ', 'g')) AS key
+  FROM (SELECT passage_id, document_id, district, string_split(text, chr(10)) AS l FROM pas JOIN dis USING (document_id) WHERE text IS NOT NULL)),
+sup AS (SELECT district, key, count(DISTINCT document_id) AS n FROM lin WHERE len(string_split(key, ' ')) >= 4 GROUP BY ALL)
+SELECT DISTINCT passage_id, line_no FROM lin JOIN sup USING (district, key) JOIN size USING (district) WHERE n >= 4 AND n >= 0.1 * docs
+"""
+_LEAKS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dr AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 12], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13)),
+ir AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 13))
+SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "p4_found": _REPEATED,
+    "p7_found": _LEAKS,
+    "p7_items_leaked": f"SELECT item_id, count(*) AS n_documents FROM ({_LEAKS}) GROUP BY item_id",
+}
