@@ -141,10 +141,18 @@ def quote_present(quote: Column, text: Column, least: int = 12) -> Column:
     return (F.length(quote) >= least) & (F.contains(text, quote) | ((F.size(words) >= 6) & (hits >= enough)))
 
 
+# Words are delimited by what is no letter, mark, digit or underscore: \b differs between Java and RE2.
+MODALS = "must|shall|will|should|ought|need|may|can|could|might"
+
+
 def modal(c: Column) -> Column:
     """The first modal verb of a sentence, outside parentheses; '' if it has none."""
     bare = F.regexp_replace(F.lower(c), r"\([^)]*\)", " ")
-    return F.regexp_extract(bare, r"\b(must|shall|will|should|ought|need|may|can|could|might)\b", 1)
+    return F.regexp_extract(bare, rf"(^|[^\p{{L}}\p{{M}}\p{{N}}_])({MODALS})($|[^\p{{L}}\p{{M}}\p{{N}}_])", 2)
+
+
+def negated_modal(c: Column) -> Column:
+    return F.lower(c).rlike(rf"(^|[^\p{{L}}\p{{M}}\p{{N}}_])({MODALS})\s+not($|[^\p{{L}}\p{{M}}\p{{N}}_])")
 
 
 def clean_controls(c: Column) -> Column:

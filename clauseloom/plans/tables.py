@@ -159,12 +159,13 @@ def word_error_rate(read) -> DataFrame:
 # --- clauses --------------------------------------------------------------------------------------------------------------
 
 WEIGHTS = {"must": 1.0, "shall": 1.0, "will": 0.9, "should": 0.7, "ought": 0.7, "need": 0.7, "may": 0.3, "can": 0.3, "could": 0.2, "might": 0.1}
-_MODAL = r"regexp_extract(regexp_replace(lower(s), '\([^)]*\)', ' ', 'g'), '\b(must|shall|will|should|ought|need|may|can|could|might)\b', 1)"
+_EDGE = r"[^\p{L}\p{M}\p{N}_]"
+_MODAL = rf"regexp_extract(regexp_replace(lower(s), '\([^)]*\)', ' ', 'g'), '(^|{_EDGE})({T.MODALS})($|{_EDGE})', 2)"
 
 
 @query(rf"""
     WITH {SQL_PASSAGES}, st AS (SELECT document_id, unnest(list_filter(string_split(regexp_replace(text, '([.;:!?]){T.WS}+', '\1' || chr(31), 'g'), chr(31)), lambda x: length(x) >= 25)[1:120]) AS s FROM pas WHERE text IS NOT NULL),
-    m AS (SELECT document_id, {_MODAL} AS modal, regexp_matches(lower(s), '\b(must|shall|will|should|ought|need|may|can|could|might)\s+not\b') AS neg FROM st),
+    m AS (SELECT document_id, {_MODAL} AS modal, regexp_matches(lower(s), '(^|{_EDGE})({T.MODALS})\s+not($|{_EDGE})') AS neg FROM st),
     w AS (SELECT document_id, CASE modal WHEN 'must' THEN 1.0 WHEN 'shall' THEN 1.0 WHEN 'will' THEN 0.9 WHEN 'should' THEN 0.7 WHEN 'ought' THEN 0.7 WHEN 'need' THEN 0.7 WHEN 'may' THEN 0.3 WHEN 'can' THEN 0.3 WHEN 'could' THEN 0.2 ELSE 0.1 END::DOUBLE AS w,
       CASE WHEN neg THEN 'prohibition' WHEN modal IN ('may', 'can', 'could', 'might') THEN 'permission' ELSE 'obligation' END AS type FROM m WHERE modal <> '')
     SELECT document_id, round(sum(CASE WHEN type = 'obligation' THEN w ELSE 0 END), 4) AS obligation, round(sum(CASE WHEN type = 'permission' THEN w ELSE 0 END), 4) AS permission, round(sum(CASE WHEN type = 'prohibition' THEN w ELSE 0 END), 4) AS prohibition,
@@ -173,7 +174,7 @@ _MODAL = r"regexp_extract(regexp_replace(lower(s), '\([^)]*\)', ' ', 'g'), '\b(m
 def weighted_buckets(read) -> DataFrame:
     """Sentences with a modal verb, weighted by its strength and summed by what they state."""
     rows = read("passages").where("text is not null").select("passage_id", "document_id", "text").dropDuplicates(["passage_id"])
-    s = P.sentences(rows, "text").select("document_id", T.modal(F.col("sentence")).alias("modal"), F.lower("sentence").rlike(r"\b(must|shall|will|should|ought|need|may|can|could|might)\s+not\b").alias("neg")).where("modal <> ''")
+    s = P.sentences(rows, "text").select("document_id", T.modal(F.col("sentence")).alias("modal"), T.negated_modal(F.col("sentence")).alias("neg")).where("modal <> ''")
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("modal"))
     kind = F.when(F.col("neg"), "prohibition").when(F.col("modal").isin("may", "can", "could", "might"), "permission").otherwise("obligation")
     w = s.select("document_id", weight.alias("w"), kind.alias("type"))
@@ -200,10 +201,17 @@ def law_citations(read) -> DataFrame:
 
 @query()
 def keyword_windows(read) -> DataFrame:
-    """Places of "the" words for money in a document, no two nearer than 400 characters, the first three (greedy)."""
-    places = F.expr(r"filter(sequence(1, greatest(1, length(text))), i -> substring(text, i, 1) = '$')")
-    rows = read("documents").where("length(text) > 0").select("doc_id", places.alias("p"))
-    kept = F.aggregate("p", F.array().cast("array<int>"), lambda acc, x: F.when((F.size(acc) < 3) & ((F.size(acc) == 0) | (x - F.element_at(acc, -1) > 400)), F.concat(acc, F.array(x))).otherwise(acc))
+    """Places of dollar signs in a document, each more than 400 characters after the last one taken, the first three."""
+    pieces = F.transform(F.split("text", r"\$"), lambda x: F.length(x))
+    rows = read("documents").where("length(text) > 0").select("doc_id", F.slice(pieces, 1, F.size(pieces) - 1).alias("p"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("kept"))
+
+    def step(acc, n):
+        at = acc["at"] + n + 1  # where the sign stands
+        takes = (F.size(acc["kept"]) < 3) & ((F.size(acc["kept"]) == 0) | (at - F.coalesce(F.array_max(acc["kept"]), F.lit(0)) > 400))
+        return F.struct(at.alias("at"), F.when(takes, F.concat(acc["kept"], F.array(at))).otherwise(acc["kept"]).alias("kept"))
+
+    kept = F.aggregate("p", start, step)["kept"]
     return rows.select("doc_id", kept.alias("places")).where(F.size("places") > 0)
 
 
@@ -229,12 +237,12 @@ def union_positional(read) -> DataFrame:
 
 
 @query("""
-    SELECT n_name, o_orderpriority, count(*) AS n_orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL
+    SELECT n_name, o_orderpriority, count(*) AS n_orders, round(sum((l_extendedprice * (1 - l_discount))::DECIMAL(20, 4))::DOUBLE, 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL
 """)
 def revenue_by_nation(read) -> DataFrame:
     """A star join with an aggregate: the dimensions are broadcast by their size, the facts shuffled on the order."""
     rows = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy("n_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    return rows.groupBy("n_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(20,4)")).cast("double"), 2).alias("revenue"))
 
 
 @query("""
