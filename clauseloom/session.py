@@ -29,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer parts than there are cores, as with one small file. Large inputs have
+    more parts than that and stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if 0 < parts < cores else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The cluster's shared folder (spark.checkpoint.dir) is used as it is set; only where nothing is set, as in
     tests on one machine, a temporary folder stands in."""
