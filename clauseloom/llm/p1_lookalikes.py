@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clauseloom.operators.containment import stretch_pairs
 from clauseloom.llm.textform import consistent_form, squeeze
-from clauseloom.session import table
+from clauseloom.session import spread, table
 
 LEAST = 20  # characters of the evidence in consistent form
 
@@ -50,7 +50,7 @@ def _forms(df: DataFrame, ident: str, text: str, least: int = 0) -> DataFrame:
             cols = [b.column(0).take(at), b.column(1).take(at), pa.array(made, pa.string()), pa.array(stored, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, [ident, "document_id", "consistent", "stored"])
 
-    return df.select(ident, "document_id", text).mapInArrow(
+    return spread(df.select(ident, "document_id", text)).mapInArrow(
         run, f"{ident} {types[ident]}, document_id string, consistent string, stored string"
     )
 

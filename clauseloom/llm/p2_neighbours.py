@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from clauseloom.session import table
+from clauseloom.session import spread, table
 
 MODEL, DIMENSIONS, NEIGHBOURS = "clausevec-384-r2", 384, 10
 SAMPLE = 20_000  # vectors, about, that the codebooks are fitted on
@@ -280,7 +280,7 @@ def most_similar(vectors: DataFrame, k: int = NEIGHBOURS, candidates: int = CAND
 
     Vectors that are null, too short, all zero, not finite or of another model are not usable. Equal rows count once; of
     different vectors under one id, the one with the smallest hash."""
-    rows = usable(vectors)
+    rows = spread(usable(vectors))
     hashed = rows.select("passage_id", F.xxhash64("embedding").alias("h"))
     ids = hashed.groupBy("passage_id").agg(F.min("h").alias("h"), F.max("h").alias("_h2"))
     spark = vectors.sparkSession

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clauseloom.llm.textform import LOOK_ALIKE
-from clauseloom.session import table
+from clauseloom.session import spread, table
 
 THRESHOLD = 3.0  # bits by which a pair must be improbable to score above zero
 GAP = 8.0  # what a pair of ASCII characters costs a run
@@ -316,6 +316,7 @@ def damaged_passages(passages: DataFrame) -> DataFrame:
     """passage_id, restored, incomplete of the damaged passages, each once (equal rows give equal results; of different
     texts under one id the one that sorts first is kept). Rows without an id are left out."""
     rows = passages.where("passage_id is not null and text is not null").select("passage_id", "text")
+    rows = spread(rows)
     pairs, single = corpus_counts(rows.select("text"))
     return (
         repaired(rows, pairs, single).groupBy("passage_id").agg(F.min(F.struct("restored", "incomplete")).alias("r")).select("passage_id", "r.restored", "r.incomplete")

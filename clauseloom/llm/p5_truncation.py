@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clauseloom.operators.containment import stretch_pairs
 from clauseloom.llm.textform import consistent_form
-from clauseloom.session import cut, table
+from clauseloom.session import cut, spread, table
 
 NEIGHBOURS = 10  # lengths on either side that a hazard is tested against
 FALSE_DISCOVERIES = 0.01
@@ -113,7 +113,7 @@ def _lined(passages: DataFrame) -> DataFrame:
             made = pa.array([consistent_form(t, keep_lines=True) for t in b.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), made], ["document_id", "hay"])
 
-    return passages.select("document_id", "text").mapInArrow(run, "document_id string, hay string")
+    return spread(passages.select("document_id", "text")).mapInArrow(run, "document_id string, hay string")
 
 
 def cut_evidence(attempts: DataFrame, passages: DataFrame) -> DataFrame:

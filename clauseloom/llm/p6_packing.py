@@ -16,7 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from clauseloom.session import cut, table
+from clauseloom.session import cut, spread, table
 
 CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -45,7 +45,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
             sizes = pa.array([len(encode(texts[i])) for i in keep], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), sizes], ["doc_id", "n_tokens"])
 
-    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long")
 
 
 class OpenContainers:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clauseloom.session import cut, table
+from clauseloom.session import cut, spread, table
 
 RUN = 13  # consecutive words that make a leak
 BLOCK_WORDS = 500_000  # words of items searched for at once
@@ -116,7 +116,7 @@ def _search(documents: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
 def leaks(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id where the document's text holds RUN consecutive words of the item's text; each pair once. Null and
     short texts hold nothing; rows without an id are left out."""
-    rows = documents.where("doc_id is not null").where(F.length("text") >= 2 * RUN - 1).select("doc_id", "text")
+    rows = spread(documents.where("doc_id is not null").where(F.length("text") >= 2 * RUN - 1).select("doc_id", "text"))
     blocks: list[list[tuple[int, str]]] = [[]]
     out: DataFrame | None = None
     size = 0

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clauseloom.session import cut, table
+from clauseloom.session import cut, spread, table
 
 ORDER = 4
 BLOCK_TOKENS = 25  # short lines are joined until a block has so many tokens
@@ -214,16 +214,16 @@ def blocks_of(documents: DataFrame, bits: np.ndarray, usual: float) -> DataFrame
 def spam_shares(documents: DataFrame, prose: DataFrame) -> DataFrame:
     """doc_id, share of characters in spam blocks, for documents with text; null, empty and blank texts are left out.
     documents: doc_id, text; prose: text to train on."""
-    counts = ngram_counts(prose.where("text is not null").select("text"))
+    counts = ngram_counts(spread(prose.where("text is not null").select("text")))
     bits = bits_table(counts)
     usual = float((counts * bits).sum() / max(1.0, counts.sum())) or float(np.log2(K))
-    rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    rows = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
     blocks = cut(blocks_of(rows, bits, usual))
     middle = blocks.select(F.percentile_approx("bits", 0.5, 1000).alias("m")).first()["m"]
     if middle is None:
         return blocks.select("doc_id", F.lit(0.0).alias("share"))
-    spread = blocks.select(F.percentile_approx(F.abs(F.col("bits") - middle), 0.5, 1000).alias("m")).first()["m"] * 1.4826 * SPREAD
-    abnormal = (F.abs(F.col("bits") - middle) > spread) & (F.abs(F.col("bits") - usual) >= NEAR * usual)
+    width = blocks.select(F.percentile_approx(F.abs(F.col("bits") - middle), 0.5, 1000).alias("m")).first()["m"] * 1.4826 * SPREAD
+    abnormal = (F.abs(F.col("bits") - middle) > width) & (F.abs(F.col("bits") - usual) >= NEAR * usual)
     kind = (F.col("linked") >= LINKED) | ((F.col("repeated") >= REPEATED) & (F.col("numbers") < NUMBERS) & (F.col("clause") < CLAUSE))
     return blocks.groupBy("doc_id").agg((F.sum(F.when(abnormal & kind, F.col("chars")).otherwise(0)) / F.sum("chars")).alias("share"))
 
