@@ -1,7 +1,8 @@
 """Finding short texts (needles) as stretches of longer texts (hay) that share a key, without forming all pairs.
 
 Keys with few pairs are joined on the key. A hot key (more than PAIRS pairs) is joined on the key and on an anchor: of
-the pieces of the needle that begin after a blank, the one that is rarest in the key's hay. Both ways are exact.
+the runs of whole words inside the needle, the one that is rarest in the key's hay. Both ways are exact. Words are what
+single blanks delimit. Only anchors and hashes of rows are shuffled before the matching texts are fetched.
 """
 
 from __future__ import annotations
@@ -10,15 +11,15 @@ from pyspark.sql import DataFrame, functions as F
 
 PAIRS = 4096  # pairs of one key that the plain join may form
 HOT_LISTED = 20_000  # so many hot keys are broadcast; beyond that every key takes the anchored way
-LONG, SHORT = 24, 10  # characters of an anchor, for needles that have such a piece
+RUNS = (4, 2, 1)  # words of an anchor: the longest run that a needle has inside
 
 
-def _pieces(text: str, size: int) -> str:
-    """SQL: the distinct pieces of the given size that begin after a blank of the text."""
-    return (
-        f"array_distinct(transform(filter(sequence(2, greatest(2, length({text}) - {size} + 1)), i -> "
-        f"substring({text}, i - 1, 1) = ' ' and i + {size} - 1 <= length({text})), i -> substring({text}, i, {size})))"
-    )
+def _runs(text: str, size: int, inner: bool) -> str:
+    """SQL: the distinct runs of `size` words of the text; inner: without the first and last word, which may be parts of
+    words of the hay."""
+    words = f"split({text}, ' ')"
+    words = f"slice({words}, 2, greatest(0, size({words}) - 2))" if inner else words
+    return f"array_distinct(transform(sequence(1, greatest(1, size({words}) - {size - 1})), i -> array_join(slice({words}, i, {size}), ' ')))"
 
 
 def stretch_pairs(
@@ -29,7 +30,7 @@ def stretch_pairs(
 
     needles: key, needle and other columns; hay: key, hay and other columns, none of the same name. Rows whose key,
     needle or hay is null give nothing; an empty needle is in every hay of its key. sizes: for the needles and the hay
-    a frame with the key only, one row for each row (cheap to read), by which hot keys are found."""
+    a frame with the key only, one row for each row (cheap to read), by which hot keys are found. Equal rows may count once."""
     counts = [s.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(f"n{i}")) for i, s in enumerate(sizes)]
     hot = counts[0].join(counts[1], key).where(F.col("n0") * F.col("n1") > pairs).select(key)
     listed = [r[0] for r in hot.limit(HOT_LISTED + 1).collect()]
@@ -47,23 +48,27 @@ def stretch_pairs(
 
 
 def _anchored(needles: DataFrame, hay: DataFrame, key: str, view: str) -> DataFrame:
-    parts = []
-    for_long, for_short = (F.size(F.expr(_pieces("needle", n))) > 0 for n in (LONG, SHORT))
-    own = [c for c in needles.columns]
-    for size, rows in ((LONG, needles.where(for_long)), (SHORT, needles.where(~for_long & for_short))):
-        grams = hay.select("*", F.explode(F.expr(_pieces(view, size))).alias("_anchor"))
+    own = [c for c in needles.columns if c != key]
+    inside = F.greatest(F.lit(0), F.size(F.split("needle", " ")) - 2)
+    texts = hay.where(F.col(key).isNotNull() & F.expr(view).isNotNull()).distinct()
+    texts = texts.withColumn("_hay", F.xxhash64(*texts.columns))
+    rows = needles.where(F.col(key).isNotNull() & F.col("needle").isNotNull()).withColumn("_words", inside)
+    bounds = [(n, RUNS[i - 1] if i else None) for i, n in enumerate(RUNS)]
+    parts = [rows.where(F.col("_words") < RUNS[-1]).drop("_words").join(texts.drop("_hay"), key)]  # one or two words: joined on the key
+    for size, over in bounds:
+        some = rows.where((F.col("_words") >= size) & (F.col("_words") < over if over else F.lit(True))).drop("_words")
+        asked = some.select("*", F.xxhash64(key, *own).alias("_row"), F.explode(F.expr(_runs("needle", size, True))).alias("_anchor"))
+        grams = texts.select(key, "_hay", F.explode(F.expr(_runs(view, size, False))).alias("_anchor"))
+        grams = grams.join(asked.select(key, "_anchor").distinct(), [key, "_anchor"], "left_semi")
         often = grams.groupBy(key, "_anchor").agg(F.count(F.lit(1)).alias("_often"))
-        ranked = (
-            rows.select("*", F.xxhash64(*own).alias("_row"), F.explode(F.expr(_pieces("needle", size))).alias("_anchor"))
-            .join(often, [key, "_anchor"])
+        rarest = (
+            asked.join(often, [key, "_anchor"])
             .groupBy(key, "_row")
-            .agg(F.min_by(F.struct("_anchor", *[F.col(c).alias(f"_o_{c}") for c in own if c != key]), F.struct("_often", "_anchor")).alias("_b"))
-            .select(key, F.col("_b._anchor").alias("_anchor"), *[F.col(f"_b._o_{c}").alias(c) for c in own if c != key])
+            .agg(F.min_by(F.struct("_anchor", *[F.col(c).alias(f"_o_{c}") for c in own]), F.struct("_often", "_anchor")).alias("_b"))
+            .select(key, F.col("_b._anchor").alias("_anchor"), *[F.col(f"_b._o_{c}").alias(c) for c in own])
         )
-        parts.append(ranked.join(grams, [key, "_anchor"]).drop("_anchor"))
-    rest = needles.where(~for_long & ~for_short)  # without such a piece (hardly any blank): joined on the key
-    parts.append(rest.join(hay, key))
-    out = parts[0].select(key, *[c for c in parts[0].columns if c != key])
+        parts.append(rarest.join(grams, [key, "_anchor"]).drop("_anchor").join(texts, [key, "_hay"]).drop("_hay"))
+    out = parts[0].select(key, *own, *[c for c in hay.columns if c != key])
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
