@@ -95,7 +95,7 @@ def traversals(index: Index, counts: dict[int, int], candidates: int) -> dict[in
     orders = []
     for c in (index.first, index.second):
         d = np.maximum(0, (c**2).sum(1)[:, None] - 2 * c @ c.T + (c**2).sum(1)[None, :])
-        np.fill_diagonal(d, -1.0)  # its own centroid comes first, also among equal ones
+        np.fill_diagonal(d, -1e-6)  # its own centroid comes first, also among equal ones
         order = np.argsort(d, axis=1, kind="stable")
         orders.append((order.tolist(), np.take_along_axis(d, order, 1).tolist()))
     (o1, d1), (o2, d2) = orders
@@ -104,20 +104,19 @@ def traversals(index: Index, counts: dict[int, int], candidates: int) -> dict[in
         i, j = divmod(cell, width)
         a, da, b, db = o1[i], d1[i], o2[j], d2[j]
         heap, held, listed, total = [(da[0] + db[0], 0, 0)], 0, [], len(counts)
-        reached = [0] * len(a)  # per row of the grid how far its columns have been pushed
-        reached[0] = 1
+        done = [0] * len(a)  # how many columns of each row of the grid have been taken
         while heap and held <= candidates and len(listed) < total:
             _, p, q = heapq.heappop(heap)
+            done[p] = q + 1
             n = counts.get(a[p] * width + b[q])
             if n:
                 held += n
                 listed.append(a[p] * width + b[q])
-            if q + 1 < len(b) and (p == 0 or reached[p - 1] > q + 1):
+            # a pair is pushed when the later of the two pairs before it is taken
+            if q + 1 < len(b) and (p == 0 or done[p - 1] > q + 1):
                 heapq.heappush(heap, (da[p] + db[q + 1], p, q + 1))
-                reached[p] = q + 2
-            if p + 1 < len(a) and reached[p + 1] == q:
+            if p + 1 < len(a) and done[p + 1] >= q:
                 heapq.heappush(heap, (da[p + 1] + db[q], p + 1, q))
-                reached[p + 1] = q + 1
         out[cell] = listed
     return out
 

@@ -205,13 +205,13 @@ def _undo_utf8(text: str, runs: list[tuple[int, int]], model: Model) -> str:
                 if LOOK_ALIKE.issuperset(m.group()) or (new := _decoded(m.group(), codec)) is None:
                     continue
                 a, b = m.start() + lo, m.end() + lo
-                before, after = text[max(0, a - 1) : a] or "\n", text[b : b + 1] or "\n"
+                before, after = text[max(0, a - 1) : a] or " ", text[b : b + 1] or " "
                 gain = model.badness(before + m.group() + after) - model.badness(before + new + after)
                 if gain >= GAIN:
                     best.append((gain, a, b, new))
     for m in _SHORT.finditer(text):
         a, b = m.span()
-        before, after = text[max(0, a - 1) : a] or "\n", text[b : b + 1] or "\n"
+        before, after = text[max(0, a - 1) : a] or " ", text[b : b + 1] or " "
         stem = b"\xe2\x80" if m.group() == "â€" else b"\xc3"
         ends = _LOST if len(stem) == 2 else (*_LOST, 0xA0, 0xAD)
         options = [(stem + bytes([e])).decode("utf-8") for e in ends]
@@ -242,7 +242,7 @@ def _undo_single(text: str, runs: list[tuple[int, int]], model: Model) -> str:
                 c = text[i]
                 if c < "\x80" or c not in by or c in LOOK_ALIKE or (new := to[by[c]]) == c or "\x80" <= new <= "\x9f":
                     continue
-                before, after = text[i - 1 : i] or "\n", text[i + 1 : i + 2] or "\n"
+                before, after = text[i - 1 : i] or " ", text[i + 1 : i + 2] or " "
                 gain = model.badness(before + c + after) - model.badness(before + new + after)
                 if gain >= WEAK_GAIN:
                     changes.append((i, new))

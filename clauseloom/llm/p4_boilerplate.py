@@ -57,7 +57,7 @@ def _enough() -> F.Column:
 
 
 def _components(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Connected components of one district's nodes (without b1) and edges, as node and number of the block."""
+    """Connected components of one district's edges (a node stands as an edge to itself), as node and number of the block."""
     parent: dict[tuple, tuple] = {}
 
     def root(x: tuple) -> tuple:
@@ -68,10 +68,8 @@ def _components(pdf: pd.DataFrame) -> pd.DataFrame:
         return x
 
     for k1, k2, b1, b2 in zip(pdf.k1, pdf.k2, pdf.b1, pdf.b2):
-        a = root((int(k1), int(k2)))
-        if not pd.isna(b1):
-            b = root((int(b1), int(b2)))
-            parent[max(a, b)] = min(a, b)
+        a, b = root((int(k1), int(k2))), root((int(b1), int(b2)))
+        parent[max(a, b)] = min(a, b)
     roots = {x: root(x) for x in parent}
     number = {r: i for i, r in enumerate(sorted(set(roots.values())))}
     rows = [(pdf.district.iloc[0], k1, k2, number[r]) for (k1, k2), r in roots.items()]
@@ -100,8 +98,7 @@ def repeated_lines(passages: DataFrame, documents: DataFrame) -> DataFrame:
         .where(_enough())
         .select("district", "k1", "k2", "b1", "b2")
     )
-    none = F.lit(None).cast("long")
-    graph = seen.groupBy("district", "k1", "k2").agg(F.lit(1).alias("one")).select("district", "k1", "k2", none.alias("b1"), none.alias("b2")).unionByName(edges)
+    graph = seen.groupBy("district", "k1", "k2").agg(F.lit(1).alias("one")).select("district", "k1", "k2", F.col("k1").alias("b1"), F.col("k2").alias("b2")).unionByName(edges)
     blocks = graph.groupBy("district").applyInPandas(_components, "district string, k1 long, k2 long, block long")
     return seen.join(blocks, ["district", "k1", "k2"]).select("passage_id", "line_no", "district", "block")
 
