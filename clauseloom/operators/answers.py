@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -86,10 +87,8 @@ def same_answer(a: str, b: str, share: float = 0.75) -> bool:
     return a in b or b in a or len(left & right) >= share * min(len(left), len(right))
 
 
-def join_variants(answers: list[str], most: int = 1500) -> str:
-    """Different answers joined in order, the longer wording of those that say the same; as many whole ones as fit."""
-    import re
-
+def kept_variants(answers: list[str]) -> list[str]:
+    """Different answers in order, the longer wording of those that say the same."""
     kept: list[tuple[str, str]] = []
     for answer in answers:
         key = re.sub("[^a-z0-9]+", " ", answer.lower()).strip()
@@ -100,7 +99,12 @@ def join_variants(answers: list[str], most: int = 1500) -> str:
             kept.append((key, answer))
         elif len(key) > len(kept[at][0]):
             kept[at] = (key, answer)
-    parts = [a.strip().rstrip(" .;") for _, a in kept]
+    return [a for _, a in kept]
+
+
+def join_variants(answers: list[str], most: int = 1500) -> str:
+    """The kept variants joined; as many whole ones as fit, and the number of the others."""
+    parts = [a.strip().rstrip(" .;") for a in kept_variants(answers)]
     if len("; ".join(parts)) <= most:
         return "; ".join(parts)
     taken, size = [], 0
@@ -112,21 +116,25 @@ def join_variants(answers: list[str], most: int = 1500) -> str:
     return "; ".join(taken) + f" [+{len(parts) - len(taken)} further variant(s)]"
 
 
-def fold_variants(rows: DataFrame, keys: list[str], order: list[str], most: int = 1500, distinct: int = 200) -> DataFrame:
-    """keys, variants, n: the different answers of a group joined. Equal answers are counted before they are gathered, so
-    a group holds each wording once; beyond `distinct` wordings of a group the longest are folded first and the number of
-    the others is told in n_more, not dropped silently."""
+def fold_variants(rows: DataFrame, keys: list[str], order: list[str], most: int = 1500, chunk: int = 200) -> DataFrame:
+    """keys, variants, n: the different answers of a group joined. Equal wordings are counted before they are gathered;
+    a group with more than `chunk` wordings is folded in pieces of its order first, and what these keep is folded again, so
+    no answer is left out and a task holds what differs. Blank answers and nulls don't count."""
     made = rows.where(F.length(F.trim("answer")) > 0).groupBy(*keys, "answer").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("_at"))
-    w = Window.partitionBy(*keys).orderBy(F.length("answer").desc(), "answer")
-    ranked = made.withColumn("_r", F.row_number().over(w))
-    grouped = ranked.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(F.col("_r") <= distinct, F.struct("_at", "answer")))).alias("a"), F.sum("n").alias("n"), F.sum((F.col("_r") > distinct).cast("long")).alias("n_more")
-    )
-    flat = grouped.select(*keys, F.transform("a", lambda x: x["answer"]).alias("a"), "n", "n_more")
-    names = [f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields if f.name != "a"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rn = F.row_number().over(Window.partitionBy(*keys).orderBy("_at", "answer"))
+    pieces = made.withColumn("_c", F.floor((rn - 1) / chunk)).groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(F.struct("_at", "answer"))).alias("a"), F.sum("n").alias("n"))
+    flat = pieces.select(*keys, "_c", F.transform("a", lambda x: x["answer"]).alias("a"), "n")
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields)
+
+    def thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(a=[kept_variants(list(a)) for a in f["a"]])
+
+    whole = flat.mapInPandas(thin, names).groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_c", "a"))), lambda x: x["a"])).alias("a"), F.sum("n").alias("n"))
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.schema.fields if f.name != "a")
+
+    def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield f.assign(variants=[join_variants(list(a), most) for a in f["a"]]).drop(columns="a")
 
-    return flat.mapInPandas(run, ", ".join([*names, "variants string"]))
+    return whole.mapInPandas(join, f"{names}, variants string")

@@ -52,8 +52,8 @@ def is_heading(c: Column) -> Column:
 
 
 def lines_with_heading(df: DataFrame, key: str) -> DataFrame:
-    """Non-blank lines in order with the heading above each (forward fill in the row's own array: no shuffle); headings
-    themselves are not emitted. key, page_no, line_no, heading, line."""
+    """Non-blank lines with the heading above each, filled forward in the order of pages and lines; headings themselves are
+    not emitted. key, page_no, line_no, heading, line."""
     rows = explode_pages(df).select(key, "page_no", F.posexplode(F.split("page", "\n")).alias("line_no", "line"))
     rows = rows.where(F.length(F.trim(F.col("line"))) > 0).withColumn("line_no", F.col("line_no").cast("long"))
     w = Window.partitionBy(key).orderBy("page_no", "line_no")
@@ -66,7 +66,7 @@ def fixed_chunks(df: DataFrame, size: int, overlap: int, text: str = "text") ->
     """Chunks of `size` characters, each `overlap` into the one before; the last ends with the text. Empty text: none."""
     step = size - overlap
     n = F.length(text)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step)).cast("int"))) 
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step)).cast("int")))
     rows = df.where(n > 0).select("*", F.explode(starts).alias("_i")).withColumn("chunk_no", (F.col("_i") + 1).cast("long"))
     return rows.withColumn("start", (F.col("_i") * step).cast("long")).withColumn("chunk", F.substring(F.col(text), F.col("_i") * step + 1, F.lit(size))).drop("_i", text)
 

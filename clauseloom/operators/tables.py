@@ -39,15 +39,16 @@ def progressions(c: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, "lane", "n", F.coalesce((F.col("n") >= 5) & (F.col("a") == F.col("b")) & (F.col("a") != 0), F.lit(False)).alias("uniform"))
 
 
-def signature(values: Column) -> Column:
-    """One hash for a multiset of values."""
-    return F.md5(F.array_join(F.array_sort(values).cast("array<string>"), ","))
+def signature(value: Column) -> Column:
+    """Aggregate: two hashes for a multiset of values, sums over its members, so that nothing is gathered. Nulls count."""
+    total = lambda seed: F.sum(F.xxhash64(value, F.lit(seed)).cast("decimal(20,0)")).cast("string")
+    return F.concat_ws("/", F.count(F.lit(1)).cast("string"), total(1), total(2))
 
 
 def multiset_classes(rows: DataFrame, key: str, value: str, least: int = 4) -> DataFrame:
     """key, n_values, class_id (the smallest key with the same multiset of values), members: one row a key. Keys with less
     than `least` values are a class of their own."""
-    made = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_values"), signature(F.collect_list(value)).alias("_s"))
+    made = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_values"), signature(F.col(value)).alias("_s"))
     own = F.when(F.col("n_values") < least, F.concat(F.lit("#"), F.col(key).cast("string"))).otherwise(F.col("_s"))
     made = made.withColumn("_s", own)
     facts = made.groupBy("_s").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("members"))

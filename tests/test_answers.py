@@ -28,7 +28,9 @@ def test_variants(spark):
     assert A.join_variants(["alpha one two three", "beta four five six"], most=20).endswith("[+1 further variant(s)]")
     df = spark.createDataFrame([("d", 1, "x y z"), ("d", 2, "x y z"), ("d", 3, "other words here"), ("d", 4, None)], "k string, n long, answer string")
     r = A.fold_variants(df, ["k"], ["n"]).first()
-    assert r.variants == "x y z; other words here" and r.n == 3 and r.n_more == 0
+    assert r.variants == "x y z; other words here" and r.n == 3
+    many = spark.createDataFrame([("d", i, f"answer{i} alone{i} unlike{i}") for i in range(30)], "k string, n long, answer string")
+    assert A.fold_variants(many, ["k"], ["n"], chunk=7).first().variants == A.join_variants([f"answer{i} alone{i} unlike{i}" for i in range(30)])
 
 
 @given(st.lists(st.text("abc ", max_size=12), max_size=6))
