@@ -29,7 +29,9 @@ def earliest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def explode_pages(df: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each page, page_no from 1; empty pages keep their number; null text gives no row."""
+    """A row for each page, page_no from 1; empty pages keep their number; null text gives no row. Columns named as the new
+    ones are replaced (here and in the functions below)."""
+    df = df.drop(*({"page", "page_no", "_p"} - {text}))
     return df.select("*", F.posexplode(T.pages(F.col(text))).alias("_p", "page")).withColumn("page_no", (F.col("_p") + 1).cast("long")).drop("_p", text)
 
 
@@ -64,6 +66,7 @@ def lines_with_heading(df: DataFrame, key: str) -> DataFrame:
 
 def fixed_chunks(df: DataFrame, size: int, overlap: int, text: str = "text") -> DataFrame:
     """Chunks of `size` characters, each `overlap` into the one before; the last ends with the text. Empty text: none."""
+    df = df.drop(*({"chunk", "chunk_no", "start", "_i"} - {text}))
     step = size - overlap
     n = F.length(text)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step)).cast("int")))
@@ -73,6 +76,7 @@ def fixed_chunks(df: DataFrame, size: int, overlap: int, text: str = "text") ->
 
 def sentences(df: DataFrame, text: str, least: int = 25, most: int = 120) -> DataFrame:
     """Sentences of `least` characters and more, the first `most`, numbered from 1, with their start in the text."""
+    df = df.drop(*({"sentence", "sid", "_p"} - {text}))
     parts = F.split(F.regexp_replace(F.col(text), r"([.;:!?])" + T.WS + "+", "$1\u001f"), "\u001f")
     rows = df.select("*", F.posexplode(F.filter(parts, lambda s: F.length(s) >= least)).alias("_p", "sentence")).where(F.col("_p") < most)
     return rows.withColumn("sid", (F.col("_p") + 1).cast("long")).drop("_p", text)

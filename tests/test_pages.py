@@ -58,3 +58,10 @@ def test_status_and_headings(spark):
     assert [r[0] for r in df.select(P.text_status(F.col("d"), F.col("n"))).collect()] == ["ocr_needed", "ocr_needed", "partial_or_ocr_needed", "usable"]
     h = spark.createDataFrame([("ARTICLE V",), ("SALARIES AND WAGES",), ("Teachers go",), ("",), ("A" * 200,)], "s string")
     assert [r[0] for r in h.select(P.is_heading(F.col("s"))).collect()] == [True, True, False, False, False]
+
+
+def test_clashing_columns_are_replaced(spark):
+    df = spark.createDataFrame([(1, "One sentence that is long enough.", 7, 8, 9, 10)], "id int, text string, page int, page_no int, chunk int, sid int")
+    assert P.explode_pages(df).first().page_no == 1
+    assert P.fixed_chunks(df, 10, 2).count() == 4
+    assert P.sentences(df, "text").first().sid == 1

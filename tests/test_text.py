@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from clauseloom.functions import text as T
+from clauseloom.functions import numbers as N, text as T
 
 
 def one(spark, f, *values):
@@ -54,3 +54,14 @@ def test_years_modals_and_fences(spark):
     assert one(spark, T.answer_alias, " N/A ") == "not_applicable"
     assert one(spark, T.figures, "1,200. and 3.5 and 1200") == ["1200", "3.5"]
     assert one(spark, T.search_terms, "What is the pay of a teacher, pay?") == ["pay", "teacher"]
+
+
+def test_values_and_conflicts(spark):
+    assert one(spark, N.dollars, "pays $ 1,250.50 or $3") == "1250.50" and one(spark, N.dollars, "none") is None
+    assert one(spark, N.percentage, "of 7.5 percent") == "7.5"
+    assert one(spark, N.quantity, "within ten days") == "10 days" and one(spark, N.quantity, "ten or 12 weeks") == "12 weeks"
+    assert one(spark, N.date_value, "July 4, 2020 for 2019-21") == "2019-21"
+    assert one(spark, N.word_digit_conflicts, "eighty (8) and ten (10)") == 1
+    assert one(spark, N.sum_conflicts, "202 days (192 days + 10) and 5 days (3 days + 1") == 1
+    for token, text, there in [("12", "112 or 12.", True), ("12", "112", False), ("12", "twelve days", True), ("pay", "the pay", True), ("", "x", True), ("3.5", "13.5", False)]:
+        assert one(spark, N.token_present, token, text) is there
