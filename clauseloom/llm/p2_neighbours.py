@@ -2,7 +2,7 @@
 
 An inverted multi-index: both halves of the unit vectors are quantised by codebooks of their own, a pair of centroids is
 a cell. For each cell that holds vectors, the cells are traversed by the sum of the two centroid distances, with a heap,
-until they hold CANDIDATES vectors; every vector of the cell is compared exactly with all of these.
+until they hold CANDIDATES vectors and are CELLS; every vector of the cell is compared exactly with all of these.
 
 Cells that list one another are gathered into regions of bounded size; a vector is sent to its own region and to the
 regions that list its cell, and each region is one group of a shuffle. Codebooks are fitted on a bounded sample, every
@@ -28,7 +28,8 @@ MODEL, DIMENSIONS, NEIGHBOURS = "clausevec-384-r2", 384, 10
 SAMPLE = 20_000  # vectors, about, that the codebooks are fitted on
 CENTROIDS = 256  # at most, in each codebook
 CANDIDATES = 400  # vectors, at least, that each vector is compared with
-REGION = 4000  # own vectors of a region, at most, unless one cell has more
+CELLS = 4  # cells, at least, that each vector is compared with, its own included: neighbours lie across a cell's border, too
+REGION = 16_000  # own vectors of a region, at most, unless one cell has more; a twelfth of all in small collections
 HOT = 20_000  # vectors of a cell from which it gets an index of its own
 LEVELS = 3
 COPIES = 1000  # copies of one vector that are indexed like others; beyond, the smallest ids are
@@ -88,9 +89,9 @@ class Index:
         return nearest(unit[:, :half], self.first).astype(np.int64) * len(self.second) + nearest(unit[:, half:], self.second)
 
 
-def traversals(index: Index, counts: dict[int, int], candidates: int) -> dict[int, list[int]]:
+def traversals(index: Index, counts: dict[int, int], candidates: int, cells: int = CELLS) -> dict[int, list[int]]:
     """For each cell with vectors the cells with vectors, itself first, in the order of summed centroid distance, until
-    they hold `candidates` vectors besides the one that asks (or are all)."""
+    they hold `candidates` vectors besides the one that asks and are `cells` (or are all)."""
     width = len(index.second)
     orders = []
     for c in (index.first, index.second):
@@ -105,7 +106,7 @@ def traversals(index: Index, counts: dict[int, int], candidates: int) -> dict[in
         a, da, b, db = o1[i], d1[i], o2[j], d2[j]
         heap, held, listed, total = [(da[0] + db[0], 0, 0)], 0, [], len(counts)
         done = [0] * len(a)  # how many columns of each row of the grid have been taken
-        while heap and held <= candidates and len(listed) < total:
+        while heap and (held <= candidates or len(listed) < cells) and len(listed) < total:
             _, p, q = heapq.heappop(heap)
             done[p] = q + 1
             n = counts.get(a[p] * width + b[q])
@@ -211,7 +212,7 @@ def _search(rows: DataFrame, where: list[tuple[Index, int]], n: int, k: int, can
 
     got = rows.mapInArrow(sample, "v binary").collect()
     x = _unit(_unpacked(pa.array([r["v"] for r in got], pa.binary()))) if got else np.zeros((0, DIMENSIONS), np.float32)
-    size = int(min(CENTROIDS, max(1, round((n / 40) ** 0.5 * 2))))
+    size = int(min(CENTROIDS, max(1, round((n / 20) ** 0.5 * 2))))
     half = DIMENSIONS // 2
     index = Index(fit_codebook(x[:, :half], size), fit_codebook(x[:, half:], size))
     shared = spark.sparkContext.broadcast(index)
@@ -226,7 +227,7 @@ def _search(rows: DataFrame, where: list[tuple[Index, int]], n: int, k: int, can
     counts = {r["cell"]: r["n"] for r in rows.mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     hot = [c for c, m in counts.items() if m > HOT] if len(where) + 1 < LEVELS else []
     lists = {c: x for c, x in traversals(index, counts, candidates).items() if c not in set(hot)}
-    own = regions({c: m for c, m in counts.items() if c in lists}, {c: [y for y in x if y in lists] for c, x in lists.items()}, REGION)
+    own = regions({c: m for c, m in counts.items() if c in lists}, {c: [y for y in x if y in lists] for c, x in lists.items()}, min(REGION, max(2000, n // 12)))
     members: dict[int, set[int]] = {}
     for c, listed in lists.items():
         for y in listed:
