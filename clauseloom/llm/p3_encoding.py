@@ -56,7 +56,8 @@ def classes() -> tuple[np.ndarray, int]:
     for c in range(_TOP):
         while c >= _BUCKETS[b][0]:
             b += 1
-        out[c] = seen.setdefault((unicodedata.category(chr(c)), _BUCKETS[b][1]), len(seen))
+        category = unicodedata.category(chr(c))
+        out[c] = seen.setdefault((category, "ascii" if category == "Zs" else _BUCKETS[b][1]), len(seen))  # all blanks are alike
     out[_TOP] = len(seen)
     return out, len(seen) + 1
 
@@ -103,6 +104,7 @@ class Model:
         self.bits = np.clip(-np.log2((single + 0.5) / (single.sum() + 1.0)), 0, 24).astype(np.float32)
         self.rare = np.clip(self.bits - COMMON_BITS, 0, 8)
         self.rare[:128] = 0
+        self.seen = (single > 0).tolist()
         self.kind, self.odd_list, self.bit_list = self.of.tolist(), self.odd.tolist(), self.bits.tolist()
 
     def pair_scores(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,8 +204,10 @@ def _undo_utf8(text: str, runs: list[tuple[int, int]], model: Model) -> str:
         part = text[lo:hi]
         for codec in UTF8_READ_AS:
             for m in _sequences(codec).finditer(part):
-                if LOOK_ALIKE.issuperset(m.group()) or (new := _decoded(m.group(), codec)) is None:
+                if LOOK_ALIKE.issuperset(m.group().replace("\xa0", "")) or (new := _decoded(m.group(), codec)) is None:
                     continue
+                if len(m.group()) < 3 * len(new) and not any(model.seen[min(ord(c), _TOP)] for c in new):
+                    continue  # two characters make an unknown letter now and then
                 a, b = m.start() + lo, m.end() + lo
                 before, after = text[max(0, a - 1) : a] or " ", text[b : b + 1] or " "
                 gain = model.badness(before + m.group() + after) - model.badness(before + new + after)
@@ -240,7 +244,7 @@ def _undo_single(text: str, runs: list[tuple[int, int]], model: Model) -> str:
         for lo, hi in runs:
             for i in range(max(0, lo), min(len(text), hi + 2)):
                 c = text[i]
-                if c < "\x80" or c not in by or c in LOOK_ALIKE or (new := to[by[c]]) == c or "\x80" <= new <= "\x9f":
+                if c < "\x80" or c.isspace() or c not in by or c in LOOK_ALIKE or (new := to[by[c]]) == c or "\x80" <= new <= "\x9f":
                     continue
                 before, after = text[i - 1 : i] or " ", text[i + 1 : i + 2] or " "
                 gain = model.badness(before + c + after) - model.badness(before + new + after)
