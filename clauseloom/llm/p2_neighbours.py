@@ -269,7 +269,8 @@ def _search(rows: DataFrame, where: list[tuple[Index, int]], n: int, k: int, can
         return pa.table([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["passage_id_a", "passage_id_b"])
 
     routed = rows.mapInArrow(route, "region long, cell long, id long, v binary")
-    out = routed.groupBy("region").applyInArrow(compare, "passage_id_a long, passage_id_b long")
+    parts = min(20_000, 3 * len(set(own.values())) + 1)  # few regions meet in one task
+    out = routed.repartition(parts, "region").groupBy("region").applyInArrow(compare, "passage_id_a long, passage_id_b long")
     for c in hot:
         out = out.unionByName(_search(rows, [*where, (index, c)], counts[c], k, candidates))
     return out
