@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from clauseloom.functions.text import NUMBER_WORDS
 
+# Units and months that quantities and dates are told by.
 UNITS = "days?|hours?|minutes?|periods?|steps?|lanes?|years?|weeks?"
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 WORD_DIGITS = r"(?i)\b(" + "|".join(NUMBER_WORDS) + r")\s*\(\s*(\d{1,9})\s*\)"

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clauseloom.functions import text as T
 
+# Deflated share of a loop, least share of different lines, times the median length, agreement of figures.
 LOOP, DISTINCT, LONG, AGREE = 0.10, 0.60, 2.5, 0.75
 
 

@@ -159,6 +159,7 @@ def word_error_rate(read) -> DataFrame:
 
 # --- clauses --------------------------------------------------------------------------------------------------------------
 
+# How strongly each modal verb binds.
 WEIGHTS = {"must": 1.0, "shall": 1.0, "will": 0.9, "should": 0.7, "ought": 0.7, "need": 0.7, "may": 0.3, "can": 0.3, "could": 0.2, "might": 0.1}
 _EDGE = r"[^\p{L}\p{M}\p{N}_]"
 _MODAL = rf"regexp_extract(regexp_replace(lower(s), '\([^)]*\)', ' ', 'g'), '(^|{_EDGE})({T.MODALS})($|{_EDGE})', 2)"
