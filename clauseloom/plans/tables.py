@@ -145,12 +145,21 @@ def page_compression(read) -> DataFrame:
       AND regexp_full_match(evidence, '[ -~]*') AND regexp_full_match(alt_evidence, '[ -~]*')
 """)
 def edit_distance(read) -> DataFrame:
-    """Character error rate of the evidence against the alternative one, where both are plain ASCII."""
+    """Character error rate of the evidence against the alternative one, where both are plain ASCII, as in its SQL;
+    edit_distance_all has all of them."""
     rows = read("attempts").select("attempt_id", "evidence", "alt_evidence").dropDuplicates(["attempt_id"])
     rows = rows.where("evidence is not null and length(evidence) > 0 and length(trim(alt_evidence)) > 0").where(F.col("evidence").rlike("^[ -~]*$") & F.col("alt_evidence").rlike("^[ -~]*$"))
     return rows.select("attempt_id", F.round(D.error_rate(F.col("evidence"), F.col("alt_evidence")), 6).alias("cer"))
 
 
+@query()
+def edit_distance_all(read) -> DataFrame:
+    """Character error rate as in edit_distance for texts of every script; no SQL, for DuckDB's levenshtein counts bytes."""
+    rows = read("attempts").select("attempt_id", "evidence", "alt_evidence").dropDuplicates(["attempt_id"])
+    rows = rows.where("evidence is not null and length(evidence) > 0 and length(trim(alt_evidence)) > 0")
+    return rows.select("attempt_id", F.round(D.error_rate(F.col("evidence"), F.col("alt_evidence")), 6).alias("cer"))
+
+
 @query()
 def word_error_rate(read) -> DataFrame:
     """Word error rate of each question's wording against the note for its extraction."""
