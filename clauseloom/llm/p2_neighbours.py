@@ -8,7 +8,9 @@ Cells that list one another are gathered into regions of bounded size; a vector
 regions that list its cell, and each region is one group of a shuffle. Codebooks are fitted on a bounded sample, every
 vector is indexed. What the driver holds, counts and lists of cells, is bounded by the square of the codebook's size.
 
-A cell of more than HOT vectors is indexed once more with codebooks of its own. Of a vector with very many exact copies
+A cell of more than HOT vectors is indexed once more with codebooks of its own. Its vectors are compared with the
+subcells that the inner traversal lists and with those that traversals of the indexes around it list, from the subcell's
+own centroids; cells beside it are compared with the whole of it. Of a vector with very many exact copies
 only the smallest ids are indexed, for they are the neighbours of all the others.
 """
 
@@ -32,6 +34,7 @@ CELLS = 4  # cells, at least, that each vector is compared with, its own include
 REGION = 16_000  # own vectors of a region, at most, unless one cell has more; a twelfth of all in small collections
 HOT = 20_000  # vectors of a cell from which it gets an index of its own
 LEVELS = 3
+BITS = 17  # of a level's part of a leaf's number: the cell's number and 1, 0 below a leaf
 COPIES = 1000  # copies of one vector that are indexed like others; beyond, the smallest ids are
 
 
@@ -89,36 +92,92 @@ class Index:
         return nearest(unit[:, :half], self.first).astype(np.int64) * len(self.second) + nearest(unit[:, half:], self.second)
 
 
+def _orders(points: np.ndarray, c: np.ndarray, own: bool = False) -> tuple[list[list[int]], list[list[float]]]:
+    """For each point the centroids by distance, and the distances. own: the points are the centroids."""
+    d = np.maximum(0, (points**2).sum(1)[:, None] - 2 * points @ c.T + (c**2).sum(1)[None, :])
+    if own:
+        np.fill_diagonal(d, -1e-6)  # its own centroid comes first, also among equal ones
+    order = np.argsort(d, axis=1, kind="stable")
+    return order.tolist(), np.take_along_axis(d, order, 1).tolist()
+
+
+def _traversed(a: list[int], da: list[float], b: list[int], db: list[float], width: int, counts: dict[int, int], candidates: int, cells: int, without: int = -1) -> list[int]:
+    """Cells with vectors in the order of summed centroid distance, until they hold `candidates` vectors besides the one
+    that asks and are `cells` (or are all); the cell `without` is passed over."""
+    heap, held, listed, total = [(da[0] + db[0], 0, 0)], 0, [], len(counts) - (without in counts)
+    done = [0] * len(a)  # how many columns of each row of the grid have been taken
+    while heap and (held <= candidates or len(listed) < cells) and len(listed) < total:
+        _, p, q = heapq.heappop(heap)
+        done[p] = q + 1
+        cell = a[p] * width + b[q]
+        n = counts.get(cell)
+        if n and cell != without:
+            held += n
+            listed.append(cell)
+        # a pair is pushed when the later of the two pairs before it is taken
+        if q + 1 < len(b) and (p == 0 or done[p - 1] > q + 1):
+            heapq.heappush(heap, (da[p] + db[q + 1], p, q + 1))
+        if p + 1 < len(a) and done[p + 1] >= q:
+            heapq.heappush(heap, (da[p + 1] + db[q], p + 1, q))
+    return listed
+
+
 def traversals(index: Index, counts: dict[int, int], candidates: int, cells: int = CELLS) -> dict[int, list[int]]:
     """For each cell with vectors the cells with vectors, itself first, in the order of summed centroid distance, until
     they hold `candidates` vectors besides the one that asks and are `cells` (or are all)."""
     width = len(index.second)
-    orders = []
-    for c in (index.first, index.second):
-        d = np.maximum(0, (c**2).sum(1)[:, None] - 2 * c @ c.T + (c**2).sum(1)[None, :])
-        np.fill_diagonal(d, -1e-6)  # its own centroid comes first, also among equal ones
-        order = np.argsort(d, axis=1, kind="stable")
-        orders.append((order.tolist(), np.take_along_axis(d, order, 1).tolist()))
-    (o1, d1), (o2, d2) = orders
+    (o1, d1), (o2, d2) = _orders(index.first, index.first, True), _orders(index.second, index.second, True)
+    return {cell: _traversed(o1[i], d1[i], o2[j], d2[j], width, counts, candidates, cells) for cell in counts for i, j in [divmod(cell, width)]}
+
+
+Path = tuple[int, ...]
+
+
+def key(path: Path) -> int:
+    """The number of a leaf or hot cell, given by the cells that lead to it; the leaves of a hot cell follow its own number."""
+    return sum((c + 1) << BITS * (LEVELS - 1 - i) for i, c in enumerate(path))
+
+
+def end(number: int) -> int:
+    """The first number beyond the leaves of a cell."""
+    level = next(i for i in range(LEVELS) if number >> BITS * i & (1 << BITS) - 1)
+    return number + (1 << BITS * level)
+
+
+def leaves(tree: dict[Path, Index], unit: np.ndarray, path: Path = ()) -> np.ndarray:
+    """The number of the leaf that each vector of a cell of the tree lies in."""
+    cells = tree[path].cells(unit)
+    out = key(path) + (cells + 1 << BITS * (LEVELS - 1 - len(path)))
+    for inner in tree:
+        if len(inner) == len(path) + 1 and inner[:-1] == path:
+            here = np.flatnonzero(cells == inner[-1])
+            if len(here):
+                out[here] = leaves(tree, unit[here], inner)
+    return out
+
+
+def leaf_lists(tree: dict[Path, Index], counts: dict[Path, dict[int, int]], candidates: int) -> dict[int, list[int]]:
+    """For each leaf the numbers of the leaves, and of whole hot cells beside it, that its vectors are compared with,
+    itself first."""
     out = {}
-    for cell in counts:
-        i, j = divmod(cell, width)
-        a, da, b, db = o1[i], d1[i], o2[j], d2[j]
-        heap, held, listed, total = [(da[0] + db[0], 0, 0)], 0, [], len(counts)
-        done = [0] * len(a)  # how many columns of each row of the grid have been taken
-        while heap and (held <= candidates or len(listed) < cells) and len(listed) < total:
-            _, p, q = heapq.heappop(heap)
-            done[p] = q + 1
-            n = counts.get(a[p] * width + b[q])
-            if n:
-                held += n
-                listed.append(a[p] * width + b[q])
-            # a pair is pushed when the later of the two pairs before it is taken
-            if q + 1 < len(b) and (p == 0 or done[p - 1] > q + 1):
-                heapq.heappush(heap, (da[p] + db[q + 1], p, q + 1))
-            if p + 1 < len(a) and done[p + 1] >= q:
-                heapq.heappush(heap, (da[p + 1] + db[q], p + 1, q))
-        out[cell] = listed
+
+    def around(path: Path, point: tuple[np.ndarray, np.ndarray], without: int) -> list[int]:
+        """Leaves below `path` by their distance from a point, other than those below the cell `without`."""
+        index = tree[path]
+        (a, da), (b, db) = ([x[0] for x in _orders(p[None, :], c)] for p, c in zip(point, (index.first, index.second)))
+        got = []
+        for c in _traversed(a, da, b, db, len(index.second), counts[path], candidates, CELLS, without):
+            got += around((*path, c), point, -1) if (*path, c) in tree else [key((*path, c))]
+        return got
+
+    for path, index in tree.items():
+        for cell, listed in traversals(index, counts[path], candidates).items():
+            if (*path, cell) not in tree:
+                i, j = divmod(cell, len(index.second))
+                own = [key((*path, c)) for c in listed]
+                for level in range(len(path)):
+                    own += around(path[:level], (index.first[i], index.second[j]), path[level])
+                out[key((*path, cell))] = own
     return out
 
 
@@ -187,28 +246,25 @@ def _unpacked(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _search(rows: DataFrame, where: list[tuple[Index, int]], n: int, k: int, candidates: int) -> DataFrame:
-    """Pairs for the rows (passage_id, embedding; each id once) that lie in the cell of each index in `where`, one inside
-    the other; n: how many they are, about."""
+def _cells_in(rows: DataFrame, tree: dict[Path, Index], path: Path, n: int) -> tuple[Index, dict[int, int]]:
+    """The index of the vectors in a cell of the tree and how many each of its cells holds; n: how many they are, about."""
     spark = rows.sparkSession
     share = min(1.0, SAMPLE / max(1, n))
+    where = spark.sparkContext.broadcast([(tree[path[:i]], c) for i, c in enumerate(path)])
 
-    def inside(ids: np.ndarray, x: np.ndarray, path: list[tuple[Index, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def inside(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         u = _unit(x)
-        for index, cell in path:
+        for index, cell in where.value:
             here = index.cells(u) == cell
-            ids, x, u = ids[here], x[here], u[here]
-        return ids, x, u
-
-    path = spark.sparkContext.broadcast(where)
+            x, u = x[here], u[here]
+        return x, u
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, x = _matrix(b.column(1))
             ids = b.column(0).to_numpy()[at]
-            chosen = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)) < np.uint64(int(share * 2**53))
-            _, x, _ = inside(ids[chosen], x[chosen], path.value)
-            yield pa.RecordBatch.from_arrays([_packed(x)[0]], ["v"])
+            x = x[(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)) < np.uint64(int(share * 2**53))]
+            yield pa.RecordBatch.from_arrays([_packed(inside(x)[0])[0]], ["v"])
 
     got = rows.mapInArrow(sample, "v binary").collect()
     x = _unit(_unpacked(pa.array([r["v"] for r in got], pa.binary()))) if got else np.zeros((0, DIMENSIONS), np.float32)
@@ -219,28 +275,40 @@ def _search(rows: DataFrame, where: list[tuple[Index, int]], n: int, k: int, can
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, x = _matrix(b.column(1))
-            _, _, u = inside(b.column(0).to_numpy()[at], x, path.value)
-            c, m = np.unique(shared.value.cells(u), return_counts=True)
+            c, m = np.unique(shared.value.cells(inside(_matrix(b.column(1))[1])[1]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(m, pa.int64())], ["cell", "n"])
 
     counts = {r["cell"]: r["n"] for r in rows.mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
-    hot = [c for c, m in counts.items() if m > HOT] if len(where) + 1 < LEVELS else []
-    lists = {c: x for c, x in traversals(index, counts, candidates).items() if c not in set(hot)}
-    own = regions({c: m for c, m in counts.items() if c in lists}, {c: [y for y in x if y in lists] for c, x in lists.items()}, min(REGION, max(2000, n // 12)))
+    return index, counts
+
+
+def _search(rows: DataFrame, n: int, k: int, candidates: int) -> DataFrame:
+    """Pairs for the rows (passage_id, embedding; each id once); n: how many they are, about."""
+    tree: dict[Path, Index] = {}
+    counts: dict[Path, dict[int, int]] = {}
+    open_: list[tuple[Path, int]] = [((), n)]
+    while open_:
+        path, m = open_.pop()
+        tree[path], counts[path] = _cells_in(rows, tree, path, m)
+        if len(path) + 1 < LEVELS:
+            open_ += [((*path, c), m) for c, m in counts[path].items() if m > HOT]
+    lists = leaf_lists(tree, counts, candidates)
+    held = {key((*path, c)): m for path in tree for c, m in counts[path].items() if (*path, c) not in tree}
+    own = regions(held, {c: [y for y in x if y in held] for c, x in lists.items()}, min(REGION, max(2000, n // 12)))
     members: dict[int, set[int]] = {}
     for c, listed in lists.items():
         for y in listed:
             members.setdefault(y, set()).add(own[c])
-    plan = spark.sparkContext.broadcast((own, {c: sorted(r) for c, r in members.items()}, lists))
+    plan = rows.sparkSession.sparkContext.broadcast((tree, own, members, lists))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, members, _ = plan.value
+        tree, _, members, _ = plan.value
         for b in batches:
             at, x = _matrix(b.column(1))
-            ids, x, u = inside(b.column(0).to_numpy()[at], x, path.value)
-            c = shared.value.cells(u)
-            targets = [members.get(y, []) for y in c.tolist()]
+            ids = b.column(0).to_numpy()[at]
+            c = leaves(tree, _unit(x))
+            to = {y: sorted(set().union(*[members.get(y >> BITS * i << BITS * i, ()) for i in range(LEVELS)])) for y in set(c.tolist())}
+            targets = [to[y] for y in c.tolist()]
             reps = np.repeat(np.arange(len(c)), [len(t) for t in targets])
             vectors, _ = _packed(x)
             yield pa.RecordBatch.from_arrays(
@@ -248,7 +316,7 @@ def _search(rows: DataFrame, where: list[tuple[Index, int]], n: int, k: int, can
             )
 
     def compare(rows: pa.Table) -> pa.Table:
-        own, _, lists = plan.value
+        _, own, _, lists = plan.value
         region = rows.column("region")[0].as_py()
         cell = rows.column("cell").to_numpy()
         ids = rows.column("id").to_numpy()
@@ -257,12 +325,11 @@ def _search(rows: DataFrame, where: list[tuple[Index, int]], n: int, k: int, can
         once = np.append(True, (cell[1:] != cell[:-1]) | (ids[1:] != ids[:-1]))  # equal rows
         order, cell, ids = order[once], cell[once], ids[once]
         x = _unpacked(rows.column("v").combine_chunks().take(pa.array(order)))
-        found, starts = np.unique(cell, return_index=True)
-        spans = dict(zip(found.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(cell)])))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for c, (lo, hi) in spans.items():
+        for c in np.unique(cell).tolist():
             if own.get(c) == region:
-                at = np.concatenate([np.arange(*spans[y]) for y in lists[c] if y in spans])
+                lo, hi = np.searchsorted(cell, [c, c + 1])
+                at = np.concatenate([np.arange(*np.searchsorted(cell, [y, end(y)])) for y in lists[c]])
                 a, b = nearest_in(x[lo:hi], ids[lo:hi], x[at], ids[at], k)
                 left.append(a)
                 right.append(b)
@@ -270,10 +337,7 @@ def _search(rows: DataFrame, where: list[tuple[Index, int]], n: int, k: int, can
 
     routed = rows.mapInArrow(route, "region long, cell long, id long, v binary")
     parts = min(20_000, 3 * len(set(own.values())) + 1)  # few regions meet in one task
-    out = routed.repartition(parts, "region").groupBy("region").applyInArrow(compare, "passage_id_a long, passage_id_b long")
-    for c in hot:
-        out = out.unionByName(_search(rows, [*where, (index, c)], counts[c], k, candidates))
-    return out
+    return routed.repartition(parts, "region").groupBy("region").applyInArrow(compare, "passage_id_a long, passage_id_b long")
 
 
 def most_similar(vectors: DataFrame, k: int = NEIGHBOURS, candidates: int = CANDIDATES) -> DataFrame:
@@ -306,7 +370,7 @@ def most_similar(vectors: DataFrame, k: int = NEIGHBOURS, candidates: int = CAND
             F.least("passage_id", "o").alias("passage_id_a"), F.greatest("passage_id", "o").alias("passage_id_b")
         )
         rows = rows.withColumn("h", F.xxhash64("embedding")).join(smallest, "h", "left").where(F.col("s").isNull() | F.array_contains("s", F.col("passage_id"))).select("passage_id", "embedding")
-    out = _search(rows, [], n, k, candidates)
+    out = _search(rows, n, k, candidates)
     return (out if plain is None else out.unionByName(plain)).distinct()
 
 

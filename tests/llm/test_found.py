@@ -103,6 +103,16 @@ def test_p2_recall_against_brute_force(spark, monkeypatch):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_p2_hot_cells_meet_the_cells_beside_them(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    crowd = rng.normal(size=384) + rng.normal(size=(700, 4)) @ rng.normal(size=(4, 384)) + 0.02 * rng.normal(size=(700, 384))
+    x = np.concatenate([clustered(800), crowd]).astype(np.float32)
+    monkeypatch.setattr(p2, "HOT", 30)
+    got = {tuple(r) for r in p2.most_similar(vectors(spark, [(i, p2.MODEL, v.tolist()) for i, v in enumerate(x)])).collect()}
+    want = brute_pairs(np.arange(len(x)), x)
+    assert len(got & want) >= 0.95 * max(len(want), len(got))
+
+
 def test_p2_unusable_ties_and_copies(spark, monkeypatch):
     x = clustered(30, 1)
     rows = [(i, p2.MODEL, v.tolist()) for i, v in enumerate(x)]
