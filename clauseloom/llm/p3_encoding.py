@@ -7,6 +7,9 @@ text are its improbable runs; only inside these are inverse mappings tested, and
 more probable by GAIN bits (self-information of its characters less the mutual information of its pairs):
 - bytes of UTF-8 read as another encoding (also twice and three times, also with bytes lost that the encoding lacks),
 - bytes of one single-byte encoding read as another (look-alike letters of other scripts excepted: problem 1).
+Letters that occur nowhere else in the corpus count as no rarer than the characters they were read as. They are taken if
+they form a run of one script, or complete words in lower case: two that gain GAIN bits or one that gains UNSEEN_GAIN. The
+other unknown letters that the same encoding and script give in that text are taken with them.
 Replacement characters and C1 control characters are damage by themselves.
 
 The corpus statistics are of bounded size: one count for each pair of classes and one for each code point.
@@ -32,6 +35,7 @@ GAP = 8.0  # what a pair of ASCII characters costs a run
 COMMON_BITS = 11.0  # characters with less self-information than this get no bonus for rarity
 TWO_WIDE = 5.0  # bonus of a pair of characters beyond ASCII
 GAIN = 5.0  # bits that an inverse mapping must gain
+UNSEEN_GAIN = 8.0  # ... for one letter that the corpus doesn't hold, alone in its text
 WEAK_GAIN = 1.0  # ... that a change must gain in a text where the same mapping gains GAIN bits elsewhere
 ROUNDS = 4  # readings undone one after another
 
@@ -116,13 +120,14 @@ class Model:
         odd = np.maximum(self.odd[self.of[a], self.of[b]], -1)  # damage is mutually dependent, too: no more than 1 bit off for it
         return at, odd + self.rare[a] + self.rare[b] + both - THRESHOLD
 
-    def badness(self, text: str) -> float:
-        """Improbability of a short stretch between its first and last character, in bits."""
+    def badness(self, text: str, unseen: float = 24.0) -> float:
+        """Improbability of a short stretch between its first and last character, in bits. unseen: self-information, at
+        most, of a character that the corpus doesn't hold."""
         points = [min(ord(c), _TOP) for c in text]
         bad, before = 0.0, self.kind[points[0]]
         for p in points[1:]:
             here = self.kind[p]
-            bad += self.odd_list[before][here] + self.bit_list[p]
+            bad += self.odd_list[before][here] + (self.bit_list[p] if self.seen[p] else min(self.bit_list[p], unseen))
             before = here
         return bad - self.bit_list[points[-1]]
 
@@ -191,9 +196,24 @@ def _decoded(chars: str, codec: str) -> str | None:
     return None if any(unicodedata.category(c) in ("Cn", "Co", "Cs") for c in out) else out
 
 
-def _undo_utf8(text: str, runs: list[tuple[int, int]], model: Model) -> str:
-    """The sequences that lie in the runs (with two characters around) decoded where that gains GAIN bits."""
+def _script(c: str) -> str:
+    """The script of a letter by its bucket, '' for what is no letter of a script."""
+    if not unicodedata.category(c).startswith("L"):
+        return ""
+    bucket = next((name for top, name in _BUCKETS if ord(c) < top), "")
+    return {"ascii": "latin", "ipa": "", "mark": "", "punctuation": "", "symbol": "", "box": ""}.get(bucket, bucket if bucket != "other" else unicodedata.name(c, "").split(" ")[0].lower())
+
+
+def _completes(before: str, new: str, after: str) -> bool:
+    """Whether lower-case letters of one script stand beside a lower-case letter of it."""
+    return new.islower() and any(x.islower() and _script(x) == _script(new[0]) for x in (before, after))
+
+
+def _undo_utf8(text: str, runs: list[tuple[int, int]], model: Model, made: set[str]) -> str:
+    """The sequences that lie in the runs (with two characters around) decoded where that gains GAIN bits. made: gets the
+    letters that the corpus doesn't hold."""
     best: list[tuple[float, int, int, str]] = []
+    unseen: dict[tuple[str, str], list[tuple[int, float, int, int, str]]] = {}  # by encoding and script
     spans: list[list[int]] = []
     for lo, hi in runs:  # with room for what a sequence needs beyond the run
         if spans and lo - 3 <= spans[-1][1]:
@@ -206,13 +226,28 @@ def _undo_utf8(text: str, runs: list[tuple[int, int]], model: Model) -> str:
             for m in _sequences(codec).finditer(part):
                 if LOOK_ALIKE.issuperset(m.group().replace("\xa0", "")) or (new := _decoded(m.group(), codec)) is None:
                     continue
-                if len(m.group()) < 3 * len(new) and not any(model.seen[min(ord(c), _TOP)] for c in new):
-                    continue  # two characters make an unknown letter now and then
                 a, b = m.start() + lo, m.end() + lo
                 before, after = text[max(0, a - 1) : a] or " ", text[b : b + 1] or " "
+                if len(m.group()) < 3 * len(new) and not any(model.seen[min(ord(c), _TOP)] for c in new):
+                    # two characters make an unknown letter now and then
+                    scripts = {_script(c) for c in new}
+                    if len(scripts) > 1 or "" in scripts:
+                        continue
+                    most = max(model.bit_list[min(ord(c), _TOP)] for c in m.group())
+                    gain = model.badness(before + m.group() + after) - model.badness(before + new + after, most)
+                    word = _completes(before, new, after)
+                    sure = len(new) > 1 and (word or gain >= GAIN) or word and gain >= UNSEEN_GAIN
+                    unseen.setdefault((codec, scripts.pop()), []).append((2 if sure else int(word and gain >= GAIN), gain, a, b, new))
+                    continue
                 gain = model.badness(before + m.group() + after) - model.badness(before + new + after)
                 if gain >= GAIN:
                     best.append((gain, a, b, new))
+    known = [(a, b) for _, a, b, _ in best]
+    for letters in unseen.values():
+        letters = [x for x in letters if all(x[3] <= a or x[2] >= b for a, b in known)]
+        if sum(x[0] for x in letters) > 1:  # one that is sure or two that are likely; the others of their kind go with them
+            best += [x[1:] for x in letters]
+            made.update(*[x[4] for x in letters])
     for m in _SHORT.finditer(text):
         a, b = m.span()
         before, after = text[max(0, a - 1) : a] or " ", text[b : b + 1] or " "
@@ -235,7 +270,7 @@ def _undo_utf8(text: str, runs: list[tuple[int, int]], model: Model) -> str:
     return "".join(out) + text[end:]
 
 
-def _undo_single(text: str, runs: list[tuple[int, int]], model: Model) -> str:
+def _undo_single(text: str, runs: list[tuple[int, int]], model: Model, made: set[str]) -> str:
     """One mapping between single-byte encodings for the runs of the text, if it gains GAIN bits a changed character."""
     best, found = 0.0, text
     for read, written in SINGLE_BYTE:
@@ -244,7 +279,7 @@ def _undo_single(text: str, runs: list[tuple[int, int]], model: Model) -> str:
         for lo, hi in runs:
             for i in range(max(0, lo), min(len(text), hi + 2)):
                 c = text[i]
-                if c < "\x80" or c.isspace() or c not in by or c in LOOK_ALIKE or (new := to[by[c]]) == c or "\x80" <= new <= "\x9f":
+                if c < "\x80" or c.isspace() or c in made or c not in by or c in LOOK_ALIKE or (new := to[by[c]]) == c or "\x80" <= new <= "\x9f":
                     continue
                 before, after = text[i - 1 : i] or " ", text[i + 1 : i + 2] or " "
                 gain = model.badness(before + c + after) - model.badness(before + new + after)
@@ -265,11 +300,11 @@ _LOSS = re.compile("[�\x80-\x9f]")
 
 def restore(text: str, model: Model, runs: list[tuple[int, int]]) -> tuple[str, bool, bool]:
     """The text with what can be restored restored; whether it is damaged; whether damage is left."""
-    first = text
+    first, made = text, set()
     for _ in range(ROUNDS):
-        new = _undo_utf8(text, runs, model)
+        new = _undo_utf8(text, runs, model, made)
         if new == text:
-            new = _undo_single(text, runs, model)
+            new = _undo_single(text, runs, model, made)
         if new == text:
             break
         text, runs = new, improbable_runs(new, model)

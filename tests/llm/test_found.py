@@ -170,6 +170,15 @@ def test_p3_finds_and_restores(spark):
     assert p3.damaged_passages(passages(spark, rows).where("false")).count() == 0
 
 
+def test_p3_letters_that_the_corpus_never_holds(spark):
+    clean = corpus()
+    lost = {2000: "Rada szkoły będzie płacić składkę i każdy nauczyciel się zgłosi", 2001: "Příliš žluťoučký kůň pěl", 2002: "A bizottság felülvizsgálja a működési időt és erről dönt", 2003: "Совет платит взнос", 2004: "Το συμβούλιο πληρώνει", 2005: "był"}
+    genuine = ["UNDER THE “CAFÉ”, “COMITÉ” AND ‘CANADÁ’ RULES", "LE COMITÉ’S “DÉFINI” É»", "The PÅ” rule and “Å” stands", "ÑANDÚ” ÜBER” Ö” Ó’", "CAFÉ™ and NESTLÉ® and Ä™ Ö° É± 9Ñ°"]
+    rows = [(i, "d", t) for i, t in enumerate(clean)] + [(3000 + i, "d", t) for i, t in enumerate(genuine)] + [(i, "d", damaged(t, "utf-8", "cp1252")) for i, t in lost.items()]
+    got = {r.passage_id: (r.restored, r.incomplete) for r in p3.damaged_passages(passages(spark, rows)).collect()}
+    assert got == {i: (t, False) for i, t in lost.items()}
+
+
 def test_p3_segments_against_brute_force():
     rng = random.Random(1)
     for _ in range(200):
