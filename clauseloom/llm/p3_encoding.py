@@ -3,9 +3,10 @@
 Adjacent characters are scored by the mutual information that their classes (general category and script) have in the
 whole corpus, with a bonus for characters that are rare in it and for two neighbours beyond ASCII: a pair scores above zero
 where it is improbable. Pairs without a character beyond ASCII count as probable. The maximum-scoring segments of each
-text are its improbable runs; only inside these are inverse mappings tested, and one is taken if it makes the stretch
+text are its improbable runs; inside these inverse mappings are tested, and one is taken if it makes the stretch
 more probable by GAIN bits (self-information of its characters less the mutual information of its pairs):
 - bytes of UTF-8 read as another encoding (also twice and three times, also with bytes lost that the encoding lacks),
+- what is left of a cp1252 sequence that lost a byte (_SHORT; this one pattern is tested on the whole text),
 - bytes of one single-byte encoding read as another (look-alike letters of other scripts excepted: problem 1).
 Letters that occur nowhere else in the corpus count as no rarer than the characters they were read as. They are taken if
 they form a run of one script, or complete words in lower case: two that gain GAIN bits or one that gains UNSEEN_GAIN. The
@@ -210,7 +211,7 @@ def _completes(before: str, new: str, after: str) -> bool:
 
 
 def _undo_utf8(text: str, runs: list[tuple[int, int]], model: Model, made: set[str]) -> str:
-    """The sequences that lie in the runs (with two characters around) decoded where that gains GAIN bits. made: gets the
+    """The sequences that lie in the runs (with two characters around), and what _SHORT finds anywhere, decoded where that gains GAIN bits. made: gets the
     letters that the corpus doesn't hold."""
     best: list[tuple[float, int, int, str]] = []
     unseen: dict[tuple[str, str], list[tuple[int, float, int, int, str]]] = {}  # by encoding and script
