@@ -90,13 +90,26 @@ def multiset_classes(read) -> DataFrame:
     SELECT len(v) AS n_values, count(*) AS n_columns, sum(n)::BIGINT AS n_rows FROM s GROUP BY v
 """)
 def identical_columns(read) -> DataFrame:
-    """Columns (an order's lines of one return flag) that hold the same distinct suppliers."""
+    """Columns (an order's lines of one return flag) that hold the same distinct suppliers: a row for each set of suppliers;
+    identical_column_classes says which columns they are."""
     once = read("lineitem").groupBy("l_orderkey", "l_returnflag", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     cols = once.groupBy("l_orderkey", "l_returnflag").agg(G.signature(F.col("l_suppkey")).alias("s"), F.count(F.lit(1)).alias("n_values"), F.sum("n").alias("n"))
     same = cols.groupBy("s", "n_values").agg(F.count(F.lit(1)).alias("n_columns"), F.sum("n").alias("n_rows"))
     return same.select("n_values", "n_columns", "n_rows")
 
 
+@query("""
+    WITH s AS (SELECT l_orderkey, l_returnflag, list_sort(list(DISTINCT l_suppkey)) AS v, count(*) AS n FROM lineitem GROUP BY ALL)
+    SELECT l_orderkey, l_returnflag, len(v) AS n_values, n AS n_rows, min(l_orderkey || '/' || l_returnflag) OVER (PARTITION BY v) AS class_id, count(*) OVER (PARTITION BY v) AS members FROM s
+""")
+def identical_column_classes(read) -> DataFrame:
+    """The columns of identical_columns, each with its class (the member whose text order/flag sorts first) and how many it has."""
+    once = read("lineitem").groupBy("l_orderkey", "l_returnflag", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    cols = once.groupBy("l_orderkey", "l_returnflag").agg(G.signature(F.col("l_suppkey")).alias("s"), F.count(F.lit(1)).alias("n_values"), F.sum("n").alias("n_rows"))
+    same = cols.groupBy("s").agg(F.min(F.concat_ws("/", F.col("l_orderkey").cast("string"), "l_returnflag")).alias("class_id"), F.count(F.lit(1)).alias("members"))
+    return cols.join(same, "s").select("l_orderkey", "l_returnflag", "n_values", "n_rows", "class_id", "members")
+
+
 # --- readings -----------------------------------------------------------------------------------------------------------
 
 _FIG = lambda c: rf"list_distinct(list_transform(regexp_extract_all({c}, '\d[\d,]*\.?\d*'), lambda x: regexp_replace(replace(x, ',', ''), '\.$', '')))"

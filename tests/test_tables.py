@@ -20,3 +20,11 @@ def test_edit_distance_of_all_scripts(spark):
     got = {r.attempt_id: r.cer for r in tables.edit_distance_all(reader({"attempts": spark.createDataFrame(rows, "attempt_id long, evidence string, alt_evidence string")})).collect()}
     assert got == {i: round(distance(a, b) / len(b), 6) for i, (a, b) in enumerate(pairs)}
     assert "edit_distance_all" in QUERIES
+
+
+def test_identical_columns_are_named(spark):
+    lines = [(1, "A", 7), (1, "A", 8), (1, "A", 8), (2, "R", 8), (2, "R", 7), (2, "A", 7), (10, "A", 7), (3, "N", 9)]
+    got = tables.identical_column_classes(reader({"lineitem": spark.createDataFrame(lines, "l_orderkey long, l_returnflag string, l_suppkey long")})).collect()
+    assert {(r.l_orderkey, r.l_returnflag): (r.class_id, r.members, r.n_values, r.n_rows) for r in got} == {
+        (1, "A"): ("1/A", 2, 2, 3), (2, "R"): ("1/A", 2, 2, 2), (2, "A"): ("10/A", 2, 1, 1), (10, "A"): ("10/A", 2, 1, 1), (3, "N"): ("3/N", 1, 1, 1)
+    }
