@@ -29,7 +29,9 @@ def grid_cells(read) -> DataFrame:
     SELECT doc_id, kind, step, {", ".join(f"max(CASE WHEN lane = {i} THEN value END) AS lane_{i}" for i in range(1, 6))} FROM l GROUP BY doc_id, kind, step
 """)
 def grid_pivot(read) -> DataFrame:
-    return G.grid(_cells(read), ["doc_id", "kind"], 5)
+    """All lanes that a table has: five columns, more where a row is wider."""
+    c = _cells(read)
+    return G.grid(c, ["doc_id", "kind"], max(5, c.agg(F.max("lane")).first()[0] or 0))
 
 
 @query(f"""

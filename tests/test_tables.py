@@ -22,6 +22,16 @@ def test_edit_distance_of_all_scripts(spark):
     assert "edit_distance_all" in QUERIES
 
 
+def test_grid_keeps_every_lane(spark):
+    wide = "Step 1 " + " ".join(f"4{i},000" for i in range(7))
+    docs = spark.createDataFrame([(1, wide), (2, "Step 1 50,000 51,000"), (3, None)], "doc_id long, text string")
+    rows = {r.doc_id: r.asDict() for r in tables.grid_pivot(reader({"documents": docs})).collect()}
+    assert [rows[1][f"lane_{i}"] for i in range(1, 8)] == [40_000 + 1000 * i for i in range(7)]
+    assert rows[2]["lane_2"] == 51_000 and rows[2]["lane_7"] is None
+    for few in (docs.where("doc_id = 2"), docs.where("false")):
+        assert tables.grid_pivot(reader({"documents": few})).columns == ["doc_id", "kind", "step", *(f"lane_{i}" for i in range(1, 6))]
+
+
 def test_identical_columns_are_named(spark):
     lines = [(1, "A", 7), (1, "A", 8), (1, "A", 8), (2, "R", 8), (2, "R", 7), (2, "A", 7), (10, "A", 7), (3, "N", 9)]
     got = tables.identical_column_classes(reader({"lineitem": spark.createDataFrame(lines, "l_orderkey long, l_returnflag string, l_suppkey long")})).collect()
