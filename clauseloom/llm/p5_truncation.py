@@ -2,10 +2,10 @@
 
 For every source the discrete hazard of each length (how many texts that reach it end there), in characters and in
 bytes, is tested against the hazard of the neighbouring lengths; the false-discovery rate over all tests is controlled.
-At a significant length from which hardly a text goes on lies a field limit, and incomplete endings there are cuts.
+At a significant length from which hardly a text goes on lies a field limit.
 Transfers that break at any place leave no such length. So each incomplete ending, at a limit or not, is looked up in
 the passages of its document: it is a cut if the sentence goes on there, and it is none if a line or sentence ends there.
-Where the passages do not hold the ending, the limit, a mark of omission or an unfinished sentence decides.
+Where the passages do not hold the ending, a significant length (a limit or not), a mark of omission or an unfinished sentence decides.
 """
 
 from __future__ import annotations
@@ -117,16 +117,17 @@ def _lined(passages: DataFrame) -> DataFrame:
 
 
 def cut_evidence(attempts: DataFrame, passages: DataFrame) -> DataFrame:
-    """attempt_id, source, cut, at_limit for all attempts with evidence (see evidence_rows): whether the evidence breaks
+    """attempt_id, source, cut, at_limit, looked_up (the passages decided) for all attempts with evidence (see evidence_rows): whether the evidence breaks
     off inside a word or a sentence, and whether its length lies at a limit of its source."""
     rows = evidence_rows(attempts)
-    limits = length_hazards(rows).where("limit").select("source", "unit", "length")
-    near = limits.select("source", "unit", F.explode(F.sequence(F.col("length") - WORD, F.col("length") + 1)).alias("_length")).distinct()
-    per_unit = [near.where(F.col("unit") == u).select(F.col("source").alias(f"_s{u}"), F.col("_length").alias(f"_l{u}"), F.lit(True).alias(f"_{u}")) for u in ("chars", "bytes")]
+    spikes = length_hazards(rows).where("significant").select("source", "unit", "limit", F.explode(F.sequence(F.col("length") - WORD, F.col("length") + 1)).alias("_length"))
+    near = spikes.groupBy("source", "unit", "_length").agg(F.max("limit").alias("_at"))
+    per_unit = [near.where(F.col("unit") == u).select(F.col("source").alias(f"_s{u}"), F.col("_length").alias(f"_l{u}"), F.col("_at").alias(f"_{u}")) for u in ("chars", "bytes")]
     at = rows
     for u, lengths in zip(("chars", "bytes"), per_unit):
         at = at.join(lengths, (F.col("source") == F.col(f"_s{u}")) & (F.col(u) == F.col(f"_l{u}")), "left").drop(f"_s{u}", f"_l{u}")
-    at = at.withColumn("at_limit", F.coalesce("_chars", "_bytes", F.lit(False))).drop("_chars", "_bytes")
+    at = at.withColumn("at_limit", F.coalesce("_chars", F.lit(False)) | F.coalesce("_bytes", F.lit(False)))
+    at = at.withColumn("at_spike", F.coalesce("_chars", "_bytes").isNotNull()).drop("_chars", "_bytes")
     at = at.withColumns(_ending(F.col("e")))
     at = cut(at.withColumn("asked", ~F.col("terminal") | F.col("mark") | F.col("open_stop") | F.col("at_limit")).drop("evidence"))
     asked = at.where("asked")
@@ -144,9 +145,9 @@ def cut_evidence(attempts: DataFrame, passages: DataFrame) -> DataFrame:
     # the longer tail tells more; among equal ones an end somewhere outweighs
     seen = rest.groupBy("attempt_id").agg(F.max(F.struct("whole", over.alias("over"))).alias("m")).select("attempt_id", F.col("m.over").alias("over"))
     unfinished = F.col("e").rlike(r"(?:\p{Ll}|,|[–-])$") & F.col("e").rlike(r"(?U)(?:\S+\s+){5}")
-    told = ~F.col("terminal") & ~F.col("leader") & (F.col("at_limit") & F.col("e").rlike(r"[\p{L},;–-]$") | unfinished) | F.col("mark")
+    told = ~F.col("terminal") & ~F.col("leader") & (F.col("at_spike") & F.col("e").rlike(r"[\p{L},;–-]$") | unfinished) | F.col("mark")
     verdict = F.when(~F.col("asked"), False).when(F.col("over").isNotNull(), ~F.col("over")).otherwise(told)
-    return at.join(seen, "attempt_id", "left").select("attempt_id", "source", verdict.alias("cut"), "at_limit")
+    return at.join(seen, "attempt_id", "left").select("attempt_id", "source", verdict.alias("cut"), "at_limit", F.col("over").isNotNull().alias("looked_up"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

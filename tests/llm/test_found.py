@@ -241,6 +241,17 @@ def test_p5_hazards_and_cuts(spark):
     assert p5.cut_evidence(a.where("false"), passages(spark, texts)).count() == 0
 
 
+def test_p5_length_that_only_one_writer_is_held_to(spark):
+    rng = random.Random(8)
+    words = "PREMIUM ROSTER NOTICE ALLOWANCE REPORT CALENDAR SCHEDULE AGREEMENT".split()
+    made = lambda n: " ".join(rng.choices(words, k=60))[: n - 1]
+    rows = [(i, f"d{i}", made(rng.randint(80, 300)).strip() + ".") for i in range(700)] + [(1000 + i, f"d{i}", made(60) + "X") for i in range(150)]
+    a = attempts(spark, rows)
+    assert {(r.length, r.limit) for r in p5.length_hazards(p5.evidence_rows(a)).where("significant and unit = 'chars'").collect()} == {(60, False)}
+    got = p5.cut_evidence(a, passages(spark, [(1, "d1", "Another text stands here.")])).where("cut").collect()
+    assert {r.attempt_id for r in got} == {1000 + i for i in range(150)}
+
+
 def test_p5_complete_things_are_no_cuts(spark):
     text = "SECTION 2 LEAVE\n• Coach, library hours: $7,023\nStep 5 49,085 52,435\nApproved by the coach: ________\nThe board shall meet. It reads: “Apply to the coach.”"
     lines = [*text.split("\n")[:4], "The board shall meet.", "It reads: “Apply to the coach.”", "shall meet. It reads: “Apply to the coach.”"]
