@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from clauseloom.functions.text import MISSING
 from clauseloom.operators.containment import stretch_pairs
 from clauseloom.llm.textform import consistent_form
 from clauseloom.session import cut, spread, table
@@ -25,11 +26,12 @@ LEAST = 5  # texts that end at a significant length
 TIMES = 3.0  # by which its hazard exceeds the neighbours'
 GOES_ON = 0.5  # share of the texts reaching a limit that at most are longer
 WORD = 24  # characters or bytes before a limit at which a text cut between words may end
-LEAST_WORDS = 3  # shorter evidence is a code word, not a quotation
+LEAST_WORDS = 2  # shorter evidence is a code word, not a quotation; of scripts without blanks each character is one
 LONG_TAIL, SHORT_TAIL = 60, 24  # characters of an ending that are looked up
 
 _CLOSERS = "\"'”’»)\\]"
 _MARK = r"(?:\.\.\.|…|\[\.\.\.\]|\[…\])"
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 _LEADER = r"(?:\.{4,}|…{2,}|(?:\. ){2,}\.?|_{2,})$"
 _ABBREVIATION = r"(?:[\d０-９]|\b(?:Art|Sec|No|Nos|p|pp|St|Dr|Mr|Mrs|Ms|vs|cf|e\.g|i\.e|etc))\.$"
 
@@ -44,7 +46,7 @@ def _ending(e: Column) -> dict[str, Column]:
 
 def evidence_rows(attempts: DataFrame) -> DataFrame:
     """attempt_id, source, document_id, evidence, e (evidence without blanks at the end), chars, bytes: an attempt once,
-    those with evidence of LEAST_WORDS words and more. Attempts of no source are a source of their own ('')."""
+    those with evidence of LEAST_WORDS words and more that is no code word. Attempts of no source are a source of their own ('')."""
     e = F.regexp_replace("evidence", r"(?U)\s+$", "")
     return (
         attempts.where("attempt_id is not null and evidence is not null")
@@ -52,7 +54,8 @@ def evidence_rows(attempts: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("document_id", F.coalesce("source", F.lit("")).alias("source"), "evidence")).alias("r"))
         .select("attempt_id", "r.document_id", "r.source", "r.evidence")
         .withColumn("e", e)
-        .where(F.size(F.split(F.trim("e"), r"(?U)\s+")) >= LEAST_WORDS)
+        .where((F.size(F.split(F.trim("e"), r"(?U)\s+")) >= LEAST_WORDS) | F.col("e").rlike(f"(?s)(?:{_UNSPACED}.*){{{LEAST_WORDS}}}"))
+        .where(~F.lower(F.trim("e")).isin(*MISSING))
         .withColumn("chars", F.length("evidence").cast("long"))
         .withColumn("bytes", F.octet_length("evidence").cast("long"))
     )

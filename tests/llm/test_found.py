@@ -260,6 +260,13 @@ def test_p5_complete_things_are_no_cuts(spark):
     assert {i for i, c in got.items() if c} == {100, 101, 102}
 
 
+def test_p5_short_and_unspaced_evidence(spark):
+    text = "董事会应当在每年九月之前支付教师的保险费用。委员会负责审查。\nUnconditional reinstatement follows the hearing."
+    rows = [(1, "a", text[:14]), (2, "a", text[:22]), (3, "a", "Unconditional reinsta"), (4, "a", "not discussed"), (5, "a", "None found"), (6, "a", " "), (7, "a", "not_discussed")]
+    got = {r.attempt_id: r.cut for r in p5.cut_evidence(attempts(spark, rows), passages(spark, [(1, "a", text)])).collect()}
+    assert got == {1: True, 2: False, 3: True}
+
+
 # --- 6
 
 
