@@ -1,38 +1,37 @@
 """Problem 8: pages of keywords, tags, product lists or links instead of prose or the entries of a contract document.
 
-An n-gram model over function-word classes and word classes is trained on the passages, that is on the indexed text of
-contract documents. Documents are cut into blocks of lines, and a block is suspect if its perplexity (bits a token) is
-abnormally high or low against the blocks of all documents (median and MAD). Suspect blocks count as spam if they are
-made of links and tags, or of content words in repeated pairs with hardly a number or a word that makes clauses among
-them; entries such as salary rows, directory lines, calendars and contents carry numbers and stay, and so do definitions
-and other monotonous sentences. A document is spam if more than half of its
-characters are spam.
-
-The model is a table over ORDER classes of fixed number, so its size does not depend on the data.
+An n-gram model of word classes is trained on the passages, that is on the indexed text of contract documents: the classes
+of function words, content words, content words in a pair that comes again near by, links and tags. Every text is cut into
+blocks of BLOCK scored words, and a block is abnormal if its perplexity (bits a word) lies beyond what all but a share of
+TAIL of the prose blocks of its length show, at the high or the low end. A document is spam if more than half of the characters of
+its words lie in abnormal blocks. Nothing but the perplexity decides.
+
+What is no sentence and no row of keywords has no score: runs of fewer than SENTENCE words between two numbers are
+entries (salary rows, directories, calendars, contents), and words of scripts without listed function words stay out.
+
+The model is a table over ORDER classes of fixed number, and the thresholds come from a histogram of fixed size, so neither
+depends on the size of the data.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clauseloom.session import cut, spread, table
+from clauseloom.session import spread, table
 
-ORDER = 4
-BLOCK_TOKENS = 25  # short lines are joined until a block has so many tokens
-SPREAD = 3.0  # deviations (1.4826 MAD) from the median at which a block's perplexity is abnormal
-LINKED = 0.35  # share of a block's characters in links and tags that makes it a list of links
-REPEATED = 0.4  # share of a block's content words in pairs (closed-class words aside) that come TIMES times in the document
-TIMES = 3
-CLAUSE = 0.1  # share of words that make clauses from which a block is sentences
-NUMBERS = 0.15  # share of numbers among words and numbers from which a block holds entries
-LINE_TOKENS = 180  # longer lines are cut at sentence ends
-NEAR = 0.5  # a block whose bits are within this share of the model's entropy is never abnormal
+ORDER = 5
+BLOCK = 25  # scored words of a block; the last one of a text may have half as many more
+NEAR = 200  # words within which a pair of content words counts as coming again
+SENTENCE = 8  # words between two numbers from which a run is scored
+TAIL = 0.001  # share of the prose blocks beyond each of the two thresholds
+LENGTHS = (12, 25)  # bounds of the block lengths that have thresholds of their own
+BINS, TOP = 100, 40  # histogram of bits: bins a bit, and its end
+BATCH_CHARS = 4_000_000  # characters that are scored at once
 
 # --- fixed values: closed word classes of English, Spanish, French and Portuguese --------------------------------
 CLOSED = {
@@ -43,65 +42,98 @@ CLOSED = {
     "pronoun": "he she it they we you i him them us me who what there él ella ellos lo il elle ils elles on y en ele ela eles isso",
     "negation": "not never no nor ni pas non não nem ningún ninguna aucun aucune nenhum",
 }
-_ROLES = ["line", *CLOSED, "lower", "capital", "upper", "number", "link", "tag", "comma", "stop", "colon", "bar", "quote", "bracket", "dash", "sign", "leader", "other", "verbal", "plural", "mixed", "question", "script"]
+_ROLES = ["edge", "function", "content", "link", "tag", "again"]
 ROLE = {name: i for i, name in enumerate(_ROLES)}
 K = len(_ROLES)
-_CLOSED_ROLE = {w: ROLE[role] for role, ws in reversed(CLOSED.items()) for w in ws.split()}
-_MARK = {",": "comma", ".": "stop", ";": "colon", ":": "colon", "|": "bar", "/": "bar", "•": "bar", "*": "bar", ">": "bar", "-": "dash", "–": "dash", "—": "dash",
-         "(": "bracket", ")": "bracket", "[": "bracket", "]": "bracket", "$": "sign", "%": "sign", "§": "sign", "€": "sign", "?": "question", "!": "question",
-         "“": "quote", "”": "quote", '"': "quote", "'": "quote", "’": "quote", "«": "quote", "»": "quote"}
+_FUNCTION = frozenset(w for ws in CLOSED.values() for w in ws.split())
+_NUMBER, _OTHER = K, K + 1  # roles that the model doesn't see
+_SHIFT = 4  # bits of a token's number that hold its role
 
-TOKEN = re.compile(r"\n|https?://[^\s()\[\]]+|www\.[^\s()\[\]]+|#\w+|\d[\d.,:/]*|[^\W\d_]+(?:['’][^\W\d_]+)*|\w+|\.\.+|…+|_+|[^\w\s]")
-_LINK = re.compile(r"https?://|www\.")
+TOKEN = re.compile(r"https?://[^\s()\[\]<>\"]+|www\.[^\s()\[\]<>\"]+|#\w+|\d[\d.,:/]*|[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
-class _Roles(dict):
-    """Role of every token; kept for tokens seen, and emptied when it has grown large."""
+class _Numbers(dict):
+    """A number for every token: that of its lower-case form, and its role in the last _SHIFT bits."""
 
     def __missing__(self, t: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        role = self[t] = _role(t)
-        return role
+        low = t.lower()
+        n = self[low] if low != t and low in self else (len(self) + 1 << _SHIFT) + _role(t, low)
+        self[t] = n
+        return n
 
 
-def _role(t: str) -> int:
-    if t == "\n":
-        return ROLE["line"]
-    if _LINK.match(t):
-        return ROLE["link"]
+def _role(t: str, low: str) -> int:
     c = t[0]
-    if c == "#" and len(t) > 1:
+    if c == "#":
         return ROLE["tag"]
     if c.isdigit():
-        return ROLE["number"]
-    if c.isalpha():
-        low = t.lower()
-        if low in _CLOSED_ROLE:
-            return _CLOSED_ROLE[low]
-        if ord(c) >= 0x250 and not 0x1E00 <= ord(c) < 0x1F00:
-            return ROLE["script"]
-        if t.islower():
-            if low.endswith(("ing", "ed", "ar", "er", "ir")):
-                return ROLE["verbal"]
-            return ROLE["plural"] if low.endswith("s") else ROLE["lower"]
-        return ROLE["upper"] if t.isupper() and len(t) > 1 else ROLE["capital"]
-    if len(t) > 1 and c in "._…" or c == "…":
-        return ROLE["leader"]
-    return ROLE[_MARK.get(t, "mixed" if t.isalnum() else "other")]
+        return _NUMBER
+    if t.startswith(("http://", "https://", "www.")):
+        return ROLE["link"]
+    if low in _FUNCTION:
+        return ROLE["function"]
+    return _OTHER if ord(c) >= 0x250 and not 0x1E00 <= ord(c) < 0x1F00 else ROLE["content"]
+
+
+def roles_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens of some texts, one after another: the text's place, the role (that of a content word in a pair that
+    comes again is `again`, that of entries _OTHER), the number of characters."""
+    numbers = _Numbers()
+    found = [TOKEN.findall(t) for t in texts]
+    text = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+    flat = [t for f in found for t in f]
+    n = np.fromiter(map(numbers.__getitem__, flat), np.int64, len(flat))
+    chars = np.fromiter(map(len, flat), np.int64, len(flat))
+    role = n & (1 << _SHIFT) - 1
+    content = role == ROLE["content"]
+    pair = np.flatnonzero(content[1:] & content[:-1] & (text[1:] == text[:-1])) + 1
+    # equal pairs one behind the other, in the order of their places
+    code = (n[pair - 1] >> _SHIFT) * (len(numbers) + 2) + (n[pair] >> _SHIFT)
+    order = np.argsort(code, kind="stable")
+    near = (code[order][1:] == code[order][:-1]) & (text[pair[order][1:]] == text[pair[order][:-1]]) & (np.diff(pair[order]) <= NEAR)
+    role[pair[order[1:][near]]] = role[pair[order[:-1][near]]] = ROLE["again"]
+    # words between two numbers, or a number and the text's end
+    number = role == _NUMBER
+    run = np.cumsum(number | np.append(True, text[1:] != text[:-1])[: len(text)])
+    words = np.bincount(run, ~number & (role != _OTHER), int(run[-1]) + 1 if len(run) else 1)
+    loose = (role != ROLE["link"]) & (role != ROLE["tag"])
+    role[loose & (words[run] < SENTENCE)] = _OTHER
+    return text, role, chars
+
+
+def _codes(text: np.ndarray, role: np.ndarray) -> np.ndarray:
+    """The numbers of the runs of ORDER classes that end at each scored word; a text begins after ORDER - 1 edges."""
+    at = np.arange(len(role)) - np.searchsorted(text, text)
+    c = np.zeros(len(role), np.int64)
+    for back in range(ORDER - 1, -1, -1):
+        before = np.roll(role, back)
+        c = c * K + np.where(at >= back, before, ROLE["edge"])
+    return c
+
+
+def _parts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a batch in parts of bounded size, with the place of the first; nulls as empty texts."""
+    held: list[str] = []
+    size = first = 0
+    for i, t in enumerate(column.to_pylist()):
+        held.append(t or "")
+        size += len(held[-1])
+        if size > BATCH_CHARS:
+            yield first, held
+            held, size, first = [], 0, i + 1
+    if held:
+        yield first, held
 
 
 def ngram_counts(texts: DataFrame) -> np.ndarray:
-    """Counts of all runs of ORDER classes over a frame with one text column; texts begin and end as lines do."""
+    """Counts of all runs of ORDER classes over a frame with one text column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roles, counts = _Roles(), np.zeros(K**ORDER, np.int64)
+        counts = np.zeros(K**ORDER, np.int64)
         for b in batches:
-            text = "\n\n\n".join(t for t in b.column(0).to_pylist() if t)
-            for part in [text[i : i + 4_000_000] for i in range(0, len(text), 4_000_000)]:
-                r = np.fromiter(map(roles.__getitem__, TOKEN.findall(part)), np.int64)
-                if len(r) >= ORDER:
-                    counts += np.bincount(_codes(r), minlength=K**ORDER)
+            for _, part in _parts(b.column(0)):
+                text, role, _ = roles_of(part)
+                counts += np.bincount(_codes(text[role < K], role[role < K]), minlength=K**ORDER)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["code", "n"])
 
@@ -111,13 +143,6 @@ def ngram_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _codes(r: np.ndarray) -> np.ndarray:
-    c = np.zeros(len(r) - ORDER + 1, np.int64)
-    for i in range(ORDER):
-        c = c * K + r[i : len(r) - ORDER + 1 + i]
-    return c
-
-
 def bits_table(counts: np.ndarray) -> np.ndarray:
     """Bits of the last class given those before, each order mixed with the next shorter one."""
     full = counts.reshape((K,) * ORDER)
@@ -128,110 +153,89 @@ def bits_table(counts: np.ndarray) -> np.ndarray:
     return (-np.log2(p)).astype(np.float32).ravel()
 
 
-def _cuts(r: np.ndarray) -> list[tuple[int, int]]:
-    """Blocks of a text's tokens: a line of BLOCK_TOKENS and more by itself, shorter ones joined; lines of more than
-    LINE_TOKENS are cut at the ends of sentences."""
-    ends = np.flatnonzero(r == ROLE["line"]) + 1
-    out: list[tuple[int, int]] = []
-    start = before = 0
-    for e in [*ends.tolist(), len(r)]:
-        n = e - before
-        if before > start and n >= BLOCK_TOKENS:
-            out.append((start, before))
-            start = before
-        if n > LINE_TOKENS:
-            for stop in (np.flatnonzero(np.isin(r[start:e], (ROLE["stop"], ROLE["question"]))) + start + 1).tolist():
-                if stop - start >= LINE_TOKENS // 3 and e - stop >= BLOCK_TOKENS:
-                    out.append((start, stop))
-                    start = stop
-        if e - start > BLOCK_TOKENS:
-            out.append((start, e))
-            start = e
-        before = e
-    if start < len(r):
-        out.append((start, len(r)))
-    return out
+def scored_blocks(texts: list[str], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all blocks: the text's place, scored words, bits a word, characters of the words. And the characters of the words,
+    scored or not, of each text."""
+    text, role, chars = roles_of(texts)
+    every = np.bincount(text, chars, len(texts))
+    keep = role < K
+    text, role, chars = text[keep], role[keep], chars[keep]
+    cost = bits[_codes(text, role)].astype(np.float64)
+    at = np.arange(len(text)) - np.searchsorted(text, text)
+    size = np.bincount(text, minlength=len(texts))[text]
+    # what is left of a text joins the block before it, if it is less than half a block
+    block = np.minimum(at // BLOCK, np.maximum(1, (size + BLOCK // 2) // BLOCK) - 1)
+    starts = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (block[1:] != block[:-1]))[: len(text)])
+    if not len(starts):
+        return text, text, cost, chars, every
+    words = np.diff(np.append(starts, len(text)))
+    return text[starts], words, np.add.reduceat(cost, starts) / words, np.add.reduceat(chars, starts), every
+
+
+def _bucket(words: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LENGTHS, words, side="right")
 
 
-_CONTENT = np.isin(np.arange(K), [ROLE[x] for x in ("lower", "capital", "upper", "verbal", "plural", "script")])
-_CLAUSE = np.isin(np.arange(K), [ROLE[x] for x in ("determiner", "conjunction", "auxiliary", "negation")])
-_CLOSED_ROLES = np.isin(np.arange(K), [ROLE[x] for x in CLOSED])
-_LINKS = np.isin(np.arange(K), [ROLE["link"], ROLE["tag"]])
-
-
-def measured_blocks(text: str, bits: np.ndarray, usual: float, roles: _Roles) -> list[tuple[int, float, float, float, float, float]]:
-    """(characters, bits a token, share of links, share of repeated content words, share of numbers, share of determiners,
-    auxiliaries and other words that make clauses) of each block;
-    repetition is measured where the bits are NEAR or more away from the usual."""
-    tokens = TOKEN.findall(text.replace("\f", "\n"))
-    if not tokens:
-        return []
-    r = np.fromiter(map(roles.__getitem__, tokens), np.int64, len(tokens))
-    size = np.fromiter(map(len, tokens), np.int64, len(tokens)) * (r != ROLE["line"])
-    cost = bits[_codes(np.concatenate([np.zeros(ORDER - 1, np.int64), r]))].astype(np.float64)
-    blocks = _cuts(r)
-    starts = np.array([a for a, _ in blocks])
-    total = lambda x: np.add.reduceat(x, starts)
-    chars, content, numbers = total(size), total(_CONTENT[r].astype(np.int64)), total((r == ROLE["number"]).astype(np.int64))
-    every = content + numbers + total(_CLOSED_ROLES[r].astype(np.int64))
-    cost = total(cost) / np.diff(np.append(starts, len(r)))
-    linked = total(size * _LINKS[r]) / np.maximum(1, chars)
-    far = np.abs(cost - usual) >= NEAR * usual
-    repeated = np.zeros(len(blocks))
-    if far.any():
-        of = np.repeat(np.arange(len(blocks)), np.diff(np.append(starts, len(r))))
-        at = np.flatnonzero(~_CLOSED_ROLES[r])  # closed-class words between two words don't count
-        words = [tokens[i].lower() if c else "" for i, c in zip(at.tolist(), _CONTENT[r[at]].tolist())]
-        pairs = Counter(pair for pair in zip(words, words[1:]) if pair[0] and pair[1])
-        often = {pair for pair, n in pairs.items() if n >= TIMES}
-        hit = np.zeros(len(r), bool)
-        for k, pair in enumerate(zip(words, words[1:])):
-            if pair in often:
-                hit[at[k]] = hit[at[k + 1]] = True
-        repeated = np.bincount(of, hit, len(blocks)) / np.maximum(1, content)
-    clause = total(_CLAUSE[r].astype(np.int64)) / np.maximum(1, every)
-    rows = np.column_stack([chars, cost, linked, repeated, numbers / np.maximum(1, every), clause])
-    return [(int(row[0]), *row[1:]) for row in rows.tolist() if row[0]]
-
-
-_FIELDS = "doc_id long, chars int, bits double, linked double, repeated double, numbers double, clause double"
-
-
-def blocks_of(documents: DataFrame, bits: np.ndarray, usual: float) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(bits)
+def _bin(bits: np.ndarray) -> np.ndarray:
+    return np.minimum(bits * BINS, BINS * TOP - 1).astype(np.int64)
+
+
+def thresholds(texts: DataFrame, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each class of lengths the bins below and above which no more than TAIL of the prose blocks lie. A class with less
+    than 1 / TAIL blocks tells no tail: it takes the outer ones of its own and of the next that does."""
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+    n = len(LENGTHS) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roles = _Roles()
-        kinds = [pa.int64(), pa.int32(), *[pa.float64()] * 5]
+        counts = np.zeros(n * BINS * TOP, np.int64)
         for b in batches:
-            out = [(i, *m) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in measured_blocks(t, shared.value, usual, roles)]
-            cols = list(zip(*out)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [f.split()[0] for f in _FIELDS.split(", ")])
+            for _, part in _parts(b.column(0)):
+                _, words, cost, _, _ = scored_blocks(part, shared.value)
+                counts += np.bincount(_bucket(words) * BINS * TOP + _bin(cost), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["code", "n"])
 
-    return documents.mapInArrow(run, _FIELDS)
+    histogram = np.zeros(n * BINS * TOP)
+    for code, count in texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toLocalIterator():
+        histogram[code] = count
+    low, high = np.zeros(n, np.int64), np.full(n, BINS * TOP)
+    known = False  # whether a longer class has thresholds
+    for i in reversed(range(n)):
+        h = histogram.reshape(n, -1)[i]
+        below, total = np.cumsum(h), h.sum()
+        if total:
+            low[i], high[i] = np.searchsorted(below, TAIL * total, side="right"), np.searchsorted(below, (1 - TAIL) * total, side="left")
+        if known and total * TAIL < 1:
+            low[i], high[i] = (min(low[i], low[i + 1]), max(high[i], high[i + 1])) if total else (low[i + 1], high[i + 1])
+        known = known or total > 0
+    return low, high
 
 
 def spam_shares(documents: DataFrame, prose: DataFrame) -> DataFrame:
-    """doc_id, share of characters in spam blocks, for documents with text; null, empty and blank texts are left out.
-    documents: doc_id, text; prose: text to train on."""
-    counts = ngram_counts(spread(prose.where("text is not null").select("text")))
-    bits = bits_table(counts)
-    usual = float((counts * bits).sum() / max(1.0, counts.sum())) or float(np.log2(K))
+    """doc_id, share of the characters of a document's words that lie in abnormal blocks, for documents with text (a text
+    without words: 0); null texts and rows without an id are left out. documents: doc_id, text; prose: text to train on."""
+    trained = spread(prose.where("text is not null").select("text"))
+    bits = bits_table(ngram_counts(trained))
+    plan = documents.sparkSession.sparkContext.broadcast((bits, *thresholds(trained, bits)))
     rows = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
-    blocks = cut(blocks_of(rows, bits, usual))
-    middle = blocks.select(F.percentile_approx("bits", 0.5, 1000).alias("m")).first()["m"]
-    if middle is None:
-        return blocks.select("doc_id", F.lit(0.0).alias("share"))
-    width = blocks.select(F.percentile_approx(F.abs(F.col("bits") - middle), 0.5, 1000).alias("m")).first()["m"] * 1.4826 * SPREAD
-    abnormal = (F.abs(F.col("bits") - middle) > width) & (F.abs(F.col("bits") - usual) >= NEAR * usual)
-    kind = (F.col("linked") >= LINKED) | ((F.col("repeated") >= REPEATED) & (F.col("numbers") < NUMBERS) & (F.col("clause") < CLAUSE))
-    return blocks.groupBy("doc_id").agg((F.sum(F.when(abnormal & kind, F.col("chars")).otherwise(0)) / F.sum("chars")).alias("share"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, low, high = plan.value
+        for b in batches:
+            for first, part in _parts(b.column(1)):
+                text, words, cost, chars, every = scored_blocks(part, bits)
+                k, at = _bucket(words), _bin(cost)
+                spam = np.bincount(text, chars * ((at < low[k]) | (at > high[k])), len(part))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(part)), pa.array(spam / np.maximum(1, every))], ["doc_id", "share"])
+
+    return rows.mapInArrow(run, "doc_id long, share double")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spam_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "passages")).where(F.col("share") > 0.5).select("doc_id")
+    return spam_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "passages")).where(F.col("share") > 0.5).select("doc_id").distinct()
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with text, and the share of it that is spam."""
-    return spam_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "passages")).select("doc_id", F.round("share", 4).alias("share"))
+    shares = spam_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "passages"))
+    return shares.groupBy("doc_id").agg(F.round(F.max("share"), 4).alias("share"))

@@ -328,10 +328,12 @@ def test_p7_against_brute_force(spark):
 # --- 8
 
 
-def test_p8_tells_spam_from_entries(spark):
+def test_p8_tells_spam_from_entries(spark, monkeypatch):
     rng = random.Random(3)
     roles = "teacher coach counselor nurse steward aide".split()
     prose = [" ".join(f"The {rng.choice(roles)} shall {rng.choice(['file', 'keep', 'review'])} the {rng.choice(['roster', 'notice', 'report'])} of the {rng.choice(roles)} within {rng.randint(2, 90)} days." for _ in range(9)) for _ in range(300)]
+    # the model must have seen such lists: every tenth text of prose is one
+    prose[::10] = ["\n".join(f"“{rng.choice(roles).title()}” means a person who {rng.choice(['files', 'keeps'])} the {rng.choice(['roster', 'report', 'notice'])}." for _ in range(12)) for _ in prose[::10]]
     phrases = ["pay scale", "school jobs", "tutor near me", "lesson plan bundle", "grievance template"]
     spam = {1: ", ".join(rng.choices(phrases, k=60)), 2: "\n".join(f"https://www.x{rng.randint(1, 99)}.test/{rng.choice(phrases).replace(' ', '-')}" for _ in range(30)), 3: " ".join("#" + rng.choice(phrases).title().replace(" ", "") for _ in range(60)), 4: prose[0][:150] + "\n" + " | ".join(rng.choices(phrases, k=70))}
     fine = {11: "\n".join(f"{i} $4{i:02},300 $5{i:02},400" for i in range(10, 40)), 12: "\n".join(f"Old{i} School, room {i}, head coach, ext. {7000 + i}" for i in range(30)), 13: "\n".join(f"November {i} No school" for i in range(1, 30)), 14: prose[1] * 3 + "\nhttps://www.a.test/b\nhttps://www.c.test/d", 15: "", 16: None, 17: "\n".join(f"“Coach” means a person who files the {rng.choice(['roster', 'report'])}." for _ in range(20))}
@@ -341,6 +343,21 @@ def test_p8_tells_spam_from_entries(spark):
     assert 16 not in got
     empty = documents(spark, rows).where("false")
     assert p8.spam_shares(empty, passages(spark, [])).count() == 0
+    monkeypatch.setattr(p8, "thresholds", lambda texts, bits: (np.zeros(3, np.int64), np.full(3, p8.BINS * p8.TOP)))  # perplexity switched off
+    assert {r.share for r in p8.spam_shares(documents(spark, rows), passages(spark, [(i, "d", t) for i, t in enumerate(prose)])).collect()} == {0.0}
+
+
+def test_p8_roles_and_blocks():
+    text, role, chars = p8.roles_of(["lesson plan kit, the lesson plan 9 room 4", "", "#Tag https://a.test/x"])
+    names = [p8._ROLES[r] if r < p8.K else "-" for r in role]
+    assert text.tolist() == [0] * 9 + [2] * 2 and chars.sum() == 52
+    assert names == ["-"] * 9 + ["tag", "link"]  # fewer than SENTENCE words are entries
+    _, role, _ = p8.roles_of(["lesson plan kit, the lesson plan is a good one"])
+    assert [p8._ROLES[r] for r in role] == ["content", "again", "content", "function", "content", "again", "function", "function", "content", "content"]
+    bits = np.ones(p8.K**p8.ORDER, np.float32)
+    for n, want in ((3, [3]), (25, [25]), (37, [37]), (38, [25, 13]), (62, [25, 37])):
+        _, words, cost, _, _ = p8.scored_blocks(["x " * 0, "#t " * n], bits)
+        assert words.tolist() == want and (cost == 1).all()
 
 
 # --- all of them on the driver's smallest tables
