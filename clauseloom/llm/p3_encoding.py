@@ -6,12 +6,13 @@ where it is improbable. Pairs without a character beyond ASCII count as probable
 text are its improbable runs; inside these inverse mappings are tested, and one is taken if it makes the stretch
 more probable by GAIN bits (self-information of its characters less the mutual information of its pairs):
 - bytes of UTF-8 read as another encoding (also twice and three times, also with bytes lost that the encoding lacks),
-- what is left of a cp1252 sequence that lost a byte (_SHORT; this one pattern is tested on the whole text),
+- what is left of a cp1252 sequence that lost a byte (_SHORT),
 - bytes of one single-byte encoding read as another (look-alike letters of other scripts excepted: problem 1).
 Letters that occur nowhere else in the corpus count as no rarer than the characters they were read as. They are taken if
 they form a run of one script, or complete words in lower case: two that gain GAIN bits or one that gains UNSEEN_GAIN. The
 other unknown letters that the same encoding and script give in that text are taken with them.
-Replacement characters and C1 control characters are damage by themselves.
+Replacement characters and C1 control characters stand for no letter of any language: they count as rare however often the
+corpus holds them, so that they lie in runs; in a run they are damage by themselves.
 
 The corpus statistics are of bounded size: one count for each pair of classes and one for each code point.
 """
@@ -35,6 +36,7 @@ THRESHOLD = 3.0  # bits by which a pair must be improbable to score above zero
 GAP = 8.0  # what a pair of ASCII characters costs a run
 COMMON_BITS = 11.0  # characters with less self-information than this get no bonus for rarity
 TWO_WIDE = 5.0  # bonus of a pair of characters beyond ASCII
+LOST_BITS = 8.0  # bonus of replacement and C1 control characters
 GAIN = 5.0  # bits that an inverse mapping must gain
 UNSEEN_GAIN = 8.0  # ... for one letter that the corpus doesn't hold, alone in its text
 WEAK_GAIN = 1.0  # ... that a change must gain in a text where the same mapping gains GAIN bits elsewhere
@@ -109,6 +111,7 @@ class Model:
         self.bits = np.clip(-np.log2((single + 0.5) / (single.sum() + 1.0)), 0, 24).astype(np.float32)
         self.rare = np.clip(self.bits - COMMON_BITS, 0, 8)
         self.rare[:128] = 0
+        self.rare[[0xFFFD, *range(0x80, 0xA0)]] = LOST_BITS
         self.seen = (single > 0).tolist()
         self.kind, self.odd_list, self.bit_list = self.of.tolist(), self.odd.tolist(), self.bits.tolist()
 
@@ -211,7 +214,7 @@ def _completes(before: str, new: str, after: str) -> bool:
 
 
 def _undo_utf8(text: str, runs: list[tuple[int, int]], model: Model, made: set[str]) -> str:
-    """The sequences that lie in the runs (with two characters around), and what _SHORT finds anywhere, decoded where that gains GAIN bits. made: gets the
+    """The sequences that lie in the runs (with a few characters around) decoded where that gains GAIN bits. made: gets the
     letters that the corpus doesn't hold."""
     best: list[tuple[float, int, int, str]] = []
     unseen: dict[tuple[str, str], list[tuple[int, float, int, int, str]]] = {}  # by encoding and script
@@ -249,7 +252,7 @@ def _undo_utf8(text: str, runs: list[tuple[int, int]], model: Model, made: set[s
         if sum(x[0] for x in letters) > 1:  # one that is sure or two that are likely; the others of their kind go with them
             best += [x[1:] for x in letters]
             made.update(*[x[4] for x in letters])
-    for m in _SHORT.finditer(text):
+    for m in (m for lo, hi in spans for m in _SHORT.finditer(text, lo, hi)):
         a, b = m.span()
         before, after = text[max(0, a - 1) : a] or " ", text[b : b + 1] or " "
         stem = b"\xe2\x80" if m.group() == "â€" else b"\xc3"
@@ -309,7 +312,7 @@ def restore(text: str, model: Model, runs: list[tuple[int, int]]) -> tuple[str,
         if new == text:
             break
         text, runs = new, improbable_runs(new, model)
-    left = _LOSS.search(text) is not None
+    left = any(_LOSS.search(text, max(0, lo), hi + 2) for lo, hi in runs)
     return text, left or text != first, left
 
 
@@ -334,9 +337,7 @@ def repaired(texts: DataFrame, pairs: np.ndarray, single: np.ndarray) -> DataFra
                 ends = np.cumsum([len(t) + 1 for _, t in rows])
                 which = np.searchsorted(ends, at, side="right")
                 cuts = np.searchsorted(which, np.arange(len(rows) + 1))
-                high = np.array([_LOSS.search(t) is not None for _, t in rows], bool)
-                np.logical_or.at(high, which[s > 0], True)
-                for r in np.flatnonzero(high):
+                for r in np.unique(which[s > 0]):
                     i, t = rows[r]
                     lo, hi = cuts[r], cuts[r + 1]
                     start = int(ends[r]) - len(t) - 1
