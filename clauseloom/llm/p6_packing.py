@@ -3,7 +3,7 @@
 Best-fit decreasing over sizes in tokens. Texts of one size are interchangeable, so the packing is solved on the counts
 of the sizes, of which there are no more than the capacity: a segment tree over remaining capacities finds the tightest
 open container in logarithmic time, and runs of containers in the same state are treated at once. Every text then gets
-its container from its rank among the texts of its size. The result is exactly that of best-fit decreasing text by text,
+its container from its rank among the texts of its size; pieces that fill a container need none. The result is exactly that of best-fit decreasing text by text,
 but neither the driver nor a task holds more than the sizes.
 """
 
@@ -22,7 +22,7 @@ CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's tokenizer splits text before it merges bytes.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SALTS = 64  # parts into which the texts of one size are split to be ranked
+PART = 200_000  # texts of one size, about, that are ranked in one task
 
 
 @lru_cache(maxsize=2)
@@ -119,35 +119,43 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> tup
     return rows, made
 
 
-def ranked(items: DataFrame, salts: int = SALTS) -> DataFrame:
-    """items with `rank` from 0 among those of one size, by doc_id and piece inside a part of the hash of both; no part
-    holds more than about 1/salts of a size."""
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    before = Window.partitionBy("size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = salted.groupBy("size", "_salt").agg(F.count(F.lit(1)).alias("_n")).select("size", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("size", "_salt").orderBy("doc_id", "piece")
-    return salted.withColumn("_row", F.row_number().over(inside)).join(offsets, ["size", "_salt"]).withColumn("rank", F.col("_before") + F.col("_row") - 1).drop("_salt", "_before", "_row")
+def ranked(items: DataFrame, key: list[str], most: int, weight: str | None = None) -> DataFrame:
+    """items with `rank` from 0 among those of one size: how many come before in the order of the key inside a part of the
+    key's hash. most: items of the commonest size; no part holds more than about PART of them. weight: a column that says
+    for how many items a row stands."""
+    salts = max(1, -(-most // PART))
+    one = F.col(weight) if weight else F.lit(1)
+    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(salts)))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    inside = salted.withColumn("_row", F.coalesce(F.sum(one).over(before("size", "_salt").orderBy(*key)), F.lit(0)))
+    if salts == 1:
+        return inside.withColumn("rank", F.col("_row")).drop("_salt", "_row")
+    counts = salted.groupBy("size", "_salt").agg(F.sum(one).alias("_n"))  # no more rows than sizes times salts
+    offsets = counts.select("size", "_salt", F.coalesce(F.sum("_n").over(before("size").orderBy("_salt")), F.lit(0)).alias("_before"))
+    return inside.join(offsets, ["size", "_salt"]).withColumn("rank", F.col("_before") + F.col("_row")).drop("_salt", "_before", "_row")
 
 
 def containers(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, n_tokens, container for (doc_id, n_tokens): a text within the capacity is piece 0, a longer one
     is cut into full containers and a last piece that is packed with the others. Texts without tokens are left out;
-    ties are broken by doc_id."""
-    pieces = F.sequence(F.lit(0), ((F.col("n_tokens") - 1) / capacity).cast("int"))
-    items = sizes.where("n_tokens > 0").select("doc_id", "n_tokens", F.explode(pieces).alias("piece"))
-    items = items.select("doc_id", "piece", F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * capacity).alias("size"))
-    counts = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows, _ = best_fit_decreasing(counts, capacity)
-    spark = sizes.sparkSession
+    ties are broken by doc_id. The containers of full pieces are numbered after the packed ones, those of one text one after another."""
+    rest = F.pmod("n_tokens", F.lit(capacity))
+    texts = sizes.where("n_tokens > 0").select("doc_id", rest.cast("long").alias("size"), F.floor(F.col("n_tokens") / capacity).alias("full"))
+    counted = texts.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("full") > 0).cast("long")).alias("long")).collect()
+    counts = {r["size"]: r["n"] for r in counted if r["size"]}
+    rows, made = best_fit_decreasing(counts, capacity)
     schema = "size long, first_rank long, n long, first_container long, each long"
-    places = F.broadcast(spark.createDataFrame(rows, schema))  # no more rows than a few for each size up to the capacity
+    places = F.broadcast(sizes.sparkSession.createDataFrame(rows, schema))  # no more rows than a few for each size up to the capacity
     at = F.col("rank") - F.col("first_rank")
-    return (
-        ranked(items)
+    packed = (
+        ranked(texts.where("size > 0").withColumn("piece", F.col("full").cast("int")), ["doc_id"], max(counts.values(), default=0))
         .join(places, "size")
         .where((at >= 0) & (at < F.col("n")))
         .select("doc_id", "piece", F.col("size").alias("n_tokens"), (F.col("first_container") + F.floor(at / F.col("each"))).alias("container"))
     )
+    long = ranked(texts.where("full > 0").withColumn("size", F.lit(0)), ["doc_id"], sum(r["long"] for r in counted), "full")
+    whole = long.select("doc_id", "rank", F.explode(F.sequence(F.lit(0), (F.col("full") - 1).cast("int"))).alias("piece"))
+    return packed.unionByName(whole.select("doc_id", "piece", F.lit(capacity).cast("long").alias("n_tokens"), (F.col("rank") + F.col("piece") + made).alias("container")))
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

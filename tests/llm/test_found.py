@@ -270,7 +270,9 @@ def test_p5_short_and_unspaced_evidence(spark):
 # --- 6
 
 
-def test_p6_equals_item_by_item(spark):
+@pytest.mark.parametrize("part", [200_000, 7])
+def test_p6_equals_item_by_item(spark, monkeypatch, part):
+    monkeypatch.setattr(p6, "PART", part)
     rng = random.Random(7)
     sizes = [(i, rng.choice([rng.randint(1, 60), rng.randint(1, 250), 17])) for i in range(400)]
     rows = p6.containers(spark.createDataFrame([*sizes, (1000, 0)], "doc_id long, n_tokens long"), 100).collect()
