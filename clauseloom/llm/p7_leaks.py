@@ -5,8 +5,8 @@ words. A shift table tells for every block how far the search may jump (RUN - 1
 blocks that end a pattern lead to a bucket of patterns, told apart by a hash of all their words, and a direct comparison
 confirms. All documents of a batch are searched at once, each with its own cursor, in numpy.
 
-Items are taken in blocks of at most BLOCK_WORDS words, so what is broadcast is bounded; every block is searched for in
-all documents.
+Items are taken in blocks of at most BLOCK_WORDS words. Their tables are built once, as arrays of about 30 bytes a word, so
+what is broadcast is bounded; every block is searched for in all documents.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clauseloom.session import cut, spread, table
 
 RUN = 13  # consecutive words that make a leak
-BLOCK_WORDS = 500_000  # words of items searched for at once
+BLOCK_WORDS = 2_000_000  # words of items searched for at once
 BATCH_CHARS = 8_000_000  # characters of documents searched at once; a longer document is searched by itself
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
@@ -32,33 +32,43 @@ def words(text: str) -> list[bytes]:
 
 
 class Patterns:
-    """Shift table and buckets of the runs of words of some items."""
+    """Shift table and buckets of the runs of words of some items. The words of all items stand one after another in `flat`;
+    a run is the place where it begins."""
 
     def __init__(self, items: list[tuple[int, str]], run: int = RUN):
         self.run = run
         self.ids: dict[bytes, int] = {}
-        rows, owners = [], []
-        for item, text in items:
-            w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words(text)]
-            for i in range(len(w) - run + 1):
-                rows.append(w[i : i + run])
-                owners.append(item)
+        lines = [np.fromiter((self.ids.setdefault(x, len(self.ids) + 1) for x in words(text)), np.int32) for _, text in items]
+        sizes = np.array([len(w) for w in lines], np.int64)
+        self.flat = np.concatenate(lines) if lines else np.zeros(0, np.int32)
+        ends = np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(items)), sizes)
+        starts = np.flatnonzero(np.arange(len(self.flat)) + run <= ends[owner]) if len(self.flat) else np.zeros(0, np.int64)
         self.base = len(self.ids) + 1
-        m = np.array(rows, np.int64).reshape(-1, run)
-        rng = np.random.default_rng(7)
-        self.factors = rng.integers(1, 2**62, run, dtype=np.int64) | 1
-        h = (m * self.factors).sum(1)
+        self.factors = np.random.default_rng(7).integers(1, 2**62, run, dtype=np.int64) | 1
+        h = np.zeros(len(starts), np.int64)
+        code, shift = [], []
+        for k in range(run):
+            h += self.flat[starts + k] * self.factors[k]
+            if k + 1 < run:
+                code.append(self.flat[starts + k].astype(np.int64) * self.base + self.flat[starts + k + 1])
+                shift.append(np.full(len(starts), run - 2 - k, np.int8))
+                if k % 4 == 3 or k + 2 == run:  # the least shift of each block so far
+                    code, shift = ([x] for x in self._least(np.concatenate(code), np.concatenate(shift)))
         order = np.argsort(h, kind="stable")
-        self.rows, self.hashes, self.owners = m[order], h[order], np.array(owners, np.int64)[order]
-        pairs = m[:, :-1] * self.base + m[:, 1:]
-        shift = np.broadcast_to(np.arange(run - 2, -1, -1), pairs.shape)
-        order = np.lexsort((shift.ravel(), pairs.ravel()))
-        codes, first = np.unique(pairs.ravel()[order], return_index=True)
-        self.blocks, self.shifts = codes, shift.ravel()[order][first]
+        self.starts, self.hashes = starts[order].astype(np.int32), h[order]
+        self.owners = np.array([i for i, _ in items], np.int64)[owner[starts[order]]] if len(items) else np.zeros(0, np.int64)
+        self.blocks, self.shifts = (code[0], shift[0]) if code else (np.zeros(0, np.int64), np.zeros(0, np.int8))
+
+    @staticmethod
+    def _least(code: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((shift, code))
+        codes, first = np.unique(code[order], return_index=True)
+        return codes, shift[order][first]
 
     def search(self, texts: list[str]) -> list[tuple[int, int]]:
         """(place of the text, item) of every item of which a text holds a run; each once."""
-        if not len(self.rows):
+        if not len(self.starts):
             return []
         get, found = self.ids.get, []
         parts = [np.fromiter((get(w, 0) for w in words(t)), np.int64) for t in texts]
@@ -71,7 +81,7 @@ class Patterns:
         while len(at):
             code = ids[at - 1] * self.base + ids[at]
             k = np.minimum(np.searchsorted(self.blocks, code), len(self.blocks) - 1)
-            jump = np.where(self.blocks[k] == code, self.shifts[k], self.run - 1)
+            jump = np.where(self.blocks[k] == code, self.shifts[k].astype(np.int64), self.run - 1)
             if (zero := jump == 0).any():
                 hits.append((which[zero], at[zero]))
             at = at + np.maximum(jump, 1)
@@ -84,16 +94,16 @@ class Patterns:
             low, high = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, side="right")
             for r in np.flatnonzero(high > low):
                 for p in range(low[r], high[r]):
-                    if (self.rows[p] == windows[r]).all():
+                    if (self.flat[self.starts[p] : self.starts[p] + self.run] == windows[r]).all():
                         found.append((int(doc[r]), int(self.owners[p])))
         return list(dict.fromkeys(found))
 
 
 def _search(documents: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(items)
+    shared = documents.sparkSession.sparkContext.broadcast(Patterns(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = Patterns(shared.value)
+        patterns = shared.value
 
         def done(ids: list[int], texts: list[str]) -> pa.RecordBatch:
             hits = patterns.search(texts)
