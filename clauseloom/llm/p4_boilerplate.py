@@ -1,11 +1,13 @@
 """Problem 4: lines repeated across the documents of one district.
 
-The lines of a district are the nodes of a graph, weighted by the documents they occur in; consecutive lines are its
-edges. Nodes and edges of high support stay, connected components are the district's boilerplate blocks, and the
-occurrences of their lines are removed.
+The lines of a district are the nodes of a graph and pairs of consecutive lines its edges, both weighted by the documents
+they occur in (blank lines don't come between two lines). Nodes and edges of high support stay, and the connected components
+are the district's boilerplate blocks: a line that always stands alone is a block of its own. Occurrences of a block are
+runs of its lines in a passage that kept edges hold together, and these are deleted.
 
 A node needs a tenth of its district's documents, so a district has no more than ten times as many nodes as its
-documents have lines on average: the components of a district are found in one task however many documents it has.
+documents have lines on average, and as many edges: the components of a district are found in one task however many
+documents it has.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ DOCUMENTS = 4  # least documents of a line or an edge
 SHARE = 0.1  # least share of the district's documents with passages
 WORDS = 4  # least words of a line
 
+NODE, NEXT = ["k1", "k2"], ["b1", "b2"]
+
 
 def line_key(line: str = "line") -> str:
     """SQL: the words that the letters of a line form, without case, blanks, digits and punctuation."""
@@ -37,70 +41,81 @@ def districts_of(documents: DataFrame) -> DataFrame:
 
 
 def lines_of(passages: DataFrame, documents: DataFrame) -> DataFrame:
-    """passage_id, line_no, district, doc, k1, k2, words of the lines of passages whose document has a district; doc and
-    (k1, k2) are hashes of the document's id and of the line's words."""
-    located = passages.where("passage_id is not null").select("passage_id", "document_id", "text").join(districts_of(documents), "document_id")
-    lines = located.select("passage_id", "document_id", "district", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    keyed = lines.select("passage_id", (F.col("at") + 1).cast("long").alias("line_no"), "district", F.xxhash64("document_id").alias("doc"), F.expr(line_key()).alias("key"))
-    return keyed.where(F.size(F.split("key", " ")) >= WORDS).select(
-        "passage_id", "line_no", "district", "doc", F.xxhash64("key").alias("k1"), F.xxhash64(F.reverse("key"), F.lit(1)).alias("k2")
-    )
+    """passage_id, district, doc, lines of the passages whose document has a district, null texts without lines. doc is a
+    hash of the document's id; lines: n (from 1) and (k1, k2), hashes of the words, of all lines with a letter; those of
+    fewer than WORDS words have null hashes. Only these numbers are shuffled, no text."""
+    numbered = f"transform(split(text, '\\n'), (line, i) -> struct(i + 1 as n, {line_key()} as key))"
+    keyed = "filter(_l, x -> x.key <> '')"
+    hashes = f"""transform({keyed}, x -> if(size(split(x.key, ' ')) >= {WORDS},
+        struct(cast(x.n as int) as n, xxhash64(x.key) as k1, xxhash64(reverse(x.key), 1) as k2), struct(cast(x.n as int) as n, cast(null as bigint) as k1, cast(null as bigint) as k2)))"""
+    made = passages.where("passage_id is not null and document_id is not null").select("passage_id", "document_id", F.expr(numbered).alias("_l"))
+    made = made.select("passage_id", "document_id", F.expr(hashes).alias("lines"))
+    return made.join(districts_of(documents), "document_id").select("passage_id", "district", F.xxhash64("document_id").alias("doc"), "lines")
 
 
-def _sizes(passages: DataFrame, documents: DataFrame) -> DataFrame:
-    """district, docs: its documents that have passages."""
-    return passages.select("document_id").distinct().join(districts_of(documents), "document_id").groupBy("district").agg(F.count(F.lit(1)).alias("docs"))
+def _with_next(rows: DataFrame) -> DataFrame:
+    """A row for each line of WORDS words, with the hashes of the line after it (null, if that is short or there is none)."""
+    pairs = F.expr("transform(lines, (x, i) -> struct(x.n as line_no, x.k1 as k1, x.k2 as k2, get(lines, i + 1).k1 as b1, get(lines, i + 1).k2 as b2, get(lines, i - 1).n as before))")
+    return rows.select("passage_id", "district", "doc", F.explode(F.filter(pairs, lambda p: p["k1"].isNotNull())).alias("p")).select("passage_id", "district", "doc", "p.*")
 
 
-def _enough() -> F.Column:
-    return (F.col("n") >= DOCUMENTS) & (F.col("n") >= SHARE * F.col("docs"))
+def _supported(rows: DataFrame, key: list[str], sizes: DataFrame) -> DataFrame:
+    """district, key, n: what occurs in n documents of the district, enough of them. Documents are counted once before
+    anything is gathered by the key alone."""
+    n = rows.groupBy("district", *key, "doc").agg(F.lit(1).alias("_1")).groupBy("district", *key).agg(F.count(F.lit(1)).alias("n"))
+    return n.where(F.col("n") >= DOCUMENTS).join(sizes, "district").where(F.col("n") >= SHARE * F.col("docs")).select("district", *key, "n")
 
 
 def _components(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Connected components of one district's edges (a node stands as an edge to itself), as node and number of the block."""
-    parent: dict[tuple, tuple] = {}
+    """Connected components of one district's nodes and edges, as node and number of the block."""
+    nodes = list(zip(pdf.k1.tolist(), pdf.k2.tolist()))
+    parent = {x: x for x in nodes}
 
     def root(x: tuple) -> tuple:
-        parent.setdefault(x, x)
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    for k1, k2, b1, b2 in zip(pdf.k1, pdf.k2, pdf.b1, pdf.b2):
-        a, b = root((int(k1), int(k2))), root((int(b1), int(b2)))
-        parent[max(a, b)] = min(a, b)
-    roots = {x: root(x) for x in parent}
-    number = {r: i for i, r in enumerate(sorted(set(roots.values())))}
-    rows = [(pdf.district.iloc[0], k1, k2, number[r]) for (k1, k2), r in roots.items()]
-    return pd.DataFrame(rows, columns=["district", "k1", "k2", "block"])
+    for x, ends in zip(nodes, pdf.ends):
+        for e in ends if ends is not None else ():
+            a, b = root(x), root((int(e["b1"]), int(e["b2"])))
+            parent[max(a, b)] = min(a, b)
+    roots = [root(x) for x in nodes]
+    number = {r: i for i, r in enumerate(sorted(set(roots)))}
+    return pd.DataFrame({"district": pdf.district, "k1": pdf.k1, "k2": pdf.k2, "block": [number[r] for r in roots]})
 
 
-def repeated_lines(passages: DataFrame, documents: DataFrame) -> DataFrame:
-    """passage_id, line_no, district, block of the lines that belong to a boilerplate block of their district; each once.
+def block_lines(passages: DataFrame, documents: DataFrame) -> DataFrame:
+    """passage_id, line_no, district, block, occurrence (the line of the passage with which the block's run begins) of the lines
+    that belong to a boilerplate block of their district; each line once.
 
     Null texts have no lines, passages of unknown documents and documents without a district no repeated ones; equal
-    rows count once."""
-    lines, sizes = lines_of(passages, documents), _sizes(passages, documents)
-    support = lines.groupBy("district", "k1", "k2", "doc").agg(F.lit(1).alias("one")).groupBy("district", "k1", "k2").agg(F.count(F.lit(1)).alias("n"))
-    nodes = support.where(F.col("n") >= DOCUMENTS).join(sizes, "district").where(_enough()).select("district", "k1", "k2")
-    seen = cut(lines.join(nodes, ["district", "k1", "k2"]).dropDuplicates(["passage_id", "line_no"]))
-    w = Window.partitionBy("passage_id").orderBy("line_no")
-    pairs = seen.select(
-        "district", "doc", "k1", "k2", F.lead("line_no").over(w).alias("next"), "line_no", F.lead("k1").over(w).alias("b1"), F.lead("k2").over(w).alias("b2")
-    ).where(F.col("next") == F.col("line_no") + 1)
-    edges = (
-        pairs.groupBy("district", "k1", "k2", "b1", "b2", "doc")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("district", "k1", "k2", "b1", "b2")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(sizes, "district")
-        .where(_enough())
-        .select("district", "k1", "k2", "b1", "b2")
-    )
-    graph = seen.groupBy("district", "k1", "k2").agg(F.lit(1).alias("one")).select("district", "k1", "k2", F.col("k1").alias("b1"), F.col("k2").alias("b2")).unionByName(edges)
+    rows count once, and of different texts under one id a line is repeated if it is in any of them."""
+    rows = cut(lines_of(passages, documents))
+    sizes = rows.groupBy("district", "doc").agg(F.lit(1).alias("_1")).groupBy("district").agg(F.count(F.lit(1)).alias("docs"))
+    lines = _with_next(rows)
+    nodes = _supported(lines, NODE, sizes).select("district", *NODE)
+    seen = cut(lines.join(nodes, ["district", *NODE]))
+    edges = _supported(seen.where("b1 is not null"), [*NODE, *NEXT], sizes).drop("n")
+    kept = seen.select("district", *NODE).distinct()
+    ends = edges.groupBy("district", *NODE).agg(F.collect_list(F.struct(*NEXT)).alias("ends"))
+    graph = kept.join(ends, ["district", *NODE], "left")
     blocks = graph.groupBy("district").applyInPandas(_components, "district string, k1 long, k2 long, block long")
-    return seen.join(blocks, ["district", "k1", "k2"]).select("passage_id", "line_no", "district", "block")
+    # a line and the next one hang together if their edge was kept: runs of such lines are the occurrences
+    on = ["district", *NODE, *NEXT]
+    held = seen.join(edges.withColumn("_held", F.lit(True)), on, "left")
+    placed = held.join(blocks, ["district", *NODE]).select("passage_id", "line_no", "district", "block", "before", F.coalesce("_held", F.lit(False)).alias("held"))
+    once = placed.repartition("passage_id").groupBy("passage_id", "line_no").agg(F.min(F.struct("district", "block", "before", "held")).alias("m")).select("passage_id", "line_no", "m.*")
+    w = Window.partitionBy("passage_id").orderBy("line_no")
+    goes_on = F.coalesce(F.lag("held").over(w) & (F.lag("line_no").over(w) == F.col("before")), F.lit(False))
+    first = F.max(F.when(~F.col("_on"), F.col("line_no"))).over(w)
+    return once.withColumn("_on", goes_on).select("passage_id", F.col("line_no").cast("long").alias("line_no"), "district", "block", first.cast("long").alias("occurrence"))
+
+
+def repeated_lines(passages: DataFrame, documents: DataFrame) -> DataFrame:
+    """passage_id, line_no of all occurrences of blocks; see block_lines."""
+    return block_lines(passages, documents).select("passage_id", "line_no")
 
 
 def without_lines(passages: DataFrame, removed: DataFrame) -> DataFrame:
@@ -111,7 +126,7 @@ def without_lines(passages: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines(table(spark, sf_dir, "passages"), table(spark, sf_dir, "documents")).select("passage_id", "line_no")
+    return repeated_lines(table(spark, sf_dir, "passages"), table(spark, sf_dir, "documents"))
 
 
 def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +137,9 @@ def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each block of each district how many passages and lines it stands in."""
-    rows = repeated_lines(table(spark, sf_dir, "passages"), table(spark, sf_dir, "documents"))
-    return rows.groupBy("district", "block").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("passage_id").alias("n_passages"))
+    """For each block of each district how many occurrences, lines and passages it has, and its longest occurrence in lines."""
+    rows = block_lines(table(spark, sf_dir, "passages"), table(spark, sf_dir, "documents"))
+    runs = rows.groupBy("district", "block", "passage_id", "occurrence").agg(F.count(F.lit(1)).alias("n"))
+    return runs.groupBy("district", "block").agg(
+        F.count(F.lit(1)).alias("n_occurrences"), F.sum("n").alias("n_lines"), F.countDistinct("passage_id").alias("n_passages"), F.max("n").alias("longest")
+    )

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,7 +207,7 @@ def test_p4_found_blocks_and_cleaning(spark):
     docs += [(50, None, None), (51, "south", None)]
     rows += [(60, "d50", share), (61, "unknown", share), (62, "d51", share), (63, "d1", None), (64, "d1", ""), rows[0]]
     p, d = passages(spark, rows), documents(spark, docs)
-    got = p4.repeated_lines(p, d).collect()
+    got = p4.block_lines(p, d).collect()
     assert {(r.passage_id, r.line_no) for r in got} == {(i, n) for i in range(6) for n in (2, 3)}
     assert len({r.block for r in got}) == 1
     clean = {r.passage_id: r.text for r in p4.without_lines(p.select("passage_id", "text").distinct(), p4.repeated_lines(p, d).select("passage_id", "line_no")).collect()}
@@ -214,6 +215,22 @@ def test_p4_found_blocks_and_cleaning(spark):
     assert p4.repeated_lines(p.where("false"), d).count() == 0 == p4.repeated_lines(p, d.where("false")).count()
 
 
+def test_p4_edges_make_blocks_and_occurrences(spark):
+    a, b, c, alone = "Share this page with a colleague", "All rights reserved by the office", "Printed from the district web site", "Questions go to the board secretary"
+    texts = [f"{a}\n\n{b}\n{c}\nOwn words of document {'abcdefgh'[i] * 5} here" for i in range(5)]
+    texts += [f"{alone}\nother text with no twin {x * 6}\n{a}" for x in "qrstu"]  # a alone, too: its edge to b is not there
+    rows = [(i, f"d{i}", t) for i, t in enumerate(texts)] + [(20, "d0", f"{c}\n{a}\n{b}\n9\n{c}")]  # c before a: an edge in one document
+    docs = [(i, "x", None) for i in range(10)]
+    got = {(r.passage_id, r.line_no): (r.block, r.occurrence) for r in p4.block_lines(passages(spark, rows), documents(spark, docs)).collect()}
+    block, other = got[0, 1][0], got[5, 1][0]
+    assert block != other and {v[0] for v in got.values()} == {block, other}
+    assert {k: v for k, v in got.items() if k[0] == 0} == {(0, 1): (block, 1), (0, 3): (block, 1), (0, 4): (block, 1)}
+    assert {k: v for k, v in got.items() if k[0] == 5} == {(5, 1): (other, 1), (5, 3): (block, 3)}
+    assert {k[1]: v[1] for k, v in got.items() if k[0] == 20} == {1: 1, 2: 2, 3: 2, 5: 2}  # the edge from b to c holds over a line without letters
+    few = p4._components(pd.DataFrame({"district": "x", "k1": [1, 2, 3], "k2": 0, "ends": [[{"b1": 2, "b2": 0}], None, None]}))
+    assert few.block.tolist() == [0, 0, 1]  # without edges each line is a block
+
+
 # --- 5
 
 
