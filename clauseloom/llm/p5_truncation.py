@@ -1,11 +1,14 @@
 """Problem 5: evidence cut off by field limits or broken transfers.
 
 For every source the discrete hazard of each length (how many texts that reach it end there), in characters and in
-bytes, is tested against the hazard of the neighbouring lengths; the false-discovery rate over all tests is controlled.
-At a significant length from which hardly a text goes on lies a field limit.
-Transfers that break at any place leave no such length. So each incomplete ending, at a limit or not, is looked up in
-the passages of its document: it is a cut if the sentence goes on there, and it is none if a line or sentence ends there.
-Where the passages do not hold the ending, a significant length (a limit or not), a mark of omission or an unfinished sentence decides.
+bytes, is tested against the hazard of the neighbouring lengths; the false-discovery rate of each source's tests is controlled.
+An incomplete ending at a significant length is a cut: at once if it lies in or behind a word in lower case, otherwise, and shortly before
+such a length (fields cut between words), unless the passages contradict.
+
+Transfers that break at any place leave no such length, so the method alone can't give them: incomplete endings at all
+other lengths are looked up in the passages of their document. They are cuts if the sentence goes on there, and none if a
+line or sentence ends there; where the passages do not hold the ending, a mark of omission or an unfinished sentence
+decides. `how` tells which of the ways found a cut: limit, passages or ending.
 """
 
 from __future__ import annotations
@@ -45,27 +48,23 @@ def _ending(e: Column) -> dict[str, Column]:
 
 
 def evidence_rows(attempts: DataFrame) -> DataFrame:
-    """attempt_id, source, document_id, evidence, e (evidence without blanks at the end), chars, bytes: an attempt once,
-    those with evidence of LEAST_WORDS words and more that is no code word. Attempts of no source are a source of their own ('')."""
-    e = F.regexp_replace("evidence", r"(?U)\s+$", "")
-    return (
-        attempts.where("attempt_id is not null and evidence is not null")
-        .groupBy("attempt_id")
-        .agg(F.min(F.struct("document_id", F.coalesce("source", F.lit("")).alias("source"), "evidence")).alias("r"))
-        .select("attempt_id", "r.document_id", "r.source", "r.evidence")
-        .withColumn("e", e)
-        .where((F.size(F.split(F.trim("e"), r"(?U)\s+")) >= LEAST_WORDS) | F.col("e").rlike(f"(?s)(?:{_UNSPACED}.*){{{LEAST_WORDS}}}"))
-        .where(~F.lower(F.trim("e")).isin(*MISSING))
-        .withColumn("chars", F.length("evidence").cast("long"))
-        .withColumn("bytes", F.octet_length("evidence").cast("long"))
-    )
+    """attempt_id, source, document_id, e (evidence without blanks at the end), chars, bytes and what the ending tells, for
+    evidence of LEAST_WORDS words and more that is no code word. Attempts of no source are a source of their own ('').
+    Equal rows stay; whoever counts takes them once."""
+    rows = attempts.where("attempt_id is not null and evidence is not null").select(
+        "attempt_id", "document_id", F.coalesce("source", F.lit("")).alias("source"), F.regexp_replace("evidence", r"(?U)\s+$", "").alias("e"),
+        F.length("evidence").cast("long").alias("chars"), F.octet_length("evidence").cast("long").alias("bytes"),
+    )
+    rows = rows.where((F.size(F.split(F.trim("e"), r"(?U)\s+")) >= LEAST_WORDS) | F.col("e").rlike(f"(?s)(?:{_UNSPACED}.*){{{LEAST_WORDS}}}"))
+    return rows.where(~F.lower(F.trim("e")).isin(*MISSING))
 
 
 def length_hazards(rows: DataFrame) -> DataFrame:
     """source, unit, length, n, reach, hazard, expected (the neighbours' hazard), p (an upper bound of the probability
-    of so many by chance), significant, and limit: significant, and hardly a text goes on."""
+    of so many by chance), significant, and limit: significant, and hardly a text goes on. rows: attempt_id, source, chars,
+    bytes; equal ones count once."""
     units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("u")
-    counts = rows.select("source", units).select("source", "u.unit", "u.length").groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.select("attempt_id", "source", "chars", "bytes").distinct().select("source", units).select("source", "u.unit", "u.length").groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("source", "unit").orderBy("length")
     k = NEIGHBOURS
     low, high = w.rangeBetween(-k, -1), w.rangeBetween(0, k - 1)
@@ -82,11 +81,11 @@ def length_hazards(rows: DataFrame) -> DataFrame:
     a, h = F.col("hazard"), F.col("expected")
     other = F.when(a < 1, (1 - a) * F.log((1 - a) / (1 - h))).otherwise(0.0)
     t = t.withColumn("p", F.when(a > h, F.exp(-F.col("reach") * (a * F.log(a / h) + other))).otherwise(1.0))
-    # Benjamini and Hochberg: the largest p that its rank allows; a row for each length that occurs, so the table is small
-    every = Window.orderBy("p", "source", "unit", "length")
-    t = t.withColumn("_rank", F.row_number().over(every)).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy()))
+    # Benjamini and Hochberg for the tests of each source: the largest p that its rank allows
+    every = Window.partitionBy("source")
+    t = t.withColumn("_rank", F.row_number().over(every.orderBy("p", "unit", "length"))).withColumn("_all", F.count(F.lit(1)).over(every))
     passes = F.when(F.col("p") <= FALSE_DISCOVERIES * F.col("_rank") / F.col("_all"), F.col("p"))
-    t = t.withColumn("_most", F.max(passes).over(Window.partitionBy()))
+    t = t.withColumn("_most", F.max(passes).over(every))
     significant = F.coalesce(F.col("p") <= F.col("_most"), F.lit(False)) & (n >= LEAST) & (a >= TIMES * h)
     limit = significant & (F.col("reach") - n <= GOES_ON * F.col("reach"))
     return t.select("source", "unit", "length", "n", "reach", "hazard", "expected", "p", significant.alias("significant"), limit.alias("limit"))
@@ -120,23 +119,32 @@ def _lined(passages: DataFrame) -> DataFrame:
 
 
 def cut_evidence(attempts: DataFrame, passages: DataFrame) -> DataFrame:
-    """attempt_id, source, cut, at_limit, looked_up (the passages decided) for all attempts with evidence (see evidence_rows): whether the evidence breaks
-    off inside a word or a sentence, and whether its length lies at a limit of its source."""
+    """attempt_id, source, cut, at_limit (a significant length), how (see above; null if not cut) for all attempts with evidence
+    (see evidence_rows): whether the evidence breaks off inside a word or a sentence. An attempt whose rows differ is cut if one of them is."""
     rows = evidence_rows(attempts)
-    spikes = length_hazards(rows).where("significant").select("source", "unit", "limit", F.explode(F.sequence(F.col("length") - WORD, F.col("length") + 1)).alias("_length"))
-    near = spikes.groupBy("source", "unit", "_length").agg(F.max("limit").alias("_at"))
-    per_unit = [near.where(F.col("unit") == u).select(F.col("source").alias(f"_s{u}"), F.col("_length").alias(f"_l{u}"), F.col("_at").alias(f"_{u}")) for u in ("chars", "bytes")]
+    # no more rows than significant lengths times WORD
+    spikes = length_hazards(rows).where("significant").select("source", "unit", F.col("length").alias("_of"), F.explode(F.sequence(F.col("length") - WORD, F.col("length") + 1)).alias("_length"))
+    near = spikes.groupBy("source", "unit", "_length").agg(F.max((F.col("_length").between(F.col("_of") - F.when(F.col("unit") == "bytes", 3).otherwise(0), F.col("_of"))).cast("int")).alias("_at"))
     at = rows
-    for u, lengths in zip(("chars", "bytes"), per_unit):
-        at = at.join(lengths, (F.col("source") == F.col(f"_s{u}")) & (F.col(u) == F.col(f"_l{u}")), "left").drop(f"_s{u}", f"_l{u}")
-    at = at.withColumn("at_limit", F.coalesce("_chars", F.lit(False)) | F.coalesce("_bytes", F.lit(False)))
-    at = at.withColumn("at_spike", F.coalesce("_chars", "_bytes").isNotNull()).drop("_chars", "_bytes")
-    at = at.withColumns(_ending(F.col("e")))
-    at = cut(at.withColumn("asked", ~F.col("terminal") | F.col("mark") | F.col("open_stop") | F.col("at_limit")).drop("evidence"))
-    asked = at.where("asked")
+    for u in ("chars", "bytes"):
+        lengths = near.where(F.col("unit") == u).select("source", F.col("_length").alias(u), F.col("_at").alias(f"_{u}"))
+        at = at.join(lengths, ["source", u], "left")
+    ends = _ending(F.col("e"))
+    at = at.withColumn("spike", F.greatest("_chars", "_bytes")).withColumns(ends)  # 1: a significant length, 0: shortly before one
+    letter = F.col("e").rlike(r"[\p{L},;–-]$")
+    inside = F.col("e").rlike(r"(?U)(?:^|[\s(“\"'‘-])\p{Ll}[^\s]*$") & letter  # headings and names end in capitalised words: they are looked up
+    unfinished = F.col("e").rlike(r"(?:\p{Ll}|,|[–-])$") & F.col("e").rlike(r"(?U)(?:\S+\s+){5}")
+    open_ = ~F.col("terminal") & ~F.col("leader")
+    at = at.withColumns({
+        "limit": F.coalesce(F.col("spike") == 1, F.lit(False)) & open_ & inside,
+        "told": open_ & (F.col("spike").isNotNull() & letter | unfinished) | F.col("mark"),
+        "asked": ~F.col("terminal") | F.col("mark") | F.col("open_stop") | F.col("spike").isNotNull(),
+    })
+    at = cut(at.select("attempt_id", "document_id", "source", F.when(F.col("asked") & ~F.col("limit"), F.col("e")).alias("e"), "mark", F.coalesce(F.col("spike") == 1, F.lit(False)).alias("at_limit"), F.col("spike").isNotNull().alias("near"), "limit", "told", "asked"))
+    asked = at.where("e is not null and document_id is not null")
 
     known = passages.where(F.length("text") > 0).where("document_id is not null")
-    needles = _tails(asked.where("document_id is not null")).where(F.length("needle") >= SHORT_TAIL // 3)
+    needles = _tails(asked).where(F.length("needle") >= SHORT_TAIL // 3)
     sizes = (asked.select("document_id"), known.select("document_id"))
     pairs = stretch_pairs(needles, _lined(known), "document_id", sizes, view="translate(hay, '\\n', ' ')")
     long_at, short_at = F.expr("locate(long, translate(hay, '\\n', ' '))"), F.expr("locate(needle, translate(hay, '\\n', ' '))")
@@ -147,21 +155,27 @@ def cut_evidence(attempts: DataFrame, passages: DataFrame) -> DataFrame:
     over = (line == "") | line.rlike(r"^[\s.…_]{2,}$") | (stopped & line.rlike(f"^[{_CLOSERS}]*(?:\\s|$)"))
     # the longer tail tells more; among equal ones an end somewhere outweighs
     seen = rest.groupBy("attempt_id").agg(F.max(F.struct("whole", over.alias("over"))).alias("m")).select("attempt_id", F.col("m.over").alias("over"))
-    unfinished = F.col("e").rlike(r"(?:\p{Ll}|,|[–-])$") & F.col("e").rlike(r"(?U)(?:\S+\s+){5}")
-    told = ~F.col("terminal") & ~F.col("leader") & (F.col("at_spike") & F.col("e").rlike(r"[\p{L},;–-]$") | unfinished) | F.col("mark")
-    verdict = F.when(~F.col("asked"), False).when(F.col("over").isNotNull(), ~F.col("over")).otherwise(told)
-    return at.join(seen, "attempt_id", "left").select("attempt_id", "source", verdict.alias("cut"), "at_limit", F.col("over").isNotNull().alias("looked_up"))
+    how = (
+        F.when(F.col("limit"), "limit").when(~F.col("asked"), None).when(F.col("over"), None)
+        .when(~F.col("over"), F.when(F.col("near"), "limit").otherwise("passages")).when(F.col("told"), F.when(F.col("near"), "limit").otherwise("ending"))
+    )
+    told = at.drop("e").join(seen, "attempt_id", "left").select("attempt_id", "source", "at_limit", how.alias("how"))
+    return told.groupBy("attempt_id", "source").agg(F.min("how").alias("how"), F.max("at_limit").alias("at_limit")).select("attempt_id", "source", F.col("how").isNotNull().alias("cut"), "at_limit", "how")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_evidence(table(spark, sf_dir, "attempts"), table(spark, sf_dir, "passages")).where("cut").select("attempt_id")
+    return cut_evidence(table(spark, sf_dir, "attempts"), table(spark, sf_dir, "passages")).where("cut").select("attempt_id").distinct()
 
 
 def p5_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each source how much evidence it has, and the share that is cut and that lies at a limit."""
+    """For each source how much evidence it has, and the share that is cut: at a significant length or shortly before it, and
+    elsewhere, as a broken transfer leaves it."""
     rows = cut_evidence(table(spark, sf_dir, "attempts"), table(spark, sf_dir, "passages"))
-    share = lambda c: F.round(F.avg(F.col(c).cast("double")), 6)
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_evidence"), share("cut").alias("share_cut"), share("at_limit").alias("share_at_limit"))
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    limit = F.coalesce(F.col("how") == "limit", F.lit(False))
+    return rows.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_evidence"), share(F.col("cut")).alias("share_cut"), share(limit).alias("share_cut_at_limit"), share(F.col("cut") & ~limit).alias("share_cut_elsewhere")
+    )
 
 
 def p5_length_limits(spark: SparkSession, sf_dir: str) -> DataFrame:

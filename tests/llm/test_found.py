@@ -258,7 +258,7 @@ def test_p5_hazards_and_cuts(spark):
     assert p5.cut_evidence(a.where("false"), passages(spark, texts)).count() == 0
 
 
-def test_p5_length_that_only_one_writer_is_held_to(spark):
+def test_p5_length_that_only_one_writer_is_held_to(spark, monkeypatch):
     rng = random.Random(8)
     words = "PREMIUM ROSTER NOTICE ALLOWANCE REPORT CALENDAR SCHEDULE AGREEMENT".split()
     made = lambda n: " ".join(rng.choices(words, k=60))[: n - 1]
@@ -266,7 +266,22 @@ def test_p5_length_that_only_one_writer_is_held_to(spark):
     a = attempts(spark, rows)
     assert {(r.length, r.limit) for r in p5.length_hazards(p5.evidence_rows(a)).where("significant and unit = 'chars'").collect()} == {(60, False)}
     got = p5.cut_evidence(a, passages(spark, [(1, "d1", "Another text stands here.")])).where("cut").collect()
-    assert {r.attempt_id for r in got} == {1000 + i for i in range(150)}
+    assert {r.attempt_id for r in got} == {1000 + i for i in range(150)} and {r.how for r in got} == {"limit"}
+    monkeypatch.setattr(p5, "LEAST", 10**9)  # the method switched off: no length is significant
+    assert p5.cut_evidence(a, passages(spark, [(1, "d1", "Another text stands here.")])).where("cut").count() == 0
+
+
+def test_p5_significant_lengths_need_no_passage_and_heed_none(spark, monkeypatch):
+    rng = random.Random(6)
+    made = lambda n: " ".join(rng.choices("premium roster notice allowance report calendar".split(), k=80))[: n - 1]
+    rows = [(i, f"d{i}", made(rng.randint(80, 300)).strip() + ".") for i in range(700)] + [(1000 + i, f"d{i}", made(60) + "x") for i in range(150)]
+    rows.append((5000, "d1", "The board shall review the roster of the calen"))  # a broken transfer
+    a, p = attempts(spark, rows), passages(spark, [(1, "d1", "The board shall review the roster of the calendar committee. " + rows[700][2] + "\n")])
+    how = {r.attempt_id: r.how for r in p5.cut_evidence(a, p).where("cut").collect()}
+    assert how == {1000 + i: "limit" for i in range(150)} | {5000: "passages"}
+    monkeypatch.setattr(p5, "LEAST", 10**9)
+    how = {r.attempt_id: r.how for r in p5.cut_evidence(a, p).where("cut").collect()}
+    assert how.get(1000) is None and how[5000] == "passages" and set(how.values()) == {"passages", "ending"}
 
 
 def test_p5_complete_things_are_no_cuts(spark):
