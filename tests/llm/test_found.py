@@ -275,13 +275,13 @@ def test_p5_significant_lengths_need_no_passage_and_heed_none(spark, monkeypatch
     rng = random.Random(6)
     made = lambda n: " ".join(rng.choices("premium roster notice allowance report calendar".split(), k=80))[: n - 1]
     rows = [(i, f"d{i}", made(rng.randint(80, 300)).strip() + ".") for i in range(700)] + [(1000 + i, f"d{i}", made(60) + "x") for i in range(150)]
-    rows.append((5000, "d1", "The board shall review the roster of the calen"))  # a broken transfer
-    a, p = attempts(spark, rows), passages(spark, [(1, "d1", "The board shall review the roster of the calendar committee. " + rows[700][2] + "\n")])
+    rows.append((5000, "d1", "The board shall review the ros"))  # a broken transfer
+    a, p = attempts(spark, rows), passages(spark, [(1, "d1", "The board shall review the roster of the calendar committee. " + rows[701][2] + "\n")])
     how = {r.attempt_id: r.how for r in p5.cut_evidence(a, p).where("cut").collect()}
     assert how == {1000 + i: "limit" for i in range(150)} | {5000: "passages"}
     monkeypatch.setattr(p5, "LEAST", 10**9)
     how = {r.attempt_id: r.how for r in p5.cut_evidence(a, p).where("cut").collect()}
-    assert how.get(1000) is None and how[5000] == "passages" and set(how.values()) == {"passages", "ending"}
+    assert how.get(1001) is None and how[5000] == "passages" and set(how.values()) == {"passages", "ending"}
 
 
 def test_p5_complete_things_are_no_cuts(spark):
