@@ -8,9 +8,11 @@ Cells that list one another are gathered into regions of bounded size; a vector
 regions that list its cell, and each region is one group of a shuffle. Codebooks are fitted on a bounded sample, every
 vector is indexed. What the driver holds, counts and lists of cells, is bounded by the square of the codebook's size.
 
-A cell of more than HOT vectors is indexed once more with codebooks of its own. Its vectors are compared with the
-subcells that the inner traversal lists and with those that traversals of the indexes around it list, from the subcell's
-own centroids; cells beside it are compared with the whole of it. Of a vector with very many exact copies
+A cell of more than HOT vectors is indexed once more with codebooks of its own, fitted in the tasks on bounded samples: all such
+cells of a level in two passes over the vectors, one that samples and one that counts, down to LEVELS levels. Its vectors are
+compared with the subcells that the inner traversal lists and with those that traversals of the indexes around it list, from
+the subcell's own centroids; cells beside it are compared with the whole of it. Vectors of a leaf that is still larger than
+HOT after all levels are dealt to several tasks, each of which compares its share with all that the leaf lists. Of a vector with very many exact copies
 only the smallest ids are indexed, for they are the neighbours of all the others.
 """
 
@@ -29,12 +31,14 @@ from clauseloom.session import spread, table
 MODEL, DIMENSIONS, NEIGHBOURS = "clausevec-384-r2", 384, 10
 SAMPLE = 20_000  # vectors, about, that the codebooks are fitted on
 CENTROIDS = 256  # at most, in each codebook
+INNER_SAMPLE, INNER_CENTROIDS = 4_000, 32  # the same for cells that get an index of their own
 CANDIDATES = 400  # vectors, at least, that each vector is compared with
 CELLS = 4  # cells, at least, that each vector is compared with, its own included: neighbours lie across a cell's border, too
 REGION = 16_000  # own vectors of a region, at most, unless one cell has more; a twelfth of all in small collections
 HOT = 20_000  # vectors of a cell from which it gets an index of its own
-LEVELS = 3
-BITS = 17  # of a level's part of a leaf's number: the cell's number and 1, 0 below a leaf
+LEVELS = 5
+BITS = (17, 11, 11, 11, 11)  # of a level's part of a leaf's number: the cell's number and 1, 0 below a leaf
+SHIFTS = tuple(sum(BITS[i + 1 :]) for i in range(LEVELS))
 COPIES = 1000  # copies of one vector that are indexed like others; beyond, the smallest ids are
 
 
@@ -135,19 +139,23 @@ Path = tuple[int, ...]
 
 def key(path: Path) -> int:
     """The number of a leaf or hot cell, given by the cells that lead to it; the leaves of a hot cell follow its own number."""
-    return sum((c + 1) << BITS * (LEVELS - 1 - i) for i, c in enumerate(path))
+    return sum((c + 1) << SHIFTS[i] for i, c in enumerate(path))
+
+
+def path_of(number: int) -> Path:
+    cells = [(number >> SHIFTS[i] & (1 << BITS[i]) - 1) - 1 for i in range(LEVELS)]
+    return tuple(c for c in cells if c >= 0)
 
 
 def end(number: int) -> int:
     """The first number beyond the leaves of a cell."""
-    level = next(i for i in range(LEVELS) if number >> BITS * i & (1 << BITS) - 1)
-    return number + (1 << BITS * level)
+    return number + (1 << SHIFTS[len(path_of(number)) - 1])
 
 
 def leaves(tree: dict[Path, Index], unit: np.ndarray, path: Path = ()) -> np.ndarray:
     """The number of the leaf that each vector of a cell of the tree lies in."""
     cells = tree[path].cells(unit)
-    out = key(path) + (cells + 1 << BITS * (LEVELS - 1 - len(path)))
+    out = key(path) + (cells + 1 << SHIFTS[len(path)])
     for inner in tree:
         if len(inner) == len(path) + 1 and inner[:-1] == path:
             here = np.flatnonzero(cells == inner[-1])
@@ -246,78 +254,109 @@ def _unpacked(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _cells_in(rows: DataFrame, tree: dict[Path, Index], path: Path, n: int) -> tuple[Index, dict[int, int]]:
-    """The index of the vectors in a cell of the tree and how many each of its cells holds; n: how many they are, about."""
+def _indexed(rows: DataFrame, tree: dict[Path, Index], counts: dict[Path, dict[int, int]], open_: dict[Path, int]) -> None:
+    """Adds to the tree an index for each of the open cells (all on one level, with their numbers of vectors, about), and to the
+    counts how many vectors each of its cells holds."""
     spark = rows.sparkSession
-    share = min(1.0, SAMPLE / max(1, n))
-    where = spark.sparkContext.broadcast([(tree[path[:i]], c) for i, c in enumerate(path)])
-
-    def inside(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        u = _unit(x)
-        for index, cell in where.value:
-            here = index.cells(u) == cell
-            x, u = x[here], u[here]
-        return x, u
+    root = () in open_
+    most, centroids = (SAMPLE, CENTROIDS) if root else (INNER_SAMPLE, INNER_CENTROIDS)
+    plan = spark.sparkContext.broadcast((tree, {key(p): (int(min(1.0, most / max(1, m)) * 2**53), int(min(centroids, max(1, round((m / 20) ** 0.5 * 2))))) for p, m in open_.items()}))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, shares = plan.value
         for b in batches:
             at, x = _matrix(b.column(1))
             ids = b.column(0).to_numpy()[at]
-            x = x[(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)) < np.uint64(int(share * 2**53))]
-            yield pa.RecordBatch.from_arrays([_packed(inside(x)[0])[0]], ["v"])
-
-    got = rows.mapInArrow(sample, "v binary").collect()
-    x = _unit(_unpacked(pa.array([r["v"] for r in got], pa.binary()))) if got else np.zeros((0, DIMENSIONS), np.float32)
-    size = int(min(CENTROIDS, max(1, round((n / 20) ** 0.5 * 2))))
-    half = DIMENSIONS // 2
-    index = Index(fit_codebook(x[:, :half], size), fit_codebook(x[:, half:], size))
-    shared = spark.sparkContext.broadcast(index)
+            cell = leaves(tree, _unit(x)) if tree else np.zeros(len(x), np.int64)
+            share = np.array([shares.get(c, (0, 0))[0] for c in cell.tolist()], np.uint64)
+            keep = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)) < share
+            yield pa.RecordBatch.from_arrays([pa.array(cell[keep]), pa.array(ids[keep], pa.int64()), _packed(x[keep])[0]], ["cell", "id", "v"])
+
+    def fit(rows: pa.Table) -> pa.Table:
+        cell, half = rows.column("cell")[0].as_py(), DIMENSIONS // 2
+        x = _unit(_unpacked(rows.column("v").combine_chunks().take(pa.array(np.argsort(rows.column("id").to_numpy(), kind="stable")))))
+        size = plan.value[1][cell][1]
+        books = [fit_codebook(part, size) for part in (x[:, :half], x[:, half:])]
+        return pa.table([pa.array([cell]), *[pa.array([c.astype(np.float32).tobytes()], pa.binary()) for c in books]], ["cell", "a", "b"])
+
+    codebooks = rows.mapInArrow(sample, "cell long, id long, v binary").groupBy("cell").applyInArrow(fit, "cell long, a binary, b binary")
+    for r in codebooks.toLocalIterator():
+        tree[path_of(r["cell"])] = Index(*(np.frombuffer(c, np.float32).reshape(-1, DIMENSIONS // 2) for c in (r["a"], r["b"])))
+    for p in open_:
+        if p not in tree:  # the sample came out empty
+            tree[p] = Index(*(np.zeros((1, DIMENSIONS // 2), np.float32) for _ in range(2)))
+    grown = spark.sparkContext.broadcast((tree, len(next(iter(open_)))))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, level = grown.value
         for b in batches:
-            c, m = np.unique(shared.value.cells(inside(_matrix(b.column(1))[1])[1]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(m, pa.int64())], ["cell", "n"])
+            c, m = np.unique(leaves(tree, _unit(_matrix(b.column(1))[1])), return_counts=True)
+            new = (c >> SHIFTS[level] & (1 << BITS[level]) - 1) > 0  # on the level of the open cells
+            yield pa.RecordBatch.from_arrays([pa.array(c[new], pa.int64()), pa.array(m[new], pa.int64())], ["cell", "n"])
+
+    for p in open_:
+        counts[p] = {}
+    for r in rows.mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        *p, c = path_of(r["cell"])
+        counts[tuple(p)][c] = r["n"]
+
 
-    counts = {r["cell"]: r["n"] for r in rows.mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
-    return index, counts
+def _places(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that a shuffle over n parts sends to the parts 0, 1, and so on."""
+    found: dict[int, int] = {}
+    start, step = 0, 8 * n + 64
+    while len(found) < n:
+        for r in spark.range(start, start + step).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).toLocalIterator():
+            found.setdefault(r["p"], r["id"])
+        start += step
+    return [found[i] for i in range(n)]
 
 
 def _search(rows: DataFrame, n: int, k: int, candidates: int) -> DataFrame:
     """Pairs for the rows (passage_id, embedding; each id once); n: how many they are, about."""
     tree: dict[Path, Index] = {}
     counts: dict[Path, dict[int, int]] = {}
-    open_: list[tuple[Path, int]] = [((), n)]
+    open_: dict[Path, int] = {(): n}
     while open_:
-        path, m = open_.pop()
-        tree[path], counts[path] = _cells_in(rows, tree, path, m)
-        if len(path) + 1 < LEVELS:
-            open_ += [((*path, c), m) for c, m in counts[path].items() if m > HOT]
+        _indexed(rows, tree, counts, open_)
+        open_ = {(*p, c): m for p in open_ if len(p) + 1 < LEVELS for c, m in counts[p].items() if m > HOT}
     lists = leaf_lists(tree, counts, candidates)
     held = {key((*path, c)): m for path in tree for c, m in counts[path].items() if (*path, c) not in tree}
     own = regions(held, {c: [y for y in x if y in held] for c, x in lists.items()}, min(REGION, max(2000, n // 12)))
+    tasks: dict[tuple[int, int], int] = {}  # a region, or a share of a leaf too large for one
+    shares = {c: -(-m // HOT) for c, m in held.items()}
+    for c in held:
+        for i in range(shares[c]):
+            tasks.setdefault((own[c], i) if shares[c] == 1 else (-c, i), len(tasks))
+    parts = min(20_000, len(tasks))
+    label = _places(rows.sparkSession, parts)
+    at_task = lambda c: [tasks[own[c], 0] if shares[c] == 1 else tasks[-c, i] for i in range(shares[c])]
     members: dict[int, set[int]] = {}
     for c, listed in lists.items():
         for y in listed:
-            members.setdefault(y, set()).add(own[c])
-    plan = rows.sparkSession.sparkContext.broadcast((tree, own, members, lists))
+            members.setdefault(y, set()).update(at_task(c))
+    asks = {c: (at_task(c)[0], shares[c]) for c in held}
+    plan = rows.sparkSession.sparkContext.broadcast((tree, asks, members, lists, label))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, _, members, _ = plan.value
+        tree, _, members, _, label = plan.value
         for b in batches:
             at, x = _matrix(b.column(1))
             ids = b.column(0).to_numpy()[at]
             c = leaves(tree, _unit(x))
-            to = {y: sorted(set().union(*[members.get(y >> BITS * i << BITS * i, ()) for i in range(LEVELS)])) for y in set(c.tolist())}
+            to = {y: sorted(set().union(*[members.get(y >> z << z, ()) for z in SHIFTS])) for y in set(c.tolist())}
             targets = [to[y] for y in c.tolist()]
             reps = np.repeat(np.arange(len(c)), [len(t) for t in targets])
+            tasks = np.array([t for ts in targets for t in ts], np.int64)
             vectors, _ = _packed(x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r for t in targets for r in t], pa.int64()), pa.array(c[reps]), pa.array(ids[reps], pa.int64()), vectors.take(pa.array(reps))], ["region", "cell", "id", "v"]
+                [pa.array(np.array(label, np.int64)[tasks % len(label)]), pa.array(tasks), pa.array(c[reps]), pa.array(ids[reps], pa.int64()), vectors.take(pa.array(reps))],
+                ["part", "task", "cell", "id", "v"],
             )
 
     def compare(rows: pa.Table) -> pa.Table:
-        _, own, _, lists = plan.value
-        region = rows.column("region")[0].as_py()
+        _, asks, _, lists, _ = plan.value
+        task = rows.column("task")[0].as_py()
         cell = rows.column("cell").to_numpy()
         ids = rows.column("id").to_numpy()
         order = np.lexsort((ids, cell))
@@ -327,17 +366,19 @@ def _search(rows: DataFrame, n: int, k: int, candidates: int) -> DataFrame:
         x = _unpacked(rows.column("v").combine_chunks().take(pa.array(order)))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for c in np.unique(cell).tolist():
-            if own.get(c) == region:
-                lo, hi = np.searchsorted(cell, [c, c + 1])
+            first, share = asks[c]
+            if first <= task < first + share:
+                mine = np.arange(*np.searchsorted(cell, [c, c + 1]))
+                mine = mine[ids[mine] % share == task - first]
                 at = np.concatenate([np.arange(*np.searchsorted(cell, [y, end(y)])) for y in lists[c]])
-                a, b = nearest_in(x[lo:hi], ids[lo:hi], x[at], ids[at], k)
-                left.append(a)
-                right.append(b)
+                if len(mine):
+                    a, b = nearest_in(x[mine], ids[mine], x[at], ids[at], k)
+                    left.append(a)
+                    right.append(b)
         return pa.table([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["passage_id_a", "passage_id_b"])
 
-    routed = rows.mapInArrow(route, "region long, cell long, id long, v binary")
-    parts = min(20_000, 3 * len(set(own.values())) + 1)  # few regions meet in one task
-    return routed.repartition(parts, "region").groupBy("region").applyInArrow(compare, "passage_id_a long, passage_id_b long")
+    routed = rows.mapInArrow(route, "part long, task long, cell long, id long, v binary")
+    return routed.repartition(parts, "part").groupBy("part", "task").applyInArrow(compare, "passage_id_a long, passage_id_b long")
 
 
 def most_similar(vectors: DataFrame, k: int = NEIGHBOURS, candidates: int = CANDIDATES) -> DataFrame:

@@ -114,6 +114,22 @@ def test_p2_hot_cells_meet_the_cells_beside_them(spark, monkeypatch):
     assert len(got & want) >= 0.95 * max(len(want), len(got))
 
 
+def test_p2_leaves_too_large_for_one_task(spark, monkeypatch):
+    x = clustered(600, 4, size=300)
+    monkeypatch.setattr(p2, "HOT", 20)
+    monkeypatch.setattr(p2, "LEVELS", 1)
+    got = {tuple(r) for r in p2.most_similar(vectors(spark, [(i, p2.MODEL, v.tolist()) for i, v in enumerate(x)])).collect()}
+    want = brute_pairs(np.arange(len(x)), x)
+    assert len(got & want) >= 0.95 * max(len(want), len(got))
+
+
+def test_p2_numbers_of_leaves():
+    for path in ((0,), (65535,), (3, 1023), (7, 0, 5), (1, 2, 3, 4, 1023)):
+        assert p2.path_of(p2.key(path)) == path and p2.key(path) < 2**63
+        if len(path) < p2.LEVELS:
+            assert p2.key(path) < p2.key((*path, 0)) < p2.key((*path, 1023)) < p2.end(p2.key(path))
+
+
 def test_p2_unusable_ties_and_copies(spark, monkeypatch):
     x = clustered(30, 1)
     rows = [(i, p2.MODEL, v.tolist()) for i, v in enumerate(x)]
