@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from clauseloom.functions.text import NUMBER_WORDS
+from clauseloom.functions.text import NUMBER_WORDS, year4
 
 # Units and months that quantities and dates are told by.
 UNITS = "days?|hours?|minutes?|periods?|steps?|lanes?|years?|weeks?"
+# The written-out numbers that a quantity is told by.
+QUANTITY_WORDS = {w: n for w, n in NUMBER_WORDS.items() if n <= 20 or n in (30, 40, 60, 90)} | {"forty-five": 45}
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 WORD_DIGITS = r"(?i)\b(" + "|".join(NUMBER_WORDS) + r")\s*\(\s*(\d{1,9})\s*\)"
 SUMS = r"(?i)(\d[\d,]{0,8})\s*days?\s*\(\s*(\d[\d,]{0,8})\s*days?\s*([+-])\s*(\d[\d,]{0,8})"
@@ -29,15 +31,17 @@ def percentage(c: Column) -> Column:
 def quantity(c: Column) -> Column:
     """The first number with a unit of time or schedule, as 'number unit'; a written-out number where no figure has one."""
     figure = rf"(?i)\b([0-9]+(?:\.\d+)?)\s*({UNITS})\b"
-    word = rf"(?i)\b({'|'.join(NUMBER_WORDS)})\s*({UNITS})\b"
-    table = F.create_map(*[F.lit(x) for k, v in NUMBER_WORDS.items() for x in (k, str(v))])
+    word = rf"(?i)\b({'|'.join(QUANTITY_WORDS)})\s*({UNITS})\b"
+    table = F.create_map(*[F.lit(x) for k, v in QUANTITY_WORDS.items() for x in (k, str(v))])
     written = F.concat_ws(" ", F.element_at(table, F.lower(_first(c, word))), _first(c, word, 2))
     return F.coalesce(F.when(_first(c, figure).isNotNull(), F.concat_ws(" ", _first(c, figure), _first(c, figure, 2))), F.when(_first(c, word).isNotNull(), written))
 
 
 def date_value(c: Column) -> Column:
-    """The first span of years, else the first date with a month's name."""
-    return F.coalesce(_first(c, r"\b((?:20|19)\d{2}\s*[-–]\s*(?:(?:20|19)\d{2}|\d{2}))\b"), _first(c, rf"(?i)\b((?:{MONTHS})\s+\d{{1,2}},?\s+(?:20|19)\d{{2}})\b"))
+    """The first span of years, both with four digits, else the first date with a month's name."""
+    span = r"\b((?:20|19)\d{2})\s*[-–]\s*((?:20|19)\d{2}|\d{2})\b"
+    years = F.concat(_first(c, span), F.lit("-"), year4(_first(c, span, 2)).cast("string"))
+    return F.coalesce(years, _first(c, rf"(?i)\b((?:{MONTHS})\s+\d{{1,2}},?\s+(?:20|19)\d{{2}})\b"))
 
 
 def word_digit_conflicts(c: Column) -> Column:

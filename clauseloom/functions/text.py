@@ -13,9 +13,10 @@ WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{
 STOP_WORDS = "a an and are as at be by does for from how if in is it of on or the this to what when which with".split()
 # Answers that stand for a missing one, and the spellings seen for them.
 MISSING = {
-    "nd": "not_discussed", "not discussed": "not_discussed", "not_discussed": "not_discussed", "none found": "not_discussed",
+    "nd": "not_discussed", "not discussed": "not_discussed", "not_discussed": "not_discussed",
     "du": "discussed_unclear", "discussed unclear": "discussed_unclear", "discussed_unclear": "discussed_unclear",
     "na": "not_applicable", "n/a": "not_applicable", "not applicable": "not_applicable", "not_applicable": "not_applicable",
+    "ocr needed": "ocr_needed", "ocrneeded": "ocr_needed",
 }
 # Numbers that are written out.
 NUMBER_WORDS = dict(
@@ -85,10 +86,10 @@ def first_page(c: Column) -> Column:
 
 
 def page_list(c: Column, longest: int = 30) -> Column:
-    """All integers of a page reference, ranges 'a-b' of up to `longest` pages filled in, ascending."""
+    """All integers of a page reference, ascending; where there are two and more within `longest` pages, all from the first to the last."""
     ints = F.transform(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)), lambda x: x.try_cast("int"))
     low, high = F.array_min(ints), F.array_max(ints)
-    is_range = c.rlike(r"[0-9]\s*[-–]\s*[0-9]") & (F.size(ints) >= 2) & (high - low <= longest)
+    is_range = (F.size(ints) >= 2) & (high - low <= longest)
     return F.when(is_range, F.sequence(low, high)).otherwise(F.array_sort(F.array_distinct(F.filter(ints, lambda x: x.isNotNull()))))
 
 
@@ -155,6 +156,12 @@ def negated_modal(c: Column) -> Column:
     return F.lower(c).rlike(rf"(^|[^\p{{L}}\p{{M}}\p{{N}}_])({MODALS})\s+not($|[^\p{{L}}\p{{M}}\p{{N}}_])")
 
 
+def compressed(c: Column) -> Column:
+    """A page without layout padding: lines without blanks at the end, four blanks and more as three, one empty line in a row, none at the ends."""
+    lines = F.regexp_replace(F.regexp_replace(c, r"[ \t\r\f\x0B]+(?=\n|\z)", ""), " {4,}", "   ")
+    return F.regexp_replace(F.regexp_replace(lines, r"\n{3,}", "\n\n"), r"\A\n+|\n+\z", "")
+
+
 def clean_controls(c: Column) -> Column:
     """Without the control characters that table sinks reject."""
     return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")

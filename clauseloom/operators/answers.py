@@ -69,7 +69,7 @@ def reconcile(rows: DataFrame, keys: list[str], precedence: list[str], fallback:
             (acc["added"] + takes.cast("int")).alias("added"),
         )
 
-    merged = F.aggregate(F.slice("solid", 2, 1000), start, step)
+    merged = F.aggregate(F.slice("solid", 2, F.greatest(F.lit(1), F.size("solid"))), start, step)
     no = F.filter("all", lambda x: x["status"] == "no")
     absent = F.coalesce(F.nullif(F.coalesce(F.get(no, F.lit(0))["answer"], F.get("all", F.lit(0))["answer"]), F.lit("")), F.lit(fallback))
     found = F.size("solid") > 0

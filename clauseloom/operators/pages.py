@@ -74,11 +74,12 @@ def fixed_chunks(df: DataFrame, size: int, overlap: int, text: str = "text") ->
     return rows.withColumn("start", (F.col("_i") * step).cast("long")).withColumn("chunk", F.substring(F.col(text), F.col("_i") * step + 1, F.lit(size))).drop("_i", text)
 
 
-def sentences(df: DataFrame, text: str, least: int = 25, most: int = 120) -> DataFrame:
-    """Sentences of `least` characters and more, the first `most`, numbered from 1, with their start in the text."""
+def sentences(df: DataFrame, text: str, least: int = 25, most: int | None = None) -> DataFrame:
+    """Sentences of `least` characters and more, numbered from 1: all, or the first `most` for a menu to choose from."""
     df = df.drop(*({"sentence", "sid", "_p"} - {text}))
     parts = F.split(F.regexp_replace(F.col(text), r"([.;:!?])" + T.WS + "+", "$1\u001f"), "\u001f")
-    rows = df.select("*", F.posexplode(F.filter(parts, lambda s: F.length(s) >= least)).alias("_p", "sentence")).where(F.col("_p") < most)
+    rows = df.select("*", F.posexplode(F.filter(parts, lambda s: F.length(s) >= least)).alias("_p", "sentence"))
+    rows = rows if most is None else rows.where(F.col("_p") < most)
     return rows.withColumn("sid", (F.col("_p") + 1).cast("long")).drop("_p", text)
 
 
@@ -110,22 +111,20 @@ def _packed(units: list[tuple[int, str]], joiner: str, target: int) -> Iterator[
 def passages_of(text: str, target: int = TARGET) -> list[tuple[int, int, str, str]]:
     """(first page, last page, heading, text) of the passages of a document. A passage never crosses a heading; long
     paragraphs are split at sentence ends. A heading without text is lost, but the first of a document stands for itself."""
-    sections: list[tuple[str, list[tuple[int, str]]]] = [("DOCUMENT PREAMBLE", [])]
-    pages = {"DOCUMENT PREAMBLE": 1}
+    sections: list[tuple[int, str, list[tuple[int, str]]]] = [(1, "DOCUMENT PREAMBLE", [])]  # page, heading, units
     for number, page in enumerate(text.split("\f"), 1):
         for raw in re.split(r"\n\s*\n", page.strip()):
             paragraph = re.sub(r"[ \t]+", " ", raw).strip()
             if _heading_like(paragraph):
-                sections.append((paragraph, []))
-                pages[paragraph] = number
+                sections.append((number, paragraph, []))
             elif paragraph:
                 pieces = [(number, s) for s in re.split(r"(?<=[.!?;:])\s+", paragraph)] if len(paragraph) > target else [(number, paragraph)]
-                sections[-1][1].extend((number, " ".join(s for _, s in group)) for group in _packed(pieces, " ", target))
+                sections[-1][2].extend((number, " ".join(s for _, s in group)) for group in _packed(pieces, " ", target))
     out: list[tuple[int, int, str, str]] = []
-    named = [s for s in sections if s[1] or s[0] != "DOCUMENT PREAMBLE"]
-    for k, (heading, units) in enumerate(named):
-        if not units and k == 0 and not out:
-            units = [(pages[heading], heading)]
+    named = [s for k, s in enumerate(sections) if s[2] or k]
+    for k, (page, heading, units) in enumerate(named):
+        if not units and k == 0:
+            units = [(page, heading)]
         for group in _packed(units, "\n\n", target):
             out.append((group[0][0], group[-1][0], heading, "\n\n".join(s for _, s in group)))
     return out
@@ -145,20 +144,22 @@ def build_passages(documents: DataFrame, key: str, target: int = TARGET) -> Data
 
 
 def page_windows(documents: DataFrame, key: str, size: int = 20_000, overlap: int = 2) -> DataFrame:
-    """key, window from 1, first_page, last_page: consecutive pages up to `size` characters, a window beginning `overlap`
-    pages before the last one ended, but always a page further. One page that is longer is a window."""
+    """key, window from 1, first_page, last_page: consecutive pages, without their padding and with two characters between
+    them, up to `size` characters, a window beginning `overlap` pages before the last one ended, but always a page further.
+    One page that is longer is a window. Only the pages' lengths go to Python."""
     kind = dict(documents.dtypes)[key]
+    sized = documents.where("text is not null").select(key, F.transform(T.pages(F.col("text")), lambda p: F.length(T.compressed(p))).alias("n"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for k, t in zip(f[key], f["text"]):
-                n = [len(p) for p in t.split("\f")]
+            for k, lengths in zip(f[key], f["n"]):
+                n = lengths.tolist()
                 at = number = 0
                 while at < len(n):
-                    end, total = at, 0
-                    while end < len(n) and (end == at or total + n[end] <= size):
-                        total += n[end]
+                    end, total = at + 1, n[at]
+                    while end < len(n) and total + n[end] + 2 <= size:
+                        total += n[end] + 2
                         end += 1
                     number += 1
                     rows.append((k, number, at + 1, end))
@@ -167,4 +168,4 @@ def page_windows(documents: DataFrame, key: str, size: int = 20_000, overlap: in
                     at = max(at + 1, end - overlap)
             yield pd.DataFrame(rows, columns=[key, "window", "first_page", "last_page"])
 
-    return documents.where("text is not null").select(key, "text").mapInPandas(run, f"{key} {kind}, window long, first_page long, last_page long")
+    return sized.mapInPandas(run, f"{key} {kind}, window long, first_page long, last_page long")

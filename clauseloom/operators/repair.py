@@ -6,7 +6,9 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from clauseloom.functions import text as T
 
 ANCHOR, MOST = 60, 1400
 _FOLD = str.maketrans("’‘“”–—", "''\"\"--")
@@ -32,33 +34,57 @@ def normal_with_places(text: str) -> tuple[str, list[int]]:
 
 
 def realigned(quote: str, page: str, anchor: int = ANCHOR, most: int = MOST) -> str:
+    return shared_stretch(quote, page, anchor, most)[1]
+
+
+def shared_stretch(quote: str, page: str, anchor: int = ANCHOR, most: int = MOST) -> tuple[int, str]:
     """The verbatim stretch of the page around the longest piece it shares with the quotation, if that has `anchor`
-    characters: out to the sentence's ends, `most` characters at most. Else ''."""
+    characters: out to the ends of its clause. '' if there is none, or if it has more than `most` characters."""
     q, _ = normal_with_places(quote)
     p, places = normal_with_places(page)
     if len(q) < anchor or not p:
-        return ""
+        return 0, ""
     at = p.find(q)
     if at >= 0:
         start, end = at, at + len(q)
     else:
         m = SequenceMatcher(None, p, q, autojunk=False).find_longest_match()
         if m.size < anchor:
-            return ""
+            return 0, ""
         start, end = m.a, m.a + m.size
-    while start > 0 and p[start - 1] not in ".;:!?" and end - start < most:
+    size = end - start
+    while start > 0 and p[start - 1] not in ".;:!?":
         start -= 1
-    while end < len(p) and p[end - 1] not in ".;:!?" and end - start < most:
+    while end < len(p) and p[end - 1] not in ".;:!?":
         end += 1
-    return page[places[start] : places[end - 1] + 1].strip()
+    if end - start > most:
+        return size, ""
+    return size, page[places[start] : places[end - 1] + 1].strip()
+
+
+def candidates(quotes: DataFrame, pages: DataFrame, quote_id: str, page_id: str, scope: str, anchor: int = ANCHOR) -> DataFrame:
+    """quote_id, page_id, quote, page: the pairs of one scope that can share a piece of `anchor` characters, and no others to speak of.
+
+    Such a piece holds a whole block of half its length of the page's text, cut at fixed places; so the blocks of pages are
+    joined with all stretches of that length of the quotations, as hashes. Texts meet only for pairs that share a block."""
+    half = anchor // 2
+    q, p = quotes.withColumn("_n", T.norm_quotes(F.col("quote"))), pages.withColumn("_n", T.norm_quotes(F.col("page")))
+    q, p = q.where(F.length("_n") >= anchor), p.where(F.length("_n") >= half)
+    places = lambda step: f"sequence(1, length(_n) - {half - 1}, {step})"
+    hashed = lambda step: F.explode(F.expr(f"array_distinct(transform({places(step)}, i -> xxhash64(substring(_n, i, {half}))))")).alias("_block")
+    blocks = p.select(scope, page_id, hashed(half))
+    pairs = q.select(scope, quote_id, hashed(1)).join(blocks, [scope, "_block"]).select(quote_id, page_id).distinct()
+    return pairs.join(quotes.select(quote_id, "quote"), quote_id).join(pages.select(page_id, "page"), page_id).where(~F.contains(T.norm_quotes(F.col("page")), T.norm_quotes(F.col("quote"))))
 
 
 def repair(rows: DataFrame, key: str) -> DataFrame:
-    """key, repaired for (key, quote, page); pages are compared row by row, no rows are gathered. Nulls give ''."""
+    """key, size, repaired for (key, quote, page): the number of the quotation's characters in the piece that page shares with it, and
+    the stretch around it; rows without one are left out. Compared row by row, no rows are gathered. Nulls give nothing."""
     kind = dict(rows.dtypes)[key]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({key: f[key], "repaired": [realigned(q or "", p or "") for q, p in zip(f["quote"], f["page"])]})
+            made = [(k, *shared_stretch(q, p)) for k, q, p in zip(f[key], f["quote"], f["page"]) if q and p]
+            yield pd.DataFrame([m for m in made if m[1]], columns=[key, "size", "repaired"])
 
-    return rows.select(key, "quote", "page").mapInPandas(run, f"{key} {kind}, repaired string")
+    return rows.select(key, "quote", "page").mapInPandas(run, f"{key} {kind}, size long, repaired string")

@@ -9,39 +9,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clauseloom.functions import text as T
+from clauseloom.session import cut
 
 K1, B = 1.2, 0.75  # of the published BM25
 HEADING, TEXT = 2.0, 1.0  # weights of the columns
 BLOCK = 4096  # query vectors compared at once
+TERMS = 20_000  # different terms, at most, that are asked for at once
 
 
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def postings(items: DataFrame, key: str, heading: str, text: str) -> DataFrame:
-    """term, key, tf (weighted by column), size (tokens of both columns): the inverted index. Items without tokens have
-    no postings."""
-    sized = items.select(key, tokens(F.col(heading)).alias("_h"), tokens(F.col(text)).alias("_t"))
-    sized = sized.withColumn("size", (F.size("_h") + F.size("_t")).cast("long"))
-    weighted = F.concat(
-        F.transform("_h", lambda t: F.struct(t.alias("term"), F.lit(HEADING).alias("w"))), F.transform("_t", lambda t: F.struct(t.alias("term"), F.lit(TEXT).alias("w")))
-    )
-    return sized.select(key, "size", F.explode(weighted).alias("p")).groupBy(key, "size", F.col("p.term").alias("term")).agg(F.sum("p.w").alias("tf"))
-
+def bm25(items: DataFrame, key: str, heading: str, text: str, queries: DataFrame, query: str) -> DataFrame:
+    """query, key, rank (lower is better) of every item with a term of the query. queries: (query, terms), a codebook: its
+    terms are brought to the driver, at most TERMS. Statistics are those of all items. Equal items count once.
 
-def bm25(index: DataFrame, key: str, queries: DataFrame, query: str) -> DataFrame:
-    """query, key, rank (lower is better) of every item with a term of the query. index: postings; queries: (query,
-    terms). Statistics are those of the whole index. Only the postings of query terms are shuffled."""
-    items, mean = index.groupBy(key).agg(F.max("size").alias("size")).agg(F.count(F.lit(1)), F.avg("size")).first()
+    Each text is tokenised once; the sizes and the counts of asked terms are taken inside the row, so that neither texts nor
+    other tokens are shuffled."""
     asked = queries.select(query, F.explode("terms").alias("term")).distinct()
-    used = index.join(asked.select("term").distinct(), "term", "left_semi")
-    often = used.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    idf = F.greatest(F.lit(1e-6), F.log((F.lit(items) - F.col("_df") + 0.5) / (F.col("_df") + 0.5)))
-    weights = often.select("term", idf.alias("_idf"))
+    terms = sorted({r["term"] for r in asked.select("term").distinct().limit(TERMS + 1).collect()})
+    if len(terms) > TERMS:
+        raise ValueError(f"more than {TERMS} query terms: ask in parts")
+    sized = items.select(key, tokens(F.col(heading)).alias("_h"), tokens(F.col(text)).alias("_t"))
+    among = lambda c: F.filter(c, lambda t: t.isin(terms) if terms else F.lit(False))
+    sized = sized.select(key, (F.size("_h") + F.size("_t")).cast("long").alias("size"), among("_h").alias("_h"), among("_t").alias("_t"))
+    often = lambda c, t: F.size(F.filter(c, lambda x: x == t))
+    counted = F.transform(F.array_distinct(F.concat("_h", "_t")), lambda t: F.struct(t.alias("term"), (often("_h", t) * HEADING + often("_t", t) * TEXT).alias("tf")))
+    once = cut(sized.where("size > 0").select(key, "size", counted.alias("p")).dropDuplicates([key]))
+    items_n, mean = once.agg(F.count(F.lit(1)), F.avg("size")).first()
+    used = once.select(key, "size", F.explode("p").alias("p")).select(key, "size", "p.term", "p.tf")
+    df = used.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    idf = F.greatest(F.lit(1e-6), F.log((F.lit(items_n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5)))
+    # no more rows than the codebook has terms
+    weights = F.broadcast(asked.join(df, "term").select(query, "term", idf.alias("_idf")))
     part = F.col("_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean or 1.0)))
-    scored = used.join(weights, "term").select("term", key, part.alias("_part"))
-    return scored.join(asked, "term").groupBy(query, key).agg((-F.sum("_part")).alias("rank"))
+    return used.join(weights, "term").groupBy(query, key).agg((-F.sum(part)).alias("rank"))
 
 
 def top_k(scored: DataFrame, by: list[str], order: list[Column], k: int, to: str = "position") -> DataFrame:
@@ -58,48 +61,62 @@ def interleave(ranked: DataFrame, query: str, item: str, source: str, position:
     return top_k(first, [query], [F.col("_p"), F.col(source), F.col(item)], budget, "place").drop("_p")
 
 
-def cosine_top_k(queries: DataFrame, vectors: DataFrame, key: str, embedding: str, k: int, block: int = BLOCK) -> DataFrame:
-    """query_id, key, similarity (six decimals), position: the k most similar vectors, itself aside, ties to the smaller
-    key. Exact. The queries are a stated set: they are compared in blocks of bounded size, and each task keeps k for a
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, key: str, embedding: str, k: int, block: int = BLOCK, scope: str | None = None, itself: bool = False) -> DataFrame:
+    """query_id, key, similarity (six decimals), position: the k most similar vectors, itself aside (unless asked for), ties to the
+    smaller key. scope: a column (a document's id) in which a query and a vector must agree. Exact. The queries are a stated set: they are compared in blocks of bounded size, and each task keeps k for a
     query. Null and zero vectors and vectors of another length than the query are similar to nothing."""
     spark = vectors.sparkSession
-    rows = vectors.select(key, embedding).where(F.col(embedding).isNotNull())
+    columns = [key, embedding, *([scope] if scope else [])]
+    rows = vectors.select(*columns).where(F.col(embedding).isNotNull())
     out: DataFrame | None = None
-    held: list[tuple[int, list[float]]] = []
+    held: list[tuple] = []
 
-    def search(block_rows: list[tuple[int, list[float]]]) -> DataFrame:
+    def search(block_rows: list[tuple]) -> DataFrame:
         shared = spark.sparkContext.broadcast(block_rows)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for n in {len(v) for _, v in shared.value}:
-                x = np.array([v for _, v in shared.value if len(v) == n], np.float64).reshape(-1, n)
+            by_size: dict[tuple, list[tuple]] = {}
+            for i, v, w in shared.value:
+                by_size.setdefault((len(v), w), []).append((i, v))
+            asked = {}
+            for group, members in by_size.items():
+                x = np.array([v for _, v in members], np.float64).reshape(-1, group[0])
                 norm = np.linalg.norm(x, axis=1)
-                by_size[n] = (np.array([i for i, v in shared.value if len(v) == n])[norm > 0], x[norm > 0] / norm[norm > 0][:, None])
+                asked[group] = (np.array([i for i, _ in members])[norm > 0], x[norm > 0] / norm[norm > 0][:, None])
             for b in batches:
                 ids, values = b.column(0).to_pylist(), b.column(1).to_pylist()
+                scopes = b.column(2).to_pylist() if scope else [None] * len(ids)
+                at: dict[tuple, list[int]] = {}
+                for i, (v, w) in enumerate(zip(values, scopes)):
+                    if (len(v), w) in asked and None not in v:
+                        at.setdefault((len(v), w), []).append(i)
                 parts = [[], [], []]
-                for n, (q_ids, q) in by_size.items():
-                    at = [i for i, v in enumerate(values) if len(v) == n and None not in v]
-                    if not at or not len(q):
-                        continue
-                    x = np.array([values[i] for i in at], np.float64)
+                for group, places in at.items():
+                    q_ids, q = asked[group]
+                    x = np.array([values[i] for i in places], np.float64)
                     norm = np.linalg.norm(x, axis=1)
-                    own = np.array([ids[i] for i in at])[norm > 0]
+                    own = np.array([ids[i] for i in places])[norm > 0]
                     x = x[norm > 0] / norm[norm > 0][:, None]
+                    if not len(q) or not len(own):
+                        continue
                     s = np.round(q @ x.T, 6)
-                    for r in range(len(q)):
-                        order = np.lexsort((own, -s[r]))
-                        order = order[own[order] != q_ids[r]][:k]
-                        parts[0] += [int(q_ids[r])] * len(order)
-                        parts[1] += own[order].tolist()
-                        parts[2] += s[r][order].tolist()
+                    if not itself:
+                        s[q_ids[:, None] == own[None, :]] = -2.0
+                    floor = np.partition(s, len(own) - min(k, len(own)), axis=1)[:, len(own) - min(k, len(own))]
+                    r, c = np.nonzero((s >= floor[:, None]) & (s > -2.0))
+                    order = np.lexsort((own[c], -s[r, c], r))
+                    r, c = r[order], c[order]
+                    first = np.arange(len(r)) - np.searchsorted(r, r) < k
+                    r, c = r[first], c[first]
+                    parts[0] += q_ids[r].tolist()
+                    parts[1] += own[c].tolist()
+                    parts[2] += s[r, c].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.float64())], ["query_id", key, "similarity"])
 
         return rows.mapInArrow(run, f"query_id long, {key} long, similarity double")
 
-    for row in queries.select(key, embedding).where(F.col(embedding).isNotNull()).toLocalIterator():
-        held.append((row[0], [float(x) if x is not None else 0.0 for x in row[1]]))
+    for row in queries.select(*columns).where(F.col(embedding).isNotNull()).toLocalIterator():
+        held.append((row[0], [float(x) if x is not None else 0.0 for x in row[1]], row[2] if scope else None))
         if len(held) == block:
             out = search(held) if out is None else out.unionByName(search(held))
             held = []
@@ -108,6 +125,14 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, key: str, embedding: st
     return top_k(out, ["query_id"], [F.col("similarity").desc(), F.col(key)], k)
 
 
+def with_vectors(asked: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """The asked rows. One whose key has no vector is an error when the result is read: a search that had nothing to look in
+    must not look like one that found nothing."""
+    there = vectors.select(key).distinct().withColumn("_there", F.lit(True))
+    known = F.coalesce("_there", F.raise_error(F.concat(F.lit(f"no vectors for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean"))
+    return asked.join(there, key, "left").where(known).drop("_there")
+
+
 def support(terms: Column, text: Column) -> Column:
     """How many of the terms stand in the text."""
     return F.size(F.filter(terms, lambda t: F.contains(text, t))).cast("long")

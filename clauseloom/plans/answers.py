@@ -49,11 +49,12 @@ def dedup_last(read) -> DataFrame:
     return P.latest(rows, ["document_id", "question_id", "source"], ["loaded_at", "attempt_id"]).select("document_id", "question_id", "source", "attempt_id")
 
 
-@query("SELECT evidence, min(attempt_id) AS attempt_id, count(DISTINCT attempt_id) AS n FROM attempts WHERE length(trim(evidence)) > 0 GROUP BY evidence")
+@query("SELECT coalesce(trim(evidence, ' '), '') AS evidence, min(attempt_id) AS attempt_id, count(DISTINCT attempt_id) AS n FROM attempts GROUP BY coalesce(trim(evidence, ' '), ''), CASE WHEN length(trim(evidence, ' ')) > 0 THEN 0 ELSE attempt_id END")
 def dedup_first(read) -> DataFrame:
-    """Equal quotations once, by their first attempt."""
-    rows = _attempts(read, "evidence").where(F.length(F.trim("evidence")) > 0)
-    return rows.groupBy("evidence").agg(F.min("attempt_id").alias("attempt_id"), F.count(F.lit(1)).alias("n"))
+    """Equal quotations once, by their first attempt; every attempt without a quotation stays."""
+    rows = _attempts(read, "evidence").withColumn("evidence", F.coalesce(F.trim("evidence"), F.lit("")))
+    own = F.when(F.col("evidence") == "", F.col("attempt_id")).otherwise(0)
+    return rows.groupBy("evidence", own.alias("_own")).agg(F.min("attempt_id").alias("attempt_id"), F.count(F.lit(1)).alias("n")).drop("_own")
 
 
 @query(f"WITH {SQL_ATTEMPTS}, {_BEST} SELECT document_id, question_id, attempt_id, score, status FROM best")
@@ -150,12 +151,48 @@ def score_flags(read) -> DataFrame:
     return flags.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 4).alias("status"), F.round(F.avg("p"), 4).alias("page"), F.round(F.avg(F.col("s") * F.col("p")), 4).alias("overall"))
 
 
-@query(f"WITH {SQL_ATTEMPTS}, {_BEST}, b AS (SELECT document_id, question_id, coalesce(nullif(trim(answer), ''), 'not_discussed') AS answer FROM best) PIVOT b ON question_id USING first(answer) GROUP BY document_id")
+# The questions of the codebook that the tables come with, for the SQL of the wide form.
+CODEBOOK = """
+    ben_dental_plan_002 ben_health_share_001 ben_life_cover_003 ben_retiree_plan_005 ben_tuition_aid_004 cls_caseload_cap_003 cls_overage_pay_002
+    cls_pupil_cap_001 evl_improvement_plan_004 evl_rating_scale_002 evl_rebuttal_right_003 evl_visit_count_001 gri_arbitration_002 gri_file_access_004
+    gri_grievance_steps_001 gri_just_cause_003 gri_release_time_005 lve_bereavement_span_003 lve_jury_pay_006 lve_leave_bank_005 lve_parental_time_004
+    lve_personal_days_002 lve_sick_days_001 met_binding_force_004 met_term_dates_002 met_title_kind_001 met_unit_covered_003 pay_grid_shown_001
+    pay_grid_year_002 pay_hourly_rate_006 pay_lane_change_004 pay_longevity_sum_005 pay_signing_sum_008 pay_step_movement_003 pay_stipend_table_007
+    saf_assault_leave_001 saf_first_aid_003 saf_room_heat_002 saf_threat_report_004 sec_layoff_order_001 sec_recall_term_002 sec_seniority_list_003
+    sec_transfer_notice_004 wrk_day_length_001 wrk_duty_free_meal_003 wrk_meeting_cap_004 wrk_planning_minutes_002 wrk_travel_time_005
+""".split()
+FIELDS = {"answer": "not_discussed", "evidence": "", "page": "not_applicable", "confidence": "low"}  # and what stands for a missing one
+
+
+@query(f"""
+    WITH {SQL_ATTEMPTS}, {_BEST}, b AS (SELECT document_id, question_id, {", ".join(f"coalesce(nullif(trim({f}, ' '), ''), '{d}') AS {f}" for f, d in FIELDS.items())} FROM best),
+    d AS (SELECT DISTINCT document_id FROM documents)
+    SELECT d.document_id, {", ".join(f"coalesce(max(CASE WHEN question_id = '{q}' THEN {f} END), '{v}') AS {q}_{f}" for q in CODEBOOK for f, v in FIELDS.items())} FROM d LEFT JOIN b ON d.document_id = b.document_id GROUP BY d.document_id
+""")
 def wide_pivot(read) -> DataFrame:
-    """Documents by questions: the best answer of each, in the codebook's columns."""
-    rows = _attempts(read, "document_id", "question_id", "answer", "evidence", "confidence")
-    best = A.best_answers(rows, ["document_id", "question_id"], ["attempt_id"]).withColumn("answer", A.with_defaults(F.col("answer"), "not_discussed"))
-    return best.groupBy("document_id").pivot("question_id", _book(read)).agg(F.first("answer"))
+    """Every document by the codebook's questions, four columns a question: the best answer, its evidence, page and confidence,
+    defaults where there is none."""
+    rows = _attempts(read, "document_id", "question_id", *FIELDS)
+    best = A.best_answers(rows, ["document_id", "question_id"], ["attempt_id"]).select("document_id", "question_id", *[A.with_defaults(F.col(f), d).alias(f) for f, d in FIELDS.items()])
+    wide = best.groupBy("document_id").pivot("question_id", _book(read)).agg(*[F.first(f).alias(f) for f in FIELDS])
+    full = read("documents").select("document_id").distinct().join(wide, "document_id", "left")
+    return full.select("document_id", *[F.coalesce(c, F.lit(next(d for f, d in FIELDS.items() if c.endswith("_" + f)))).alias(c) for c in full.columns if c != "document_id"])
+
+
+@query(f"""
+    WITH {SQL_ATTEMPTS}, {_BEST}, d AS (SELECT document_id, min(district) AS district FROM documents GROUP BY document_id)
+    SELECT d.document_id, district, q.qid AS question_id, topic, {", ".join(f"coalesce(nullif(trim({f}, ' '), ''), '{v}') AS {f}" for f, v in FIELDS.items())}, b.attempt_id IS NOT NULL AS coded
+    FROM d CROSS JOIN questions q LEFT JOIN best b ON d.document_id = b.document_id AND q.qid = b.question_id
+""")
+def long_dataset(read) -> DataFrame:
+    """Every document with every question, its topic and the four fields of the best answer: the long form of the data set."""
+    rows = _attempts(read, "document_id", "question_id", *FIELDS)
+    best = A.best_answers(rows, ["document_id", "question_id"], ["attempt_id"])
+    docs = read("documents").groupBy("document_id").agg(F.min("district").alias("district"))
+    book = F.broadcast(read("questions").select(F.col("qid").alias("question_id"), "topic"))  # the codebook has a fixed size
+    grid = A.template(docs, _book(read)).join(docs, "document_id").join(book, "question_id")
+    full = grid.join(best, ["document_id", "question_id"], "left")
+    return full.select("document_id", "district", "question_id", "topic", *[A.with_defaults(F.col(f), d).alias(f) for f, d in FIELDS.items()], F.col("attempt_id").isNotNull().alias("coded"))
 
 
 @query(f"""
@@ -217,7 +254,7 @@ def variant_fold(read) -> DataFrame:
 
 @query(f"""
     WITH {SQL_ATTEMPTS}, r AS (SELECT question_id, attempt_id, page, row_number() OVER (PARTITION BY document_id ORDER BY attempt_id) AS n FROM att)
-    SELECT attempt_id, CASE WHEN regexp_matches(page, '[0-9]\\s*[-–]\\s*[0-9]') AND len(i) >= 2 AND list_max(i) - list_min(i) <= 30 THEN range(list_min(i), list_max(i) + 1) ELSE list_sort(list_distinct(i)) END AS pages
+    SELECT attempt_id, CASE WHEN len(i) >= 2 AND list_max(i) - list_min(i) <= 30 THEN range(list_min(i), list_max(i) + 1) ELSE list_sort(list_distinct(i)) END AS pages
     FROM (SELECT attempt_id, page, list_transform(regexp_extract_all(page, '[0-9]+'), lambda x: x::INTEGER) AS i FROM r WHERE page IS NOT NULL)
 """)
 def page_references(read) -> DataFrame:

@@ -72,7 +72,7 @@ def evidence_norms(read) -> DataFrame:
       WHEN contains(h, 'benefits guide') OR contains(h, 'benefit guide') THEN 'benefits guide'
       WHEN contains(h, 'salary schedule') AND NOT regexp_matches(h, 'collective bargaining|agreement|contract') THEN 'salary schedule'
       WHEN contains(h, 'policy statement') THEN 'policy statement'
-      WHEN contains(regexp_replace(lower(coalesce(file_name, '')), '[_-]+', ' ', 'g'), 'tentative agreement') THEN 'other'
+      WHEN contains(regexp_replace(lower(coalesce(file_name, '')), '[_-]+', ' ', 'g'), 'tentative agreement') OR regexp_matches(coalesce(file_name, ''), '\\bTA\\b') THEN 'other'
       WHEN contains(h, 'agreement') OR contains(h, 'contract') THEN 'collective bargaining agreement' ELSE 'other' END AS doc_type FROM hay)
     SELECT doc_id, doc_type, CASE WHEN contains(u, 'all employees') AND doc_type = 'employee handbook' THEN 'all employees' WHEN contains(u, 'instructional employees') THEN 'teachers'
       WHEN contains(u, 'certificated') OR contains(u, 'certified') THEN 'certified staff' WHEN contains(u, 'teacher') THEN 'teachers' WHEN doc_type = 'employee handbook' THEN 'all employees' ELSE 'unclear' END AS unit FROM t
@@ -80,7 +80,7 @@ def evidence_norms(read) -> DataFrame:
 def doc_type_rules(read) -> DataFrame:
     name, text = F.coalesce("file_name", F.lit("")), F.coalesce("text", F.lit(""))
     hay = F.regexp_replace(F.lower(F.concat(name, F.lit("\n"), F.substring(text, 1, 5000))), "[_-]+", " ")
-    rows = read("documents").select("doc_id", hay.alias("h"), F.lower(F.substring(text, 1, 20000)).alias("u"), F.regexp_replace(F.lower(name), "[_-]+", " ").alias("f"))
+    rows = read("documents").select("doc_id", hay.alias("h"), F.lower(F.substring(text, 1, 20000)).alias("u"), F.regexp_replace(F.lower(name), "[_-]+", " ").alias("f"), name.alias("n"))
     has = lambda c, *words: F.expr(" or ".join(f"contains({c}, '{w}')" for w in words))
     doc_type = (
         F.when(has("h", "employee handbook", "personnel handbook", "teacher handbook"), "employee handbook")
@@ -88,7 +88,7 @@ def doc_type_rules(read) -> DataFrame:
         .when(has("h", "benefits guide", "benefit guide"), "benefits guide")
         .when(has("h", "salary schedule") & ~has("h", "collective bargaining", "agreement", "contract"), "salary schedule")
         .when(has("h", "policy statement"), "policy statement")
-        .when(has("f", "tentative agreement"), "other")
+        .when(has("f", "tentative agreement") | F.col("n").rlike(r"\bTA\b"), "other")
         .when(has("h", "agreement", "contract"), "collective bargaining agreement")
         .otherwise("other")
     )
@@ -146,7 +146,7 @@ def fixed_chunks(read) -> DataFrame:
     SELECT passage_id, generate_subscripts(l, 1) AS sid, length(unnest(l)) AS n_chars, md5(unnest(l)) AS digest FROM s
 """)
 def sentence_menu(read) -> DataFrame:
-    rows = P.sentences(read("passages").where("text is not null").select("passage_id", "text").dropDuplicates(["passage_id"]), "text")
+    rows = P.sentences(read("passages").where("text is not null").select("passage_id", "text").dropDuplicates(["passage_id"]), "text", most=120)
     return rows.select("passage_id", "sid", F.length("sentence").cast("long").alias("n_chars"), F.md5("sentence").alias("digest"))
 
 

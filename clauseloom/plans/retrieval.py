@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from clauseloom.functions import text as T
 from clauseloom.operators import pages as P, retrieval as R
 from clauseloom.operators.containment import stretch_pairs
+from clauseloom.session import cut
 from clauseloom.plans import SQL_ATTEMPTS, SQL_LATEST, SQL_PASSAGES, SQL_WS, query, sql_squeeze
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -23,9 +24,9 @@ _BM25 = f"""
 
 
 def _scored(read) -> DataFrame:
-    items = read("passages").select("passage_id", "heading", "text").dropDuplicates(["passage_id"])
+    items = read("passages").select("passage_id", "heading", "text")
     queries = read("questions").select("qid", T.search_terms(F.concat_ws(" ", "keywords", "question")).alias("terms"))
-    return R.bm25(R.postings(items, "passage_id", "heading", "text"), "passage_id", queries, "qid")
+    return R.bm25(items, "passage_id", "heading", "text", queries, "qid")
 
 
 @query(f"""
@@ -96,19 +97,81 @@ def keyword_support(read) -> DataFrame:
     return _support(read).groupBy("qid").agg(F.count(F.lit(1)).alias("n_passages"), F.sum("hits").alias("hits"), F.max("hits").alias("most"))
 
 
+# --- dense and hybrid retrieval -----------------------------------------------------------------------------------------
+
+MODEL, DIMENSIONS = "clausevec-384-r2", 384
+_VECTORS = f"""vec AS (SELECT passage_id, min(embedding)::DOUBLE[] AS e FROM passage_vectors WHERE model = '{MODEL}' AND len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY passage_id),
+    unit AS (SELECT passage_id, document_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM vec JOIN (SELECT DISTINCT passage_id, document_id FROM passages) USING (passage_id))"""
+
+
+def _vectors(read) -> DataFrame:
+    """passage_id, embedding of the usable vectors, one a passage (of several the smallest)."""
+    rows = read("passage_vectors").where((F.col("model") == MODEL) & (F.size("embedding") == DIMENSIONS) & F.exists("embedding", lambda x: x != 0))
+    return rows.groupBy("passage_id").agg(F.min("embedding").alias("embedding"))
+
+
+def _located_vectors(read) -> DataFrame:
+    return _vectors(read).join(read("passages").select("passage_id", "document_id").distinct(), "passage_id")
+
+
+@query(f"""
+    WITH {_VECTORS}, s AS (SELECT a.passage_id AS query_id, b.passage_id, round(list_dot_product(a.u, b.u), 6) AS similarity FROM unit a JOIN unit b ON a.document_id = b.document_id AND a.passage_id <> b.passage_id WHERE a.passage_id % 20 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, passage_id) AS position FROM s)
+    SELECT query_id, passage_id, similarity, position FROM r WHERE position <= 6
+""")
+def dense_document_topk(read) -> DataFrame:
+    """The six passages of the same document that are most similar to each passage of the query set (ids divisible by 20)."""
+    v = _located_vectors(read)
+    queries = R.with_vectors(v.where("passage_id % 20 = 0"), v, "document_id")
+    best = R.cosine_top_k(queries, v, "passage_id", "embedding", 6, scope="document_id")
+    return best.select("query_id", "passage_id", "similarity", "position")
+
+
+_DENSE = f"""{_VECTORS}, lex AS (SELECT qid, passage_id, row_number() OVER (PARTITION BY qid ORDER BY round(rank, 9), passage_id) AS position FROM scored),
+    seed AS (SELECT qid, u FROM lex JOIN unit USING (passage_id) WHERE position <= 20 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY position) = 1),
+    dense AS (SELECT qid, passage_id, row_number() OVER (PARTITION BY qid ORDER BY round(list_dot_product(seed.u, unit.u), 6) DESC, passage_id) AS position FROM seed, unit)"""
+
+
+def _lists(read, depth: int) -> tuple[DataFrame, DataFrame]:
+    """qid, passage_id, position: the lexical and the dense ranking of each question. No question has a vector of its own
+    here, so the best lexical hit that has one stands for it."""
+    lex = cut(R.top_k(_scored(read), ["qid"], [F.round("rank", 9), F.col("passage_id")], depth).select("qid", "passage_id", "position"))
+    v = _located_vectors(read).select("passage_id", "embedding")
+    book = read("questions").select("qid", F.row_number().over(Window.orderBy("qid")).cast("long").alias("number"))  # the codebook has a fixed size
+    seed = lex.join(v, "passage_id").groupBy("qid").agg(F.min_by("embedding", "position").alias("embedding"))
+    asked = seed.join(book, "qid").select(F.col("number").alias("passage_id"), "embedding")
+    dense = R.cosine_top_k(asked, v, "passage_id", "embedding", depth, itself=True).join(book, F.col("query_id") == F.col("number"))
+    return lex, dense.select("qid", "passage_id", "position")
+
+
 @query(f"""
-    WITH {_BM25}, {_SUPPORT}, a AS (SELECT qid, passage_id, 1 AS source, row_number() OVER (PARTITION BY qid ORDER BY round(rank, 9), passage_id) AS position FROM scored),
-    b AS (SELECT qid, passage_id, 2 AS source, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, passage_id) AS position FROM sup WHERE hits > 0),
-    u AS (SELECT * FROM a WHERE position <= 20 UNION ALL SELECT * FROM b WHERE position <= 20),
+    WITH {_BM25}, {_DENSE}, u AS (SELECT qid, passage_id, position, 1 AS source FROM lex WHERE position <= 20 UNION ALL SELECT qid, passage_id, position, 2 FROM dense WHERE position <= 20),
     f AS (SELECT *, row_number() OVER (PARTITION BY qid, passage_id ORDER BY position, source) AS first FROM u),
     p AS (SELECT qid, passage_id, source, row_number() OVER (PARTITION BY qid ORDER BY position, source, passage_id) AS place FROM f WHERE first = 1)
     SELECT * FROM p WHERE place <= 10
 """)
 def hybrid_interleave(read) -> DataFrame:
-    """Two rankings of passages for each question (BM25, number of keywords) taken in turn, ten passages."""
-    a = R.top_k(_scored(read), ["qid"], [F.round("rank", 9), F.col("passage_id")], 20).select("qid", "passage_id", F.lit(1).alias("source"), "position")
-    b = R.top_k(_support(read), ["qid"], [F.col("hits").desc(), F.col("passage_id")], 20).select("qid", "passage_id", F.lit(2).alias("source"), "position")
-    return R.interleave(a.unionByName(b), "qid", "passage_id", "source", "position", 20, 10)
+    """Two rankings of passages for each question, BM25 and cosine, taken in turn, the lexical one first; ten passages."""
+    lex, dense = _lists(read, 20)
+    both = lex.withColumn("source", F.lit(1)).unionByName(dense.withColumn("source", F.lit(2)))
+    return R.interleave(both, "qid", "passage_id", "source", "position", 20, 10)
+
+
+@query(f"""
+    WITH {_BM25}, {_SUPPORT}, {_DENSE}, kw AS (SELECT qid, passage_id, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, passage_id) AS position FROM sup WHERE hits > 0),
+    u AS (SELECT qid, passage_id, position, 1 AS source FROM dense WHERE position <= 12 UNION ALL SELECT qid, passage_id, position, 2 FROM lex WHERE position <= 12 UNION ALL SELECT qid, passage_id, position, 3 FROM kw WHERE position <= 12),
+    n AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM lex WHERE lex.qid = u.qid AND lex.passage_id = u.passage_id AND lex.position <= 4)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY qid, passage_id ORDER BY position, source) AS first FROM n),
+    p AS (SELECT qid, passage_id, source, row_number() OVER (PARTITION BY qid ORDER BY position, source, passage_id) AS place FROM f WHERE first = 1)
+    SELECT * FROM p WHERE place <= 12
+""")
+def round_robin_collect(read) -> DataFrame:
+    """Further passages for each question: three rankings in turn, without the four that were shown before."""
+    lex, dense = _lists(read, 12)
+    kw = R.top_k(_support(read), ["qid"], [F.col("hits").desc(), F.col("passage_id")], 12).select("qid", "passage_id", "position")
+    every = dense.withColumn("source", F.lit(1)).unionByName(lex.withColumn("source", F.lit(2))).unionByName(kw.withColumn("source", F.lit(3)))
+    fresh = every.join(lex.where("position <= 4").select("qid", "passage_id"), ["qid", "passage_id"], "left_anti")
+    return R.interleave(fresh, "qid", "passage_id", "source", "position", 12, 12)
 
 
 @query(f"""

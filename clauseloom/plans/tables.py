@@ -155,30 +155,21 @@ def page_compression(read) -> DataFrame:
     return D.compression(p, ["doc_id", "page_no"], "page").select("doc_id", "page_no", F.round("ratio", 6).alias("ratio"), "loop")
 
 
-@query(f"""
-    WITH {SQL_ATTEMPTS} SELECT attempt_id, round(levenshtein(evidence, coalesce(alt_evidence, '')) / greatest(1, length(coalesce(alt_evidence, ''))), 6) AS cer FROM att WHERE evidence IS NOT NULL AND length(trim(alt_evidence)) > 0 AND length(evidence) > 0
-      AND regexp_full_match(evidence, '[ -~]*') AND regexp_full_match(alt_evidence, '[ -~]*')
-""")
-def edit_distance(read) -> DataFrame:
-    """Character error rate of the evidence against the alternative one, where both are plain ASCII, as in its SQL;
-    edit_distance_all has all of them."""
+def _alternatives(read) -> DataFrame:
     rows = read("attempts").select("attempt_id", "evidence", "alt_evidence").dropDuplicates(["attempt_id"])
-    rows = rows.where("evidence is not null and length(evidence) > 0 and length(trim(alt_evidence)) > 0").where(F.col("evidence").rlike("^[ -~]*$") & F.col("alt_evidence").rlike("^[ -~]*$"))
-    return rows.select("attempt_id", F.round(D.error_rate(F.col("evidence"), F.col("alt_evidence")), 6).alias("cer"))
+    return rows.where("evidence is not null and length(evidence) > 0 and length(trim(alt_evidence)) > 0")
 
 
 @query()
-def edit_distance_all(read) -> DataFrame:
-    """Character error rate as in edit_distance for texts of every script; no SQL, for DuckDB's levenshtein counts bytes."""
-    rows = read("attempts").select("attempt_id", "evidence", "alt_evidence").dropDuplicates(["attempt_id"])
-    rows = rows.where("evidence is not null and length(evidence) > 0 and length(trim(alt_evidence)) > 0")
-    return rows.select("attempt_id", F.round(D.error_rate(F.col("evidence"), F.col("alt_evidence")), 6).alias("cer"))
+def edit_distance(read) -> DataFrame:
+    """Character error rate of the evidence against the alternative one; no SQL, for DuckDB's levenshtein counts bytes."""
+    return _alternatives(read).select("attempt_id", F.round(D.error_rate(F.col("evidence"), F.col("alt_evidence")), 6).alias("cer"))
 
 
 @query()
 def word_error_rate(read) -> DataFrame:
-    """Word error rate of each question's wording against the note for its extraction."""
-    return D.word_errors(read("questions"), "qid", "question", "extract_note")
+    """Word error rate of the evidence against the alternative one."""
+    return D.word_errors(_alternatives(read), "attempt_id", "evidence", "alt_evidence")
 
 
 # --- clauses --------------------------------------------------------------------------------------------------------------
@@ -190,7 +181,7 @@ _MODAL = rf"regexp_extract(regexp_replace(lower(s), '\([^)]*\)', ' ', 'g'), '(^|
 
 
 @query(rf"""
-    WITH {SQL_PASSAGES}, st AS (SELECT document_id, unnest(list_filter(string_split(regexp_replace(text, '([.;:!?]){T.WS}+', '\1' || chr(31), 'g'), chr(31)), lambda x: length(x) >= 25)[1:120]) AS s FROM pas WHERE text IS NOT NULL),
+    WITH {SQL_PASSAGES}, st AS (SELECT document_id, unnest(list_filter(string_split(regexp_replace(text, '([.;:!?]){T.WS}+', '\1' || chr(31), 'g'), chr(31)), lambda x: length(x) >= 25)) AS s FROM pas WHERE text IS NOT NULL),
     m AS (SELECT document_id, {_MODAL} AS modal, regexp_matches(lower(s), '(^|{_EDGE})({T.MODALS})\s+not($|{_EDGE})') AS neg FROM st),
     w AS (SELECT document_id, CASE modal WHEN 'must' THEN 1.0 WHEN 'shall' THEN 1.0 WHEN 'will' THEN 0.9 WHEN 'should' THEN 0.7 WHEN 'ought' THEN 0.7 WHEN 'need' THEN 0.7 WHEN 'may' THEN 0.3 WHEN 'can' THEN 0.3 WHEN 'could' THEN 0.2 ELSE 0.1 END::DOUBLE AS w,
       CASE WHEN neg THEN 'prohibition' WHEN modal IN ('may', 'can', 'could', 'might') THEN 'permission' ELSE 'obligation' END AS type FROM m WHERE modal <> '')
@@ -243,11 +234,16 @@ def keyword_windows(read) -> DataFrame:
 
 @query()
 def quote_repair(read) -> DataFrame:
-    """Quotations that their document doesn't hold as they are, with the stretch of it that they come from."""
-    q = read("attempts").where(F.length("evidence") >= X.ANCHOR).select("attempt_id", "document_id", F.col("evidence").alias("quote")).dropDuplicates(["attempt_id"])
-    docs = P.latest(read("documents").select("document_id", "doc_id", "text"), ["document_id"], ["doc_id"]).where("text is not null").select("document_id", F.col("text").alias("page"))
-    rows = q.join(docs, "document_id").where(~F.contains("page", "quote"))
-    return X.repair(rows, "attempt_id").where("repaired <> ''")
+    """Quotations that no passage of their document holds as they are, with the stretch of a passage that they come from: of
+    the passage that shares the longest piece with them, of several the first."""
+    once = read("attempts").where(F.length("evidence") >= X.ANCHOR).select("attempt_id", "document_id", F.col("evidence").alias("quote")).dropDuplicates(["attempt_id"])
+    pas = read("passages").where("text is not null").select("passage_id", "document_id", F.col("text").alias("page")).dropDuplicates(["passage_id"])
+    rows = X.candidates(once, pas, "attempt_id", "passage_id", "document_id")
+    best = X.repair(rows.withColumn("pair", F.struct("attempt_id", "passage_id")).select(F.to_json("pair").alias("pair"), "quote", "page"), "pair")
+    ids = F.from_json("pair", "attempt_id long, passage_id long")
+    return best.select(ids["attempt_id"].alias("attempt_id"), ids["passage_id"].alias("passage_id"), "size", "repaired").groupBy("attempt_id").agg(
+        F.max_by(F.struct("passage_id", "repaired"), F.struct("size", -F.col("passage_id"))).alias("r")
+    ).select("attempt_id", "r.passage_id", "r.repaired").where("repaired <> ''")
 
 
 # --- star schema ----------------------------------------------------------------------------------------------------------

@@ -10,14 +10,17 @@ from clauseloom.plans import SQL_ATTEMPTS, query
 from clauseloom.plans.answers import _BEST, _attempts
 
 _WORDS = "|".join(T.NUMBER_WORDS)
+_SPAN = r"\b((?:20|19)\d{2})\s*[-–]\s*((?:20|19)\d{2}|\d{2})\b"
+_QTY = "|".join(N.QUANTITY_WORDS)
+_QMAP = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in N.QUANTITY_WORDS.items()) + "}"
 _MAP = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in T.NUMBER_WORDS.items()) + "}"
 
 
 @query(rf"""
-    WITH {SQL_ATTEMPTS}, e AS (SELECT attempt_id, evidence, nullif(regexp_extract(evidence, '(?i)\b([0-9]+(?:\.\d+)?)\s*({N.UNITS})\b', 1), '') AS f, nullif(regexp_extract(evidence, '(?i)\b({_WORDS})\s*({N.UNITS})\b', 1), '') AS w FROM att WHERE evidence IS NOT NULL)
+    WITH {SQL_ATTEMPTS}, e AS (SELECT attempt_id, evidence, nullif(regexp_extract(evidence, '(?i)\b([0-9]+(?:\.\d+)?)\s*({N.UNITS})\b', 1), '') AS f, nullif(regexp_extract(evidence, '(?i)\b({_QTY})\s*({N.UNITS})\b', 1), '') AS w, nullif(regexp_extract(evidence, '{_SPAN}', 1), '') AS y1, regexp_extract(evidence, '{_SPAN}', 2) AS y2 FROM att WHERE evidence IS NOT NULL)
     SELECT attempt_id, replace(nullif(regexp_extract(evidence, '\$\s*([0-9][0-9,]*(?:\.\d+)?)', 1), ''), ',', '') AS dollars, nullif(regexp_extract(evidence, '(?i)([0-9]+(?:\.\d+)?)\s*(?:%|percent)', 1), '') AS percentage,
-      CASE WHEN f IS NOT NULL THEN f || ' ' || regexp_extract(evidence, '(?i)\b([0-9]+(?:\.\d+)?)\s*({N.UNITS})\b', 2) WHEN w IS NOT NULL THEN {_MAP}[lower(w)] || ' ' || regexp_extract(evidence, '(?i)\b({_WORDS})\s*({N.UNITS})\b', 2) END AS quantity,
-      coalesce(nullif(regexp_extract(evidence, '\b((?:20|19)\d{{2}}\s*[-–]\s*(?:(?:20|19)\d{{2}}|\d{{2}}))\b', 1), ''), nullif(regexp_extract(evidence, '(?i)\b((?:{N.MONTHS})\s+\d{{1,2}},?\s+(?:20|19)\d{{2}})\b', 1), '')) AS date_value FROM e
+      CASE WHEN f IS NOT NULL THEN f || ' ' || regexp_extract(evidence, '(?i)\b([0-9]+(?:\.\d+)?)\s*({N.UNITS})\b', 2) WHEN w IS NOT NULL THEN {_QMAP}[lower(w)] || ' ' || regexp_extract(evidence, '(?i)\b({_QTY})\s*({N.UNITS})\b', 2) END AS quantity,
+      coalesce(y1 || '-' || CASE WHEN length(y2) = 4 THEN y2 WHEN y2 < '50' THEN '20' || y2 ELSE '19' || y2 END, nullif(regexp_extract(evidence, '(?i)\b((?:{N.MONTHS})\s+\d{{1,2}},?\s+(?:20|19)\d{{2}})\b', 1), '')) AS date_value FROM e
 """)
 def value_extraction(read) -> DataFrame:
     """The first amount, share, quantity and date of each quotation."""
@@ -26,14 +29,17 @@ def value_extraction(read) -> DataFrame:
     return rows.select("attempt_id", N.dollars(e).alias("dollars"), N.percentage(e).alias("percentage"), N.quantity(e).alias("quantity"), N.date_value(e).alias("date_value"))
 
 
+_part = lambda g: f"replace(regexp_extract_all(text, '{N.SUMS}', {g})[i], ',', '')::BIGINT"
+
+
 @query(rf"""
     SELECT doc_id, len(list_filter(list_zip(regexp_extract_all(text, '(?i)\b({_WORDS})\s*\(\s*(\d{{1,9}})\s*\)', 1), regexp_extract_all(text, '(?i)\b({_WORDS})\s*\(\s*(\d{{1,9}})\s*\)', 2)), lambda p: {_MAP}[lower(p[1])] <> p[2]::INTEGER)) AS n_word_digit,
-      len(regexp_extract_all(text, '(?i)(\d[\d,]{{0,8}})\s*days?\s*\(\s*(\d[\d,]{{0,8}})\s*days?\s*([+-])\s*(\d[\d,]{{0,8}})')) AS n_sums FROM documents WHERE text IS NOT NULL
+      len(list_filter(range(1, len(regexp_extract_all(text, '{N.SUMS}')) + 1), lambda i: {_part(1)} <> {_part(2)} + CASE WHEN regexp_extract_all(text, '{N.SUMS}', 3)[i] = '+' THEN {_part(4)} ELSE -{_part(4)} END)) AS n_sums FROM documents WHERE text IS NOT NULL
 """)
 def number_conflicts(read) -> DataFrame:
-    """Written-out numbers that contradict their figures, and sums given in parentheses."""
+    """How many written-out numbers contradict their figures, and how many sums given in parentheses are wrong."""
     t = F.col("text")
-    sums = F.size(F.regexp_extract_all(t, F.lit(N.SUMS), F.lit(0))).cast("long")
+    sums = N.sum_conflicts(t)
     return read("documents").where("text is not null").select("doc_id", N.word_digit_conflicts(t).alias("n_word_digit"), sums.alias("n_sums"))
 
 

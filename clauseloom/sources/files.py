@@ -23,7 +23,8 @@ def union_by_position(first: DataFrame, *others: DataFrame) -> DataFrame:
 
 def read_text_pages(spark: SparkSession, path: str) -> DataFrame:
     """path, page_no, page of whole text files: pages by form feed, or by marks '<!-- page N -->' if a file has them. A
-    number that the marks leave out is an empty page; what stands before the first mark is dropped."""
+    number that the marks leave out is an empty page, of a number that comes twice the last page counts; what stands before
+    the first mark is dropped. A file with nothing but marks without a number is one page."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return split_pages(files)
 
@@ -31,13 +32,17 @@ def read_text_pages(spark: SparkSession, path: str) -> DataFrame:
 def split_pages(files: DataFrame) -> DataFrame:
     """path, page_no, page for (path, text); see read_text_pages."""
     mark = r"<!--\s*page\s+(\d+)\s*-->"
-    marked = files.where(F.contains("text", F.lit("<!-- page")))
+    files = files.withColumn("_kind", F.when(F.col("text").rlike(mark), "marked").when(F.contains("text", F.lit("<!-- page")), "whole").otherwise("plain"))
+    marked = files.where("_kind = 'marked'")
     numbers = F.transform(F.regexp_extract_all("text", F.lit(mark), F.lit(1)), lambda x: x.cast("int"))
-    bodies = F.expr("slice(split(text, '<!--\\\\s*page\\\\s+\\\\d+\\\\s*-->'), 2, 1000000)")
-    by_number = F.map_from_entries(F.array_distinct(F.arrays_zip(numbers.alias("n"), F.transform(bodies, lambda x: F.trim(x)).alias("b"))))
+    bodies = F.expr("slice(split(text, '<!--\\\\s*page\\\\s+\\\\d+\\\\s*-->'), 2, greatest(1, size(split(text, '<!--\\\\s*page\\\\s+\\\\d+\\\\s*-->'))))")
+    zipped = F.arrays_zip(numbers.alias("n"), F.transform(bodies, lambda x: F.trim(x)).alias("b"))
+    last = F.filter(zipped, lambda x, i: ~F.exists(F.slice(numbers, i + 2, F.greatest(F.lit(1), F.size(numbers))), lambda n: n == x["n"]))
+    by_number = F.map_from_entries(last)
     a = marked.select("path", by_number.alias("m"), numbers.alias("n"))
     a = a.select("path", "m", F.explode(F.sequence(F.lit(1), F.array_max("n"))).alias("page_no")).select("path", F.col("page_no").cast("long").alias("page_no"), F.coalesce(F.col("m")[F.col("page_no")], F.lit("")).alias("page"))
-    plain = files.where(~F.contains("text", F.lit("<!-- page"))).select("path", F.posexplode(F.split("text", "\f", -1)).alias("p", "page"))
+    pages = F.when(F.col("_kind") == "whole", F.array(F.btrim("text", F.lit(" \t\r\n")))).otherwise(F.split("text", "\f", -1))
+    plain = files.where("_kind <> 'marked'").select("path", F.posexplode(pages).alias("p", "page"))
     return a.unionByName(plain.select("path", (F.col("p") + 1).cast("long").alias("page_no"), "page"))
 
 

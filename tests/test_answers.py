@@ -76,4 +76,22 @@ def test_repair():
     page = "First sentence here. The Board’s designee shall approve the travel request of each teacher within ten days. Last one."
     quote = "the board's designee shall  approve the travel request of each teacher in ten days"
     assert X.realigned(quote, page, anchor=40).startswith("The Board’s designee shall approve")
+    assert X.realigned(quote, page, anchor=40, most=50) == ""  # too long a clause is no quotation
     assert X.realigned("short", page) == "" and X.realigned(quote, "") == ""
+
+
+def test_repair_candidates_lose_no_shared_piece(spark):
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    pages = [(i, "d", " ".join(rng.choices(words, k=80))) for i in range(20)]
+    quotes = []
+    for i, (_, _, t) in enumerate(pages):
+        at = rng.randrange(0, 150)
+        quotes.append((i, "d", "other beginning here " + t[at : at + 70] + " and another end of it"))
+    q = spark.createDataFrame(quotes, "q long, d string, quote string")
+    p = spark.createDataFrame([*pages, (50, "d", None)], "p long, d string, page string")
+    got = {(r.q, r.p) for r in X.candidates(q, p, "q", "p", "d").collect()}
+    want = {(i, j) for i, _, a in quotes for j, _, b in pages if X.shared_stretch(a, b)[0] >= X.ANCHOR}
+    assert want and want <= got

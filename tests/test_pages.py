@@ -24,6 +24,55 @@ def test_packing_and_long_paragraphs():
     assert P.passages_of("x" * 5000)[0][3] == "x" * 5000
 
 
+def test_an_empty_first_heading_stays_on_its_page():
+    assert P.passages_of("MASTER AGREEMENT\n\nARTICLE ONE\n\nbody\fMASTER AGREEMENT\n\nmore") == [(1, 1, "MASTER AGREEMENT", "MASTER AGREEMENT"), (1, 1, "ARTICLE ONE", "body"), (2, 2, "MASTER AGREEMENT", "more")]
+
+
+def model_passages(text, target=1800):
+    """The rule once more, by paragraphs: sections, then units, then packing."""
+    import re
+
+    units, heading, order = [], "DOCUMENT PREAMBLE", 0
+    seen = []
+    for number, page in enumerate(text.split("\f"), 1):
+        for raw in re.split(r"\n\s*\n", page.strip()):
+            p = re.sub(r"[ \t]+", " ", raw).strip()
+            if not p:
+                continue
+            letters = [c for c in p if c.isalpha()]
+            if len(p) <= 160 and (re.match(r"(article|appendix|section)\b", p, re.I) or len(letters) >= 5 and sum(map(str.isupper, letters)) / len(letters) >= 0.8):
+                order, heading = order + 1, p
+                seen.append((order, number, p))
+                continue
+            if len(p) <= target:
+                units.append((order, heading, number, p))
+            else:
+                part = ""
+                for s in re.split(r"(?<=[.!?;:])\s+", p):
+                    if part and len(part) + 1 + len(s) > target:
+                        units.append((order, heading, number, part))
+                        part = s
+                    else:
+                        part = f"{part} {s}" if part else s
+                units.append((order, heading, number, part))
+    if seen and not any(u[0] in (0, seen[0][0]) for u in units):
+        units.insert(0, (seen[0][0], seen[0][2], seen[0][1], seen[0][2]))
+    out = []
+    for o, h, n, p in units:
+        if out and out[-1][0] == o and len(out[-1][4]) + 2 + len(p) <= target:
+            out[-1] = (o, h, out[-1][2], n, out[-1][4] + "\n\n" + p)
+        else:
+            out.append((o, h, n, n, p))
+    return [(a, b, h, p) for _, h, a, b, p in out]
+
+
+def test_passages_equal_a_plain_model(data):
+    import pandas as pd
+
+    for text in pd.read_parquet(f"{data}/documents.parquet", columns=["text"]).text.dropna():
+        assert P.passages_of(text) == model_passages(text)
+
+
 def test_frames_with_nulls_empty_and_extra_columns(spark):
     df = spark.createDataFrame([(1, TWO, 5), (2, None, 6), (3, "", 7), (3, "", 7)], "doc_id long, text string, page long")
     assert P.build_passages(df, "doc_id").count() == 2
@@ -36,8 +85,11 @@ def test_frames_with_nulls_empty_and_extra_columns(spark):
 def test_windows_overlap_and_advance(spark):
     text = "\f".join("x" * 400 for _ in range(10))
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    got = [(r.first_page, r.last_page) for r in P.page_windows(df, "doc_id", 1200, 2).orderBy("window").collect()]
-    assert got[0] == (1, 3) and got[-1][1] == 10
+    got = [(r.first_page, r.last_page) for r in P.page_windows(df, "doc_id", 1204, 2).orderBy("window").collect()]
+    assert got[0] == (1, 3) and got[-1][1] == 10  # two characters between pages: 1,204 for three
+    assert P.page_windows(df, "doc_id", 1203, 2).first().last_page == 2
+    padded = spark.createDataFrame([(1, "\f".join("x" * 100 + " " * 300 + "\n\n\n\n" for _ in range(4)))], "doc_id long, text string")
+    assert P.page_windows(padded, "doc_id", 406, 2).count() == 1  # without their padding
     assert all(b[0] > a[0] for a, b in zip(got, got[1:]))
 
 

@@ -9,7 +9,7 @@ from clauseloom.operators.containment import stretch_pairs
 def test_bm25_prefers_rare_and_heading_terms(spark):
     items = spark.createDataFrame([(1, "Leave", "teachers receive sick leave days"), (2, "Pay", "teachers receive pay"), (3, None, None), (4, "x", "unrelated words only")], "id long, heading string, text string")
     q = spark.createDataFrame([("a", ["sick", "leave"]), ("b", ["nothing"])], "q string, terms array<string>")
-    got = R.bm25(R.postings(items, "id", "heading", "text"), "id", q, "q").collect()
+    got = R.bm25(items.union(items.limit(1)), "id", "heading", "text", q, "q").collect()
     assert [(r.q, r.id) for r in got] == [("a", 1)] and got[0]["rank"] < 0
 
 
@@ -29,6 +29,16 @@ def test_cosine_ties_nulls_and_lengths(spark):
     assert R.cosine_top_k(df.where("false"), df, "id", "v", 2).count() == 0
 
 
+def test_cosine_within_a_scope_and_missing_vectors(spark):
+    df = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.1]), (3, "b", [1.0, 0.0]), (4, "a", [0.0, 1.0])], "id long, d string, v array<float>")
+    got = R.cosine_top_k(df.where("id = 1"), df, "id", "v", 5, scope="d").orderBy("position").collect()
+    assert [r.id for r in got] == [2, 4]
+    assert [r.id for r in R.cosine_top_k(df.where("id = 1"), df, "id", "v", 2, itself=True).orderBy("position").collect()] == [1, 3]
+    assert R.with_vectors(df.select("d"), df, "d").count() == 4
+    with pytest.raises(Exception, match="no vectors for d x"):
+        R.with_vectors(spark.createDataFrame([("x",)], "d string"), df, "d").collect()
+
+
 def test_densest_falls_back_to_all(spark):
     df = spark.createDataFrame([("a", 1, 0), ("a", 2, 0), ("a", 3, 0), ("b", 1, 5), ("b", 2, 7), ("b", 3, 7)], "g string, o int, s int")
     got = {(r.g, r.o) for r in R.densest(df, ["g"], "s", "o", 2).collect()}

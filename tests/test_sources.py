@@ -20,6 +20,12 @@ def test_page_marks_and_form_feeds(spark, tmp_path):
     assert got == {("a.txt", 1): "one", ("a.txt", 2): "", ("a.txt", 3): "three", ("b.txt", 1): "one", ("b.txt", 2): "", ("b.txt", 3): "three"}
 
 
+def test_page_marks_that_repeat_or_have_no_number(spark):
+    files = spark.createDataFrame([("a", "<!-- page 1 -->one<!-- page 2 -->two<!-- page 1 -->again"), ("b", " <!-- page break --> text "), ("c", ""), ("d", None)], "path string, text string")
+    got = {(r.path, r.page_no): r.page for r in S.split_pages(files).collect()}
+    assert got == {("a", 1): "again", ("a", 2): "two", ("b", 1): "<!-- page break --> text", ("c", 1): ""}
+
+
 def test_markdown_table(spark, tmp_path):
     p = write(tmp_path / "t.md", "# x\n| qid | topic |\n| --- | :-- |\n| a_1 | pay  |\n")
     assert [tuple(r) for r in S.read_markdown_table(spark, p, ["qid", "topic"]).collect()] == [("a_1", "pay")]
