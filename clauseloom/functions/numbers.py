@@ -59,9 +59,16 @@ def sum_conflicts(c: Column) -> Column:
     return F.size(F.filter(parts, lambda p: n(p["g1"]) != n(p["g2"]) + F.when(p["g3"] == "+", n(p["g4"])).otherwise(-n(p["g4"])))).cast("long")
 
 
+# The numbers that count as there if they are written out.
+SPELLED = dict(zip(
+    "1 2 3 4 5 6 7 8 9 10 12 15 20 30 45 50 85 90 95 120".split(),
+    [*"one two three four five six seven eight nine ten twelve fifteen twenty thirty forty-five fifty eighty-five ninety ninety-five".split(), "one hundred and twenty"],
+))
+
+
 def token_present(token: Column, text: Column) -> Column:
     """If the text holds the token; a number not inside another number, or written out. Both in lower case."""
-    table = F.create_map(*[F.lit(x) for k, v in NUMBER_WORDS.items() for x in (str(v), k)])
+    table = F.create_map(*[F.lit(x) for kv in SPELLED.items() for x in kv])
     number = token.rlike(r"^\d+(\.\d+)?$")
     alone = F.regexp_like(text, F.concat(F.lit(r"(?<![\d.])"), F.regexp_replace(token, r"\.", r"\\."), F.lit(r"(?!\d)")))
     return F.when(F.length(token) == 0, True).when(number, alone | F.coalesce(F.contains(text, F.element_at(table, token)), F.lit(False))).otherwise(F.contains(text, token))

@@ -80,6 +80,33 @@ def figures(c: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, ",", ""), r"\.$", "")))
 
 
+# Content words that tell no two provisions apart.
+COMMON_WORDS = (
+    "shall will must that this with from have been which teacher teachers board district agreement article section document provision provisions stated states "
+    "under such also than when each any other their they there school schools year years shall_not does discussed"
+).split()
+
+
+def numeric_tokens(c: Column) -> Column:
+    """The distinct figures that an answer turns on, as they are written; a percentage without its sign."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"\d+(?:\.\d+)?%?"), F.lit(0)), lambda x: F.regexp_replace(x, "%", "")))
+
+
+def content_words(c: Column) -> Column:
+    """The distinct words of four letters and more that are not common."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(norm_quotes(c), F.lit("[a-z][a-z'/-]{3,}"), F.lit(0)), lambda w: ~w.isin(COMMON_WORDS)))
+
+
+def support_tokens(c: Column) -> Column:
+    """Figures and content words, by which a quotation is told to support an answer."""
+    return F.array_union(numeric_tokens(c), content_words(c))
+
+
+def page_numbers(c: Column) -> Column:
+    """All integers of a page reference, as they come."""
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)), lambda x: x.try_cast("int")), lambda x: x.isNotNull())
+
+
 def first_page(c: Column) -> Column:
     """The first integer of a page reference, null if it has none."""
     return F.nullif(F.regexp_extract(c, "[0-9]+", 0), F.lit("")).try_cast("int")

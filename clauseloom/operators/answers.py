@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clauseloom.functions import text as T
+from clauseloom.functions import numbers as N, text as T
 
 
 def template(documents: DataFrame, book: list[str], key: str = "document_id", to: str = "question_id") -> DataFrame:
@@ -44,41 +44,74 @@ def best_answers(rows: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 def reconcile(rows: DataFrame, keys: list[str], precedence: list[str], fallback: str = "not_discussed") -> DataFrame:
     """The answers of several sources made one for each key: the first substantive answer with evidence leads, later ones
-    are added if they bring figures that are not there yet and their evidence is grounded. Without one, the first explicit
-    no, else the first answer. rows: keys, source, answer, evidence, grounded, one for each key and source.
+    are added if they bring figures that are not there yet and their evidence is grounded on one page. The evidence is that of
+    the grounded candidate that shares most figures and content words with the answer (one more for the leading one, of equal
+    ones the first); the pages are those of all that is used. Without a substantive answer the first explicit no, else the
+    first answer. rows: keys, source, answer, evidence, page, confidence, grounded, one for each key and source; sources that
+    the precedence doesn't name come after it, by name. Nulls count as empty.
 
     The sources are few and known; they are folded in their order inside the row."""
     place = F.coalesce(*[F.when(F.col("source") == s, F.lit(i)) for i, s in enumerate(precedence)], F.lit(len(precedence)))
-    status = T.status_for_score(F.col("answer"))
+    text = lambda c: F.coalesce(c, F.lit(""))
     item = F.struct(
-        place.alias("place"), "source", F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("evidence", F.lit("")).alias("evidence"), F.coalesce("grounded", F.lit(False)).alias("grounded"),
-        status.alias("status"), T.figures(F.coalesce("answer", F.lit(""))).alias("figures"),
+        place.alias("place"), "source", F.trim(text("answer")).alias("answer"), text("evidence").alias("evidence"), text("page").alias("page"), text("confidence").alias("confidence"),
+        F.coalesce("grounded", F.lit(False)).alias("grounded"), T.status_for_score(F.col("answer")).alias("status"), T.numeric_tokens(text("answer")).alias("figures"),
     )
     grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("all"))
-    solid = F.filter("all", lambda x: (x["status"] == "substantive") & (F.length(F.trim(x["evidence"])) > 0))
-    grouped = grouped.withColumn("solid", solid)
-    first = F.element_at("solid", 1)
-    start = F.struct(first["answer"].alias("answer"), first["figures"].alias("figures"), F.lit(0).alias("added"))
+    grouped = grouped.withColumn("solid", F.filter("all", lambda x: (x["status"] == "substantive") & (F.length(F.trim(x["evidence"])) > 0)))
+    first = F.get("solid", F.lit(0))
+    start = F.struct(first["answer"].alias("answer"), first["figures"].alias("figures"), F.array(first["page"]).alias("pages"), F.lit(0).alias("added"))
 
     def step(acc: Column, x: Column) -> Column:
-        new = F.size(F.array_except(x["figures"], acc["figures"])) > 0
-        takes = new & x["grounded"]
+        takes = (F.size(F.array_except(x["figures"], acc["figures"])) > 0) & x["grounded"]
         return F.struct(
             F.when(takes, F.concat(acc["answer"], F.lit("; also ("), x["source"], F.lit("): "), x["answer"])).otherwise(acc["answer"]).alias("answer"),
             F.when(takes, F.array_union(acc["figures"], x["figures"])).otherwise(acc["figures"]).alias("figures"),
+            F.when(takes, F.concat(acc["pages"], F.array(x["page"]))).otherwise(acc["pages"]).alias("pages"),
             (acc["added"] + takes.cast("int")).alias("added"),
         )
 
-    merged = F.aggregate(F.slice("solid", 2, F.greatest(F.lit(1), F.size("solid"))), start, step)
+    grouped = grouped.withColumn("merged", F.aggregate(F.slice("solid", 2, F.greatest(F.lit(1), F.size("solid"))), start, step))
+    wanted = T.support_tokens(F.col("merged.answer"))
+    shared = lambda x, i: F.struct(
+        (F.size(F.array_intersect(F.col("_wanted"), T.support_tokens(x["evidence"]))) + F.when(i == 0, 1).otherwise(0)).alias("support"), (-i).alias("order"), x.alias("x"), x["grounded"].alias("grounded")
+    )
+    scored = F.filter(F.transform("solid", shared), lambda s: s["grounded"])
+    grouped = grouped.withColumn("_wanted", wanted).withColumn("_best", F.coalesce(F.get(F.reverse(F.array_sort(F.transform(scored, lambda s: F.struct(s["support"], s["order"], s["x"])))), F.lit(0))["x"], first))
+    pages = F.array_sort(F.array_distinct(F.flatten(F.transform(F.concat(F.col("merged.pages"), F.array(F.col("_best.page"))), T.page_numbers))))
     no = F.filter("all", lambda x: x["status"] == "no")
     absent = F.coalesce(F.nullif(F.coalesce(F.get(no, F.lit(0))["answer"], F.get("all", F.lit(0))["answer"]), F.lit("")), F.lit(fallback))
     found = F.size("solid") > 0
     return grouped.select(
-        *keys, F.when(found, merged["answer"]).otherwise(absent).alias("answer"), F.when(found, first["evidence"]).otherwise("").alias("evidence"),
-        F.when(found, first["source"]).otherwise("").alias("base"), F.when(found, merged["added"]).otherwise(0).cast("long").alias("n_added"),
+        *keys, F.when(found, F.col("merged.answer")).otherwise(absent).alias("answer"), F.when(found, F.col("_best.evidence")).otherwise("").alias("evidence"),
+        F.when(found & (F.size(pages) > 0), F.array_join(F.transform(pages, lambda p: p.cast("string")), ";")).otherwise("not_applicable").alias("page"),
+        F.when(found, first["confidence"]).otherwise("low").alias("confidence"), F.when(found, first["source"]).otherwise("").alias("base"),
+        F.when(found, F.col("_best.source")).otherwise("").alias("evidence_from"), F.when(found, F.col("merged.added")).otherwise(0).cast("long").alias("n_added"),
     )
 
 
+def score(answers: DataFrame, key: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of answers that the key has a row for, with status, required, complete, page, evidence and overall: five tests
+    against the key, and whether all of the first, second, fourth and fifth hold.
+
+    answers: keys, answer, evidence, pages (array), located (evidence stands on one page). key: keys, k_status, k_required and
+    k_optional (arrays of tokens), k_pages. An answer without any text counts as not discussed."""
+    rows = answers.join(key, keys)
+    predicted = T.status_for_score(F.col("answer"))
+    hay = F.concat(T.norm_score(F.coalesce("answer", F.lit(""))), F.lit(" "), T.norm_score(F.coalesce("evidence", F.lit(""))))
+    rows = rows.withColumn("_p", predicted).withColumn("_hay", hay).withColumn("status", (F.col("_p") == F.col("k_status")).cast("int"))
+    there = lambda tokens: F.filter(tokens, lambda t: N.token_present(t, F.col("_hay")))
+    binds = (F.col("status") == 1) & (F.col("_p") == "substantive")
+    required = F.when(binds, F.size(there("k_required")) == F.size("k_required")).otherwise((F.size("k_required") == 0) & (F.col("status") == 1))
+    hits = F.when(binds, F.size(there("k_optional"))).otherwise(0)
+    complete = F.when(F.size("k_optional") == 0, 1.0).otherwise(hits / F.size("k_optional"))
+    page = (F.col("k_status") == "not_discussed") | F.arrays_overlap("pages", "k_pages")
+    quoted = (F.col("_p") != "substantive") | ((F.length(T.norm_score(F.coalesce("evidence", F.lit("")))) >= 15) & F.col("located"))
+    flags = {"required": required, "page": page, "evidence": quoted}
+    rows = rows.withColumns({n: F.coalesce(c, F.lit(False)).cast("int") for n, c in flags.items()}).withColumn("complete", F.round(complete, 3))
+    return rows.withColumn("overall", F.col("status") * F.col("required") * F.col("page") * F.col("evidence")).drop("_p", "_hay", *[c for c in key.columns if c not in keys])
+
+
 def same_answer(a: str, b: str, share: float = 0.75) -> bool:
     """If two answers (as norm_words gives them) say the same: one stands in the other, or they share most words of the shorter."""
     left, right = set(a.split()), set(b.split())

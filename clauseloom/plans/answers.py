@@ -121,34 +121,17 @@ def base_rate(read) -> DataFrame:
 
 
 @query(f"""
-    WITH {SQL_ATTEMPTS}, s AS (SELECT document_id, question_id, source, max_by({_SCORE}, attempt_id) AS status FROM att WHERE source IN ('sweep', 'verify') GROUP BY ALL),
-    p AS (SELECT document_id, question_id, max(CASE WHEN source = 'sweep' THEN status END) AS sweep, max(CASE WHEN source = 'verify' THEN status END) AS verify FROM s GROUP BY ALL)
-    SELECT sweep, verify, count(*) AS n FROM p WHERE sweep IS NOT NULL AND verify IS NOT NULL GROUP BY ALL
+    WITH {SQL_ATTEMPTS}, s AS (SELECT document_id, question_id, source, max_by({_SCORE}, attempt_id) AS status FROM att WHERE source IS NOT NULL GROUP BY ALL)
+    SELECT a.source AS baseline, b.source AS candidate, a.status AS baseline_status, b.status AS candidate_status, count(*) AS n FROM s a JOIN s b ON a.document_id = b.document_id AND a.question_id = b.question_id AND a.source < b.source GROUP BY ALL
 """)
 def paired_crosstab(read) -> DataFrame:
-    """How the statuses of two programs go together where both answered."""
-    rows = _attempts(read, "document_id", "question_id", "source", "answer").where(F.col("source").isin("sweep", "verify")).withColumn("status", T.status_for_score(F.col("answer")))
+    """How the statuses of every two programs go together where both answered. The programs are few: their pairs are made
+    inside the row of a document and question."""
+    rows = _attempts(read, "document_id", "question_id", "source", "answer").where("source is not null").withColumn("status", T.status_for_score(F.col("answer")))
     last = rows.groupBy("document_id", "question_id", "source").agg(F.max_by("status", "attempt_id").alias("status"))
-    pair = last.groupBy("document_id", "question_id").agg(*[F.max(F.when(F.col("source") == s, F.col("status"))).alias(s) for s in ("sweep", "verify")])
-    return pair.where("sweep is not null and verify is not null").groupBy("sweep", "verify").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""
-    WITH {SQL_ATTEMPTS}, s AS (SELECT document_id, question_id, coalesce(source, '') AS source, attempt_id, {_SCORE} AS status, list_distinct(regexp_extract_all(coalesce(page, ''), '[0-9]+')) AS pages FROM att),
-    gold AS (SELECT document_id, question_id, max_by(status, attempt_id) AS status, max_by(pages, attempt_id) AS pages FROM s WHERE source = 'reviewer' GROUP BY ALL),
-    j AS (SELECT s.source, (s.status = g.status)::INT AS status_ok, CASE WHEN g.status = 'not_discussed' THEN 1 ELSE list_has_any(s.pages, g.pages)::INT END AS page_ok FROM s JOIN gold g ON s.document_id = g.document_id AND s.question_id = g.question_id WHERE s.source <> 'reviewer')
-    SELECT source, count(*) AS n, round(avg(status_ok), 4) AS status, round(avg(page_ok), 4) AS page, round(avg(status_ok * page_ok), 4) AS overall FROM j GROUP BY source
-""")
-def score_flags(read) -> DataFrame:
-    """The answers of each program scored by the reviewers' as a key: status, page, both."""
-    pages = F.array_distinct(F.regexp_extract_all(F.coalesce("page", F.lit("")), F.lit("[0-9]+"), F.lit(0)))
-    rows = _attempts(read, "document_id", "question_id", "source", "answer", "page").select("attempt_id", "document_id", "question_id", F.coalesce("source", F.lit("")).alias("source"), T.status_for_score(F.col("answer")).alias("status"), pages.alias("pages"))
-    gold = rows.where("source = 'reviewer'").groupBy("document_id", "question_id").agg(F.max_by(F.struct("status", "pages"), "attempt_id").alias("g"))
-    both = rows.where("source <> 'reviewer'").join(gold, ["document_id", "question_id"])
-    status = (F.col("status") == F.col("g.status")).cast("int")
-    page = F.when(F.col("g.status") == "not_discussed", 1).otherwise(F.arrays_overlap("pages", "g.pages").cast("int"))
-    flags = both.select("source", status.alias("s"), page.alias("p"))
-    return flags.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 4).alias("status"), F.round(F.avg("p"), 4).alias("page"), F.round(F.avg(F.col("s") * F.col("p")), 4).alias("overall"))
+    each = last.groupBy("document_id", "question_id").agg(F.array_sort(F.collect_list(F.struct("source", "status"))).alias("s")).where(F.size("s") > 1)
+    pairs = F.expr("flatten(transform(s, (a, i) -> transform(slice(s, i + 2, size(s)), b -> struct(a.source as baseline, b.source as candidate, a.status as baseline_status, b.status as candidate_status))))")
+    return each.select(F.explode(pairs).alias("p")).groupBy("p.baseline", "p.candidate", "p.baseline_status", "p.candidate_status").agg(F.count(F.lit(1)).alias("n"))
 
 
 # The questions of the codebook that the tables come with, for the SQL of the wide form.
@@ -229,22 +212,6 @@ def error_share(read) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(bad).alias("n_error"), F.round(F.avg(bad), 6).alias("share"), (F.avg(bad) > 0.05).alias("damaged"))
 
 
-@query(f"""
-    WITH {SQL_ATTEMPTS}, r AS (SELECT document_id, question_id, source, attempt_id, answer, evidence, grounded FROM att WHERE source IN ('sweep', 'verify') QUALIFY row_number() OVER (PARTITION BY document_id, question_id, source ORDER BY attempt_id DESC) = 1),
-    c AS (SELECT *, {_SCORE} AS status, {_SCORE} = 'substantive' AND length(trim(coalesce(evidence, ''))) > 0 AS solid, list_distinct(list_transform(regexp_extract_all(coalesce(answer, ''), '\\d[\\d,]*\\.?\\d*'), lambda x: regexp_replace(replace(x, ',', ''), '\\.$', ''))) AS fig FROM r),
-    p AS (SELECT document_id, question_id, max(CASE WHEN source = 'sweep' THEN {{'a': coalesce(answer, ''), 'e': coalesce(evidence, ''), 's': status, 'ok': solid, 'f': fig, 'g': coalesce(grounded, false)}} END) AS x, max(CASE WHEN source = 'verify' THEN {{'a': coalesce(answer, ''), 'e': coalesce(evidence, ''), 's': status, 'ok': solid, 'f': fig, 'g': coalesce(grounded, false)}} END) AS y FROM c GROUP BY ALL),
-    z AS (SELECT *, coalesce(x.ok, false) AS xo, coalesce(y.ok, false) AS yo, coalesce(x.ok, false) AND coalesce(y.ok, false) AND y.g AND len(list_filter(y.f, lambda v: NOT list_contains(x.f, v))) > 0 AS adds FROM p)
-    SELECT document_id, question_id, CASE WHEN adds THEN x.a || '; also (verify): ' || y.a WHEN xo THEN x.a WHEN yo THEN y.a
-      ELSE coalesce(nullif(CASE WHEN x.s = 'no' THEN x.a WHEN y.s = 'no' THEN y.a WHEN x IS NOT NULL THEN x.a ELSE y.a END, ''), 'not_discussed') END AS answer,
-      CASE WHEN xo THEN x.e WHEN yo THEN y.e ELSE '' END AS evidence, CASE WHEN xo THEN 'sweep' WHEN yo THEN 'verify' ELSE '' END AS base, CASE WHEN adds THEN 1 ELSE 0 END AS n_added FROM z
-""")
-def reconcile_sources(read) -> DataFrame:
-    """The latest answers of two programs made one, the first leading."""
-    rows = _attempts(read, "document_id", "question_id", "source", "answer", "evidence", "grounded").where(F.col("source").isin("sweep", "verify"))
-    last = P.latest(rows, ["document_id", "question_id", "source"], ["attempt_id"])
-    return A.reconcile(last, ["document_id", "question_id"], ["sweep", "verify"])
-
-
 @query()
 def variant_fold(read) -> DataFrame:
     """For each document and question the different substantive answers joined."""

@@ -13,14 +13,25 @@ def test_best_answer_order(spark):
 
 def test_reconcile_rules(spark):
     def run(*sources):
-        df = spark.createDataFrame([("d", s, a, e, g) for s, a, e, g in sources], "k string, source string, answer string, evidence string, grounded boolean")
+        df = spark.createDataFrame([("d", s, a, e, f"p. {i + 4}", "high", g) for i, (s, a, e, g) in enumerate(sources)], "k string, source string, answer string, evidence string, page string, confidence string, grounded boolean")
         return A.reconcile(df, ["k"], ["a", "b", "c"]).first()
 
     assert run(("a", "not_discussed", "", False), ("b", "no", "", False)).answer == "no"
     assert run(("b", "12 days", "quote", True), ("a", "not_discussed", "", True)).base == "b"
     r = run(("a", "10 days", "quote", True), ("b", "10 or 12 days", "other", True), ("c", "99 days", "x", False))
     assert r.answer == "10 days; also (b): 10 or 12 days" and r.n_added == 1
-    assert run(("a", "", "", None)).answer == "not_discussed"
+    assert run(("a", "", "", None)).answer == "not_discussed" and run(("a", "", "", None)).page == "not_applicable"
+    r = run(("a", "10 days of jury leave", "unrelated wording", True), ("b", "10 days", "jury leave of 10 days", True), ("c", "10 days", "jury leave of 10 days", False))
+    assert (r.evidence_from, r.page, r.base) == ("b", "4;5", "a")
+    assert run(("a", "10 days", "one", False), ("z", "12 days", "other 12", True)).answer == "10 days; also (z): 12 days"
+
+
+def test_score_has_five_tests(spark):
+    key = spark.createDataFrame([("q", "substantive", ["12"], ["jury", "leave"], [4]), ("n", "not_discussed", [], [], [])], "k string, k_status string, k_required array<string>, k_optional array<string>, k_pages array<int>")
+    rows = [("q", 1, "twelve days", "jury duty of teachers", [4], True), ("q", 2, "112 days", "jury duty of teachers", [9], True), ("q", 3, "not discussed", "", [], False), ("q", 4, "12", "too short", [4], True), ("n", 5, "not_discussed", "", [], False), ("n", 6, "yes", "some words of evidence", [4], False), ("x", 7, "", "", [], False)]
+    a = spark.createDataFrame(rows, "k string, n int, answer string, evidence string, pages array<int>, located boolean")
+    got = {r.n: (r.status, r.required, r.complete, r.page, r.evidence, r.overall) for r in A.score(a, key, ["k"]).collect()}
+    assert got == {1: (1, 1, 0.5, 1, 1, 1), 2: (1, 0, 0.5, 0, 1, 0), 3: (0, 0, 0.0, 0, 1, 0), 4: (1, 1, 0.0, 1, 0, 0), 5: (1, 1, 1.0, 1, 1, 1), 6: (0, 0, 1.0, 1, 0, 0)}
 
 
 def test_variants(spark):

@@ -1,7 +1,7 @@
 import pytest
 from compare import connection, same
 
-from clauseloom.plans import ORACLE, QUERIES, answers, documents, retrieval, tables, values  # noqa: F401
+from clauseloom.plans import ORACLE, QUERIES, answers, clauses, coding, documents, keywords, readings, retrieval, tables, values  # noqa: F401
 
 
 @pytest.fixture(scope="module")
