@@ -174,34 +174,6 @@ def word_error_rate(read) -> DataFrame:
 
 # --- clauses --------------------------------------------------------------------------------------------------------------
 
-# How strongly each modal verb binds.
-WEIGHTS = {"must": 1.0, "shall": 1.0, "will": 0.9, "should": 0.7, "ought": 0.7, "need": 0.7, "may": 0.3, "can": 0.3, "could": 0.2, "might": 0.1}
-_EDGE = r"[^\p{L}\p{M}\p{N}_]"
-_MODAL = rf"regexp_extract(regexp_replace(lower(s), '\([^)]*\)', ' ', 'g'), '(^|{_EDGE})({T.MODALS})($|{_EDGE})', 2)"
-
-
-@query(rf"""
-    WITH {SQL_PASSAGES}, st AS (SELECT document_id, unnest(list_filter(string_split(regexp_replace(text, '([.;:!?]){T.WS}+', '\1' || chr(31), 'g'), chr(31)), lambda x: length(x) >= 25)) AS s FROM pas WHERE text IS NOT NULL),
-    m AS (SELECT document_id, {_MODAL} AS modal, regexp_matches(lower(s), '(^|{_EDGE})({T.MODALS})\s+not($|{_EDGE})') AS neg FROM st),
-    w AS (SELECT document_id, CASE modal WHEN 'must' THEN 1.0 WHEN 'shall' THEN 1.0 WHEN 'will' THEN 0.9 WHEN 'should' THEN 0.7 WHEN 'ought' THEN 0.7 WHEN 'need' THEN 0.7 WHEN 'may' THEN 0.3 WHEN 'can' THEN 0.3 WHEN 'could' THEN 0.2 ELSE 0.1 END::DOUBLE AS w,
-      CASE WHEN neg THEN 'prohibition' WHEN modal IN ('may', 'can', 'could', 'might') THEN 'permission' ELSE 'obligation' END AS type FROM m WHERE modal <> '')
-    SELECT document_id, round(sum(CASE WHEN type = 'obligation' THEN w ELSE 0 END), 4) AS obligation, round(sum(CASE WHEN type = 'permission' THEN w ELSE 0 END), 4) AS permission, round(sum(CASE WHEN type = 'prohibition' THEN w ELSE 0 END), 4) AS prohibition,
-      count(*) AS n_clauses, round(sum(CASE WHEN type = 'obligation' THEN w ELSE 0 END) / CASE WHEN sum(w) = 0 THEN 1 ELSE sum(w) END, 6) AS share_obligation FROM w GROUP BY document_id
-""")
-def weighted_buckets(read) -> DataFrame:
-    """Sentences with a modal verb, weighted by its strength and summed by what they state."""
-    rows = read("passages").where("text is not null").select("passage_id", "document_id", "text").dropDuplicates(["passage_id"])
-    s = P.sentences(rows, "text").select("document_id", T.modal(F.col("sentence")).alias("modal"), T.negated_modal(F.col("sentence")).alias("neg")).where("modal <> ''")
-    weight = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("modal"))
-    kind = F.when(F.col("neg"), "prohibition").when(F.col("modal").isin("may", "can", "could", "might"), "permission").otherwise("obligation")
-    w = s.select("document_id", weight.alias("w"), kind.alias("type"))
-    part = lambda t: F.sum(F.when(F.col("type") == t, F.col("w")).otherwise(0.0))
-    total = F.sum("w")
-    return w.groupBy("document_id").agg(
-        *[F.round(part(t), 4).alias(t) for t in ("obligation", "permission", "prohibition")], F.count(F.lit(1)).alias("n_clauses"), F.round(part("obligation") / F.when(total == 0, 1.0).otherwise(total), 6).alias("share_obligation")
-    )
-
-
 _CITE = r"(?:Article [IVXLC]+|Section \d+[–-]\d+|§ \d+\.\d+|Sec\. \d+)"
 
 
