@@ -33,6 +33,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"{WS}+", " "))
 
 
+def outer_trim(c: Column) -> Column:
+    """Without blanks, tabs and line breaks at the ends."""
+    return F.btrim(c, F.lit(" \t\r\n"))
+
+
 def norm_words(c: Column) -> Column:
     """Lower-case letters a-z and digits, everything else one blank."""
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))

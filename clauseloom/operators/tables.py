@@ -56,10 +56,35 @@ def multiset_classes(rows: DataFrame, key: str, value: str, least: int = 4) -> D
 
 
 def multiset_overlap(counts: DataFrame, keys: list[str], left: Column, right: Column, value: str) -> DataFrame:
-    """keys, overlap: shared values (each as often as in both) over those of the larger side; nothing on a side: 0.
+    """keys, overlap, least (values of the smaller side): shared values (each as often as in both) over those of the larger side; nothing on a side: 0.
     counts: keys, value and the two counts. Both sides are columns of one row, so nothing is paired."""
     g = counts.groupBy(*keys).agg(F.sum(F.least(left, right)).alias("_b"), F.greatest(F.sum(left), F.sum(right)).alias("_n"), F.least(F.sum(left), F.sum(right)).alias("_m"))
-    return g.where("_m > 0").select(*keys, (F.col("_b") / F.col("_n")).alias("overlap"))
+    return g.where("_m > 0").select(*keys, (F.col("_b") / F.col("_n")).alias("overlap"), F.col("_m").alias("least"))
+
+
+IMPLAUSIBLE = 500_000  # no pay scale has such a value
+
+
+def warnings(c: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_steps, n_lanes, n_cells, warnings (sorted), escalates for tables of cells (see cells): what says that a table was not read
+    as it stands. A table read otherwise is to be read again if lanes hold the same varying values or cells are missing."""
+    facts = c.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_cells"), F.countDistinct("step").alias("n_steps"), F.countDistinct("lane").alias("n_lanes"), F.array_sort(F.collect_set("step")).alias("_s"), F.max("value").alias("_top"),
+    )
+    labels = c.groupBy(*keys, "step").agg(F.countDistinct("at").alias("n")).groupBy(*keys).agg(F.max("n").alias("_twice"))
+    last = c.groupBy(*keys, "step", "lane").agg(F.max_by("value", "at").alias("value"))
+    row = last.groupBy(*keys, "step").agg(F.array_sort(F.collect_list(F.struct("lane", "value"))).alias("v"))
+    rows = row.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.sum("n").alias("_rows"), F.max("n").alias("_same"))
+    column = last.groupBy(*keys, "lane").agg(F.array_sort(F.collect_list(F.struct("step", "value"))).alias("v"), F.countDistinct("value").alias("d"))
+    columns = column.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).where("n > 1").groupBy(*keys).agg(F.max((F.col("d") > 1).cast("int")).alias("_copied"), F.min((F.col("d") > 1).cast("int")).alias("_flat"))
+    t = facts.join(labels, keys).join(rows, keys).join(columns, keys, "left")
+    expected = F.col("n_steps") * F.col("n_lanes")
+    told = F.array_sort(F.array_compact(F.array(
+        F.when(F.col("_twice") > 1, "duplicate_labels"), F.when(F.size(missing_steps(F.col("_s"))) > 0, "dropped_rows"), F.when((F.col("_rows") > 2) & (F.col("_same") > 0.7 * F.col("_rows")), "rows_collapsed"),
+        F.when(F.col("_copied") == 1, "lanes_copied"), F.when(F.col("_flat") == 0, "lanes_constant"), F.when(F.col("n_cells") < 0.5 * expected, "cells_missing"),
+        F.when((F.col("n_lanes") == 1) & (F.col("n_steps") >= 3), "single_lane"), F.when(F.col("_top") > IMPLAUSIBLE, "implausible"),
+    )))
+    return t.select(*keys, "n_steps", "n_lanes", "n_cells", told.alias("warnings")).withColumn("escalates", F.arrays_overlap("warnings", F.array(F.lit("lanes_copied"), F.lit("cells_missing"))))
 
 
 def numeric_density(c: Column) -> Column:

@@ -67,15 +67,33 @@ def row_collapse(read) -> DataFrame:
     return same.groupBy("doc_id", "kind").agg(F.sum("n").alias("n_rows"), F.max("n").alias("most"), ((F.sum("n") > 2) & (F.max("n") > 0.7 * F.sum("n"))).alias("collapsed"))
 
 
+@query(f"""
+    WITH {_CELLS}, fa AS (SELECT doc_id, kind, count(*) AS n_cells, count(DISTINCT step) AS n_steps, count(DISTINCT lane) AS n_lanes, list_sort(list(DISTINCT step)) AS s, max(value) AS top FROM cells GROUP BY ALL),
+    la AS (SELECT doc_id, kind, max(n) AS twice FROM (SELECT doc_id, kind, step, count(DISTINCT pos) AS n FROM cells GROUP BY ALL) GROUP BY ALL),
+    l AS (SELECT doc_id, kind, step, lane, max_by(value, pos) AS value FROM cells GROUP BY ALL),
+    ro AS (SELECT doc_id, kind, sum(n) AS n_rows, max(n) AS same FROM (SELECT doc_id, kind, v, count(*) AS n FROM (SELECT doc_id, kind, step, list({{'l': lane, 'v': value}} ORDER BY lane) AS v FROM l GROUP BY ALL) GROUP BY ALL) GROUP BY ALL),
+    co AS (SELECT doc_id, kind, max(d > 1) AS copied, min(d > 1) AS varying FROM (SELECT doc_id, kind, v, count(*) AS n, max(d) AS d FROM (SELECT doc_id, kind, lane, list({{'s': step, 'v': value}} ORDER BY step) AS v, count(DISTINCT value) AS d FROM l GROUP BY ALL) GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL),
+    g AS (SELECT *, list_filter(range(s[1], s[-1] + 1), lambda x: NOT list_contains(s, x)) AS gone FROM fa),
+    w AS (SELECT doc_id, kind, n_steps, n_lanes, n_cells, list_sort(list_filter([CASE WHEN twice > 1 THEN 'duplicate_labels' END, CASE WHEN len(s) >= 4 AND len(gone) > 0 AND len(gone) <= greatest(2.0, (s[-1] - s[1]) / 4) THEN 'dropped_rows' END, CASE WHEN n_rows > 2 AND same > 0.7 * n_rows THEN 'rows_collapsed' END,
+      CASE WHEN copied THEN 'lanes_copied' END, CASE WHEN NOT varying THEN 'lanes_constant' END, CASE WHEN n_cells < 0.5 * n_steps * n_lanes THEN 'cells_missing' END, CASE WHEN n_lanes = 1 AND n_steps >= 3 THEN 'single_lane' END, CASE WHEN top > {G.IMPLAUSIBLE} THEN 'implausible' END], lambda x: x IS NOT NULL)) AS warnings
+      FROM g JOIN la USING (doc_id, kind) JOIN ro USING (doc_id, kind) LEFT JOIN co USING (doc_id, kind))
+    SELECT doc_id, kind, n_steps, n_lanes, n_cells, array_to_string(warnings, ';') AS warnings, list_has_any(warnings, ['lanes_copied', 'cells_missing']) AS escalates FROM w
+""")
+def table_warnings(read) -> DataFrame:
+    """All that says of a step table that it was not read as it stands."""
+    return G.warnings(_cells(read), ["doc_id", "kind"]).withColumn("warnings", F.array_join("warnings", ";"))
+
+
 @query(f"""
     WITH {_CELLS}, c AS (SELECT doc_id, value, count(*) FILTER (WHERE kind = 'Step') AS a, count(*) FILTER (WHERE kind = 'Year') AS b FROM cells GROUP BY ALL)
-    SELECT doc_id, round(sum(least(a, b)) / greatest(sum(a), sum(b)), 6) AS overlap FROM c GROUP BY doc_id HAVING sum(a) > 0 AND sum(b) > 0
+    SELECT doc_id, round(sum(least(a, b)) / greatest(sum(a), sum(b)), 6) AS overlap, sum(least(a, b)) >= 0.95 * greatest(sum(a), sum(b)) AND sum(a) >= 6 AND sum(b) >= 6 AS duplicate FROM c GROUP BY doc_id HAVING sum(a) > 0 AND sum(b) > 0
 """)
 def grid_overlap(read) -> DataFrame:
-    """How far the step table and the year table of a document hold the same values."""
+    """How far the step table and the year table of a document hold the same values, and whether one is the other once more:
+    95 % of six values and more."""
     n = lambda k: F.sum((F.col("kind") == k).cast("long"))
     counts = _cells(read).groupBy("doc_id", "value").agg(n("Step").alias("a"), n("Year").alias("b"))
-    return G.multiset_overlap(counts, ["doc_id"], F.col("a"), F.col("b"), "value").select("doc_id", F.round("overlap", 6).alias("overlap"))
+    return G.multiset_overlap(counts, ["doc_id"], F.col("a"), F.col("b"), "value").select("doc_id", F.round("overlap", 6).alias("overlap"), ((F.col("overlap") >= 0.95) & (F.col("least") >= 6)).alias("duplicate"))
 
 
 @query("""
