@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clauseloom.operators.containment import stretch_pairs
-from clauseloom.llm.textform import consistent_form, squeeze
+from clauseloom.llm.textform import consistent_form, script_findings, squeeze
 from clauseloom.session import spread, table
 
 LEAST = 20  # characters of the evidence in consistent form
@@ -74,6 +74,21 @@ def found_by_looks(attempts: DataFrame, passages: DataFrame) -> DataFrame:
     )
 
 
+def script_report(df: DataFrame, ident: str, text: str) -> DataFrame:
+    """ident, n_mixed, n_whole, changed: tokens of mixed scripts and of look-alike letters only, and whether the consistent form
+    differs from the text as stored (blanks aside). Nulls have none and don't change; equal rows give equal rows."""
+    kind = dict(df.dtypes)[ident]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            found = [script_findings(t) for t in texts]
+            changed = [t is not None and consistent_form(t) != squeeze(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m for m, _ in found], pa.int32()), pa.array([w for _, w in found], pa.int32()), pa.array(changed, pa.bool_())], [ident, "n_mixed", "n_whole", "changed"])
+
+    return spread(df.select(ident, text)).mapInArrow(run, f"{ident} {kind}, n_mixed int, n_whole int, changed boolean")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found_by_looks(table(spark, sf_dir, "attempts"), table(spark, sf_dir, "passages"))
 
@@ -84,6 +99,11 @@ def p1_consistent_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_consistent_form(rows, "text").select("passage_id", "consistent")
 
 
+def p1_script_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage with its tokens of mixed scripts and of look-alike letters only, a passage once."""
+    return script_report(table(spark, sf_dir, "passages"), "passage_id", "text").groupBy("passage_id").agg(*[F.max(c).alias(c) for c in ("n_mixed", "n_whole", "changed")])
+
+
 def p1_consistent_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every attempt's evidence in consistent form, an attempt once."""
     rows = table(spark, sf_dir, "attempts").select("attempt_id", "evidence").dropDuplicates(["attempt_id"])

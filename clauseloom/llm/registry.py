@@ -8,6 +8,7 @@ QUERIES = {
     "p1_found": p1.p1_found,
     "p1_consistent_passages": p1.p1_consistent_passages,
     "p1_consistent_evidence": p1.p1_consistent_evidence,
+    "p1_script_report": p1.p1_script_report,
     "p2_found": p2.p2_found,
     "p3_found": p3.p3_found,
     "p3_restored": p3.p3_restored,
@@ -41,8 +42,14 @@ ir AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS run FROM (S
 SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run)
 """
 
+_CLEANED = f"""
+SELECT passage_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(list_filter(list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1)), lambda z: NOT list_contains(coalesce(gone, []), z[2])).list_transform(lambda z: z[1]), chr(10)), '') END AS text
+FROM (SELECT DISTINCT passage_id, text FROM passages) LEFT JOIN (SELECT passage_id, list(line_no) AS gone FROM ({_REPEATED}) GROUP BY passage_id) USING (passage_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "p4_found": _REPEATED,
+    "p4_cleaned": _CLEANED,
     "p7_found": _LEAKS,
     "p7_items_leaked": f"SELECT item_id, count(*) AS n_documents FROM ({_LEAKS}) GROUP BY item_id",
 }

@@ -23,21 +23,23 @@ SPECIAL_BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u
 LIKE_HYPHEN = "\u2010\u2011\ufe63\uff0d"
 # Ranges whose compatibility forms read like their plain letters: full-width forms and signs, Latin ligatures,
 # Roman numerals, mathematical alphabets.
-COMPATIBILITY_RANGES = [(0xFF01, 0xFF5E), (0xFFE0, 0xFFE6), (0xFB00, 0xFB06), (0x2160, 0x217F), (0x1D400, 0x1D7FF)]
+# Half-width kana and the presentation forms of Arabic letters (but for whole phrases) are such forms, too.
+COMPATIBILITY_RANGES = [(0xFF01, 0xFF5E), (0xFFE0, 0xFFE6), (0xFB00, 0xFB06), (0x2160, 0x217F), (0x1D400, 0x1D7FF), (0xFF61, 0xFF9F), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC)]
+LONGEST_FORM = 3  # characters
 
 # --- fixed values: letters of other scripts that are drawn like a Latin letter ----------------------------------
-CYRILLIC_LIKE = dict(zip("АВЕЅІЈКМНОРСТУХԌԚԜҮһԁаеѕіјорсухԛԝҺ", "ABESIJKMHOPCTYXGQWYhdaesijopcyxqwH"))
-GREEK_LIKE = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϳϲ", "ABEZHIKMNOPTYXovjc"))
+CYRILLIC_LIKE = dict(zip("АВЕЅІЈКМНОРСТУХԌԚԜҮһԁаеѕіјорсухԛԝҺүӏӀ", "ABESIJKMHOPCTYXGQWYhdaesijopcyxqwHylI"))
+GREEK_LIKE = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϳϲαρικτυ", "ABEZHIKMNOPTYXovjcapiktu"))
 ARMENIAN_LIKE = dict(zip("ՕՍԼօսոհցզ", "OULounhgq"))
+CHEROKEE_LIKE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZVSLCPKB"))
+COPTIC_LIKE = dict(zip("ⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬⲭ", "HIKMNOoPpCcTYXx"))
+LISU_LIKE = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
 LATIN_LIKE = dict(zip("ɡɑɩʏ", "gaiy"))
 
-_LIKE = {**CYRILLIC_LIKE, **GREEK_LIKE, **ARMENIAN_LIKE, **LATIN_LIKE}
+_OTHERS = {"C": CYRILLIC_LIKE, "G": GREEK_LIKE, "A": ARMENIAN_LIKE, "K": CHEROKEE_LIKE, "P": COPTIC_LIKE, "U": LISU_LIKE}
+_LIKE = {k: v for table in (*_OTHERS.values(), LATIN_LIKE) for k, v in table.items()}
 LOOK_ALIKE = frozenset(_LIKE)
-_BACK = {
-    "C": {v: k for k, v in reversed(list(CYRILLIC_LIKE.items()))},
-    "G": {v: k for k, v in reversed(list(GREEK_LIKE.items()))},
-    "A": {v: k for k, v in reversed(list(ARMENIAN_LIKE.items()))},
-}
+_BACK = {s: {v: k for k, v in reversed(list(table.items()))} for s, table in _OTHERS.items()}
 
 _TABLE: dict[int, str | None] = {ord(c): None for c in INVISIBLE}
 _TABLE |= {ord(c): None for c in VARIATION_SELECTORS}
@@ -45,7 +47,7 @@ _TABLE |= {ord(c): " " for c in SPECIAL_BLANKS}
 _TABLE |= {ord(c): "-" for c in LIKE_HYPHEN}
 for _a, _b in COMPATIBILITY_RANGES:
     for _c in range(_a, _b + 1):
-        if _c not in _TABLE and (_n := unicodedata.normalize("NFKC", chr(_c))) != chr(_c):
+        if _c not in _TABLE and (_n := unicodedata.normalize("NFKC", chr(_c))) != chr(_c) and len(_n) <= LONGEST_FORM:
             _TABLE[_c] = _n
 _TABLE[0xB5] = "μ"
 
@@ -62,7 +64,7 @@ def _as_class(codes: list[int]) -> str:
     return "".join(out)
 
 
-_LETTERS_FROM_ELSEWHERE = "\u0370-\u052f\u0531-\u058f\u1f00-\u1fff" + "".join(LATIN_LIKE)
+_LETTERS_FROM_ELSEWHERE = "\u0370-\u052f\u0531-\u058f\u13a0-\u13ff\u1f00-\u1fff\u2c80-\u2cff\ua4d0-\ua4ff" + "".join(LATIN_LIKE)
 _SINGLETONS = "\u2126\u212a\u212b"
 SUSPECT = re.compile(f"[{_as_class(sorted(_TABLE))}\u0300-\u036f{_SINGLETONS}{_LETTERS_FROM_ELSEWHERE}]")
 _ELSEWHERE = re.compile(f"[{_LETTERS_FROM_ELSEWHERE}]")
@@ -77,6 +79,9 @@ def _script(ch: str) -> str:
         return "G"
     if 0x531 <= o <= 0x58F:
         return "A"
+    for name, low, high in (("K", 0x13A0, 0x13FF), ("P", 0x2C80, 0x2CFF), ("U", 0xA4D0, 0xA4FF)):
+        if low <= o <= high:
+            return name
     return "L" if o < 0x250 or ch in LATIN_LIKE or 0x1E00 <= o <= 0x1EFF else "other"
 
 
@@ -107,6 +112,25 @@ def consistent_token(token: str) -> str:
     return unicodedata.normalize("NFC", spelled)
 
 
+@lru_cache(maxsize=200_000)
+def token_kind(token: str) -> str:
+    """mixed: the token's letters are of several scripts; whole: they are all of one script other than Latin, and all drawn like Latin
+    letters; plain: neither."""
+    letters = [ch for ch in unicodedata.normalize("NFD", token) if not unicodedata.combining(ch)]
+    scripts = {_script(ch) for ch in letters}
+    if len(scripts) > 1:
+        return "mixed"
+    return "whole" if scripts and scripts.isdisjoint({"L", "other"}) and all(ch in _LIKE for ch in letters) else "plain"
+
+
+def script_findings(text: str | None) -> tuple[int, int]:
+    """How many tokens of the text are of mixed scripts, and how many wholly of look-alike letters. None and empty: none."""
+    if not text or text.isascii() or not _ELSEWHERE.search(text):
+        return 0, 0
+    kinds = [token_kind(t) for t in _TOKEN.findall(text.translate(_TABLE)) if _ELSEWHERE.search(t)]
+    return kinds.count("mixed"), kinds.count("whole")
+
+
 def _suspicious(text: str) -> bool:
     """If text may hold anything to normalise; texts of Western European letters and signs are told by their bytes."""
     try:

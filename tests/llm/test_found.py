@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauseloom.llm import p1_lookalikes as p1, p2_neighbours as p2, p3_encoding as p3, p4_boilerplate as p4, p5_truncation as p5, p6_packing as p6, p7_leaks as p7, p8_spam as p8
-from clauseloom.llm.textform import consistent_form, squeeze
+from clauseloom.llm.textform import consistent_form, script_findings, squeeze
 
 ATT = "attempt_id long, document_id string, source string, evidence string, needle string, hay string"
 PAS = "passage_id long, document_id string, text string, needle string, hay string, stored string"
@@ -43,6 +43,18 @@ def test_consistent_form_is_one_for_looks_and_keeps_real_differences():
     assert consistent_form("a \n b", keep_lines=True) == "a\nb"
 
 
+def test_scripts_of_tokens_are_told():
+    assert consistent_form("ꓓꓰꓗ") == "DEK" and consistent_form("ᎳᎪᏟ") == "WAC" and consistent_form("pαy") == "pay" and consistent_form("ｶﾞ") == "ガ" and consistent_form("ﺏ") == "ب"
+    assert consistent_form("Ελλάδα και") == "Ελλάδα και".replace("και", "kai")  # wholly of look-alikes
+    assert script_findings("рay рау Отдел pay ꓓꓰꓗ") == (1, 2) and script_findings(None) == (0, 0) == script_findings("")
+
+
+def test_p1_script_report(spark):
+    rows = passages(spark, [(1, "d", "plain text"), (2, "d", "рay the рау"), (3, "d", None), (4, "d", ""), (2, "d", "рay the рау"), (5, "d", "non\u2011stop")])
+    got = {r.passage_id: (r.n_mixed, r.n_whole, r.changed) for r in p1.script_report(rows, "passage_id", "text").collect()}
+    assert got == {1: (0, 0, False), 2: (1, 1, True), 3: (0, 0, False), 4: (0, 0, False), 5: (0, 0, True)}
+
+
 def test_consistent_form_is_stable():
     rng = random.Random(5)
     pool = "abcdeхаԁорТНé́​ＡＢ　- ‐ﬁⅢэжΩ’“"
