@@ -35,7 +35,7 @@ def collected(packet: DataFrame, responses: DataFrame, fields: list[str]) -> Dat
 def accuracy(packet: DataFrame, key: DataFrame, fields: list[str]) -> DataFrame:
     """field, system, correct, incorrect, accuracy: verdicts yes and no count, na and blank don't; without any the accuracy is 0. A packet
     row without its key, or a verdict of another kind, is an error when the result is read."""
-    rows = packet.join(key.withColumn("_there", F.lit(True)), "review_id", "left")
+    rows = packet.drop("a_system").join(key.select("review_id", "a_system").withColumn("_there", F.lit(True)), "review_id", "left")
     known = F.coalesce("_there", F.raise_error(F.concat(F.lit("no key for "), F.col("review_id"))).cast("boolean"))
     sides = F.array(*[
         F.struct(F.lit(f).alias("field"), F.when((F.col("a_system") == "baseline") == F.lit(n == "a"), "baseline").otherwise("candidate").alias("system"), F.coalesce(f"{n}_{f}_correct", F.lit("")).alias("verdict"))

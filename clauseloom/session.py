@@ -38,12 +38,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder (spark.checkpoint.dir) is used as it is set; only where nothing is set, as in
-    tests on one machine, a temporary folder stands in."""
+    """The cluster's shared folder (spark.checkpoint.dir) is used as it is set; only on one machine, as in tests, a temporary
+    folder stands in where nothing is set. On a cluster that is an error: executors don't share local folders."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "clauseloom-checkpoints"))
 
 

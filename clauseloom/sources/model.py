@@ -5,8 +5,10 @@ kept. Without a client only the kept responses answer."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Protocol
+import json
+import time
+from collections.abc import Callable, Iterator
+from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -16,6 +18,59 @@ class Client(Protocol):
     def answer(self, payloads: list[str]) -> list[str | None]: ...
 
 
+# How often each kind of failure is borne in one request; each kind has a budget of its own.
+BUDGETS = {"bad response": 4, "connection": 12, "timeout": 3}
+LONGEST_WAIT = 60.0  # seconds
+
+
+class BadResponse(Exception):
+    """A reply that can't be used."""
+
+
+def parsed(reply: str) -> Any:
+    """The JSON of a reply, without a code fence around it; BadResponse if it holds none."""
+    body = reply.strip()
+    if body.startswith("```"):
+        body = body.split("\n", 1)[-1].rsplit("```", 1)[0]
+    try:
+        return json.loads(body)
+    except ValueError as e:
+        raise BadResponse(str(e)) from e
+
+
+def ask(call: Callable[[str], str], payload: str, budgets: dict[str, int] | None = None, sleep: Callable[[float], None] = time.sleep) -> Any:
+    """The parsed reply to one request. A failure is tried again after 1, 2, 4 ... seconds while the budget of its kind
+    lasts; then it is raised. Other errors are raised at once."""
+    left = dict(BUDGETS if budgets is None else budgets)
+    tries = 0
+    while True:
+        try:
+            return parsed(call(payload))
+        except (BadResponse, ConnectionError, TimeoutError) as e:
+            kind = "bad response" if isinstance(e, BadResponse) else "timeout" if isinstance(e, TimeoutError) else "connection"
+            left[kind] -= 1
+            if left[kind] <= 0:
+                raise
+            sleep(min(LONGEST_WAIT, 2.0**tries))
+            tries += 1
+
+
+class RetryingClient:
+    """A client around one call for one payload; replies are JSON texts, requests whose budget is used up have none."""
+
+    def __init__(self, call: Callable[[str], str], budgets: dict[str, int] | None = None, sleep: Callable[[float], None] = time.sleep):
+        self.call, self.budgets, self.sleep = call, budgets, sleep
+
+    def answer(self, payloads: list[str]) -> list[str | None]:
+        out: list[str | None] = []
+        for p in payloads:
+            try:
+                out.append(json.dumps(ask(self.call, p, self.budgets, self.sleep), ensure_ascii=False))
+            except (BadResponse, ConnectionError, TimeoutError):
+                out.append(None)
+        return out
+
+
 def with_keys(requests: DataFrame, payload: str = "payload") -> DataFrame:
     return requests.withColumn("request_id", F.sha2(F.col(payload), 256))
 
