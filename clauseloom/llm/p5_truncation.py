@@ -30,6 +30,7 @@ TIMES = 3.0  # by which its hazard exceeds the neighbours'
 GOES_ON = 0.5  # share of the texts reaching a limit that at most are longer
 WORD = 24  # characters or bytes before a limit at which a text cut between words may end
 LEAST_WORDS = 2  # shorter evidence is a code word, not a quotation; of scripts without blanks each character is one
+NO_EVIDENCE = ["none found"]  # said beside the code words where there is nothing to quote
 LONG_TAIL, SHORT_TAIL = 60, 24  # characters of an ending that are looked up
 
 _CLOSERS = "\"'”’»)\\]"
@@ -56,7 +57,7 @@ def evidence_rows(attempts: DataFrame) -> DataFrame:
         F.length("evidence").cast("long").alias("chars"), F.octet_length("evidence").cast("long").alias("bytes"),
     )
     rows = rows.where((F.size(F.split(F.trim("e"), r"(?U)\s+")) >= LEAST_WORDS) | F.col("e").rlike(f"(?s)(?:{_UNSPACED}.*){{{LEAST_WORDS}}}"))
-    return rows.where(~F.lower(F.trim("e")).isin(*MISSING))
+    return rows.where(~F.lower(F.trim("e")).isin(*MISSING, *NO_EVIDENCE))
 
 
 def length_hazards(rows: DataFrame) -> DataFrame:
