@@ -212,3 +212,18 @@ def upper_median_pages(read) -> DataFrame:
     sized = rows.select("document_id", n.alias("s")).where(F.size("s") > 0)
     middle = F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1)
     return sized.select("document_id", F.size("s").cast("long").alias("n_pages"), middle.cast("long").alias("upper_median"), (F.array_max("s") > 2.5 * middle).alias("suspect"))
+
+
+@query("""
+    SELECT doc_id, concat_ws('; ', 'text_status=' || coalesce(text_status, ''), CASE WHEN page_count > 0 THEN 'pages=' || page_count END, CASE WHEN coalesce(text_status, '') <> 'usable' THEN 'full coding requires OCR or visual PDF review' END,
+      CASE WHEN contains(lower(file_name), 'tentative') OR contains(lower(file_name), '_ta') THEN 'appears to be a tentative agreement or summary rather than a complete contract' END,
+      CASE WHEN regexp_matches(lower(file_name), 'flyer|summary|highlights') THEN 'appears to be a short settlement summary' END) AS notes FROM documents
+""")
+def document_notes(read) -> DataFrame:
+    """What is to be known of a document before it is coded, from its status, pages and file name; conditions that don't hold leave nothing."""
+    status, low = F.coalesce("text_status", F.lit("")), F.lower("file_name")
+    parts = [
+        F.concat(F.lit("text_status="), status), F.when(F.col("page_count") > 0, F.concat(F.lit("pages="), F.col("page_count").cast("string"))), F.when(status != "usable", "full coding requires OCR or visual PDF review"),
+        F.when(low.contains("tentative") | low.contains("_ta"), "appears to be a tentative agreement or summary rather than a complete contract"), F.when(low.rlike("flyer|summary|highlights"), "appears to be a short settlement summary"),
+    ]
+    return read("documents").select("doc_id", F.concat_ws("; ", *parts).alias("notes"))
