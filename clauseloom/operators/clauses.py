@@ -75,9 +75,9 @@ def statements(df: DataFrame, quote: str) -> DataFrame:
 def buckets(clauses: DataFrame, key: str) -> DataFrame:
     """key, rights and responsibilities of both sides, total, n_clauses and shares: duties count for the side that acts, rights and
     permissions for the side they protect; other sides count in the total only. Keys without weight have no row."""
-    rows = clauses.where("weight > 0")
+    rows = clauses.where("weight > 0").withColumn("weight", F.col("weight").cast("decimal(12,6)"))  # exact sums, whatever the order of the rows
     duty = F.col("statement").isin("obligation", "prohibition")
-    part = lambda side, c, own: F.sum(F.when(c & (F.col(own) == side), F.col("weight")).otherwise(0.0))
+    part = lambda side, c, own: F.sum(F.when(c & (F.col(own) == side), F.col("weight")).otherwise(F.lit(0).cast("decimal(12,6)"))).cast("double")
     sums = {f"{s}_responsibilities": part(s, duty, "acting") for s in ("worker", "management")} | {f"{s}_rights": part(s, ~duty, "protected") for s in ("worker", "management")}
-    g = rows.groupBy(key).agg(*[c.alias(n) for n, c in sums.items()], F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n_clauses"))
+    g = rows.groupBy(key).agg(*[c.alias(n) for n, c in sums.items()], F.sum("weight").cast("double").alias("total"), F.count(F.lit(1)).alias("n_clauses"))
     return g.select(key, *[F.round(n, 4).alias(n) for n in sums], F.round("total", 4).alias("total"), "n_clauses", *[F.round(F.col(n) / F.col("total"), 6).alias(f"{n}_share") for n in sums])

@@ -24,6 +24,18 @@ def test_statements(spark):
     assert (b.management_responsibilities, b.worker_responsibilities, b.management_rights, b.worker_rights, b.n_clauses) == (2.9, 0.3, 2.0, 0.0, 8)
 
 
+def test_buckets_do_not_depend_on_the_order_of_rows(spark):
+    weights = [0.3, 0.7, 0.7, 0.7, 0.7, 0.7, 0.7, 0.85, 0.85, 0.9, 0.9, 0.9, 0.9, 1.0, 1.0, 1.0]  # 0.3 of 12.8 lies between two sixth decimals
+    shares = set()
+    for ws in (weights, weights[::-1]):
+        rows = [("k", w, "right" if w == 0.3 else "obligation", "management", "worker") for w in ws]
+        df = spark.createDataFrame(rows, "k string, weight double, statement string, acting string, protected string").coalesce(1)
+        b = C.buckets(df, "k").first()
+        assert (b["worker_rights"], b["management_responsibilities"], b["total"], b["n_clauses"]) == (0.3, 12.5, 12.8, 16)
+        shares.add((b["worker_rights_share"], b["management_responsibilities_share"]))
+    assert len(shares) == 1
+
+
 def test_appendices_and_their_guard(spark):
     pages = [["ARTICLE I\nfirst text", "Appendix A\nx", "more", "ARTICLE Two\nlast text of it"], ["ARTICLE I", "EXHIBIT 1 " + "y" * 500], [], ["plain"]]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, p array<string>")
