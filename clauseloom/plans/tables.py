@@ -226,9 +226,9 @@ def keyword_windows(read) -> DataFrame:
 def quote_repair(read) -> DataFrame:
     """Quotations that no passage of their document holds as they are, with the stretch of a passage that they come from: of
     the passage that shares the longest piece with them, of several the first."""
-    once = read("attempts").where(F.length("evidence") >= X.ANCHOR).select("attempt_id", "document_id", F.col("evidence").alias("quote")).dropDuplicates(["attempt_id"])
-    pas = read("passages").where("text is not null").select("passage_id", "document_id", F.col("text").alias("page")).dropDuplicates(["passage_id"])
-    rows = X.candidates(once, pas, "attempt_id", "passage_id", "document_id")
+    quotes = read("attempts").where(F.length("evidence") >= X.ANCHOR).select("attempt_id", "document_id", F.col("evidence").alias("quote"))
+    pas = read("passages").where("text is not null").select("passage_id", "document_id", F.col("text").alias("page"))
+    rows = X.candidates(quotes, pas, "attempt_id", "passage_id", "document_id")
     best = X.repair(rows.withColumn("pair", F.struct("attempt_id", "passage_id")).select(F.to_json("pair").alias("pair"), "quote", "page"), "pair")
     ids = F.from_json("pair", "attempt_id long, passage_id long")
     return best.select(ids["attempt_id"].alias("attempt_id"), ids["passage_id"].alias("passage_id"), "size", "repaired").groupBy("attempt_id").agg(

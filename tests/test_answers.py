@@ -106,3 +106,32 @@ def test_repair_candidates_lose_no_shared_piece(spark):
     got = {(r.q, r.p) for r in X.candidates(q, p, "q", "p", "d").collect()}
     want = {(i, j) for i, _, a in quotes for j, _, b in pages if X.shared_stretch(a, b)[0] >= X.ANCHOR}
     assert want and want <= got
+
+
+def test_repair_finds_the_piece_that_a_full_comparison_finds():
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(7)
+    for _ in range(300):
+        base = "".join(rng.choices("ab ", k=150))
+        p, q = ("".join(c if rng.random() > 0.02 else "x" for c in rng.choice([base, base[40:] + base[20:90]])) for _ in range(2))
+        m = SequenceMatcher(None, p, q, autojunk=False).find_longest_match()
+        assert X.longest_shared(p, q, 30) == ((m.a, m.size) if m.size >= 30 else (0, 0))
+    for text in ("  The “Board’s” Plan – x\n\ny ", "İstanbul ΣΣ Straße", "", "a" * 50):
+        assert X.normal(text) == X.normal_with_places(text)[0]
+
+
+def test_repair_marks_are_few_and_shared():
+    import random
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefgh ", k=rng.randrange(0, 400))) for _ in range(50)]
+    texts += [rng.choice("xyz") * 7 + t[30:90] + "--" for t in texts if len(t) > 100]
+    owner, h = X.marks(texts)
+    held = {i: set(h[owner == i].tolist()) for i in range(len(texts))}
+    for i, a in enumerate(texts):
+        assert len(held[i]) <= max(0, len(a) / 8) and bool(held[i]) == (len(a) >= X.ANCHOR)
+        for j, b in enumerate(texts[50:], 50):
+            assert held[i] & held[j] or not any(a[k : k + X.ANCHOR] in b for k in range(len(a) - X.ANCHOR + 1))
+    assert len(X.marks([])[0]) == 0 and len(X.marks(["", "short"])[0]) == 0
