@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from clauseloom.functions import numbers as N, text as T
-from clauseloom.operators import answers as A, keywords as K, pages as P
+from clauseloom.operators import keywords as K, pages as P
 from clauseloom.plans import SQL_LATEST, SQL_WS, query, sql_squeeze
 from clauseloom.plans.answers import _book
 from clauseloom.plans.values import _QMAP, _QTY
@@ -44,8 +44,8 @@ def _best(read) -> DataFrame:
     book = questions.select("qid", "kind", F.posexplode("terms").alias("place", "term"))
     terms = sorted({t for r in questions.select("terms").collect() for t in r["terms"]})  # the codebook has a fixed size
     docs = P.latest(read("documents").select("document_id", "doc_id", "text"), ["document_id"], ["doc_id"]).drop("doc_id")
-    found = K.places(P.explode_pages(docs), ["document_id"], terms).join(F.broadcast(book), "term")
-    scored = found.withColumn("score", K.place_score(F.col("term"), F.col("snippet"), F.col("kind"))).where("score > 0")
+    found = K.place_marks(K.places(P.explode_pages(docs), ["document_id"], terms)).join(F.broadcast(book), "term")
+    scored = found.withColumn("score", K.marked_score(F.col("term"), F.col("marks"), F.col("kind"))).where("score > 0")
     first = F.struct(-F.col("score"), "place", "page_no", "nth")
     return scored.groupBy("document_id", "qid").agg(F.min_by(F.struct("kind", "page_no", "score", "snippet"), first).alias("b")).select("document_id", "qid", "b.*")
 
@@ -75,12 +75,14 @@ def keyword_answers(read) -> DataFrame:
     docs = P.latest(read("documents").select("document_id", "doc_id", "text"), ["document_id"], ["doc_id"])
     n = F.when(F.col("text").isNull(), None).otherwise(F.size(T.pages(F.col("text"))))
     state = docs.select("document_id", F.coalesce((n > 0) & (T.dense_length(F.col("text")) < F.greatest(F.lit(1000), n * 20)), F.lit(False)).alias("_thin"))
-    grid = A.template(state.select("document_id"), _book(read)).join(state, "document_id")
-    best = _best(read).withColumn("_a", K.answer_of(F.col("snippet"), F.col("kind"))).withColumnRenamed("qid", "question_id")
-    full = grid.join(best, ["document_id", "question_id"], "left")
     sure = F.when(F.col("_a") != "discussed_unclear", "high").when(F.col("snippet").contains("$") | F.col("snippet").rlike(r"\d"), "medium").otherwise("low")
+    best = _best(read).where("qid is not null").withColumn("_a", K.answer_of(F.col("snippet"), F.col("kind")))
+    # one row for each document holds what it answers, at most an entry for each question: nothing is shuffled by question
+    held = best.select("document_id", F.struct("qid", F.struct("_a", "page_no", sure.alias("sure"))).alias("e")).groupBy("document_id").agg(F.map_from_entries(F.collect_list("e")).alias("_held"))
+    full = state.join(held, "document_id", "left").select("document_id", "_thin", "_held", F.explode(F.array(*[F.lit(q) for q in _book(read)])).alias("question_id"))
+    full = full.select("document_id", "_thin", "question_id", F.element_at("_held", F.col("question_id")).alias("_b")).select("document_id", "_thin", "question_id", "_b.*")
     return full.select(
         "document_id", "question_id", F.when(F.col("_thin"), "discussed_unclear").otherwise(F.coalesce("_a", F.lit("not_discussed"))).alias("answer"),
         F.when(F.col("_thin"), "not_available").otherwise(F.coalesce(F.col("page_no").cast("string"), F.lit("not_applicable"))).alias("page"),
-        F.when(F.col("_thin"), "low").when(F.col("_a").isNull(), "medium").otherwise(sure).alias("confidence"),
+        F.when(F.col("_thin"), "low").when(F.col("_a").isNull(), "medium").otherwise(F.col("sure")).alias("confidence"),
     )

@@ -100,3 +100,19 @@ def test_blinded_review(spark):
         V.collected(packet, bad, ["ok"]).collect()
     with pytest.raises(Exception, match="no key for"):
         V.accuracy(full, key.where("false"), ["ok"]).collect()
+
+
+def test_keyword_answers_shuffle_texts_only_by_document(spark, data):
+    from clauseloom.plans import QUERIES, keywords  # noqa: F401
+
+    plan = QUERIES["keyword_answers"](spark, data)._jdf.queryExecution().sparkPlan().toString() + QUERIES["keyword_answers"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(document_id" in plan
+    assert not [x for x in plan.splitlines() if "hashpartitioning" in x and ("qid" in x.split("hashpartitioning")[1] or "question_id" in x.split("hashpartitioning")[1])]
+
+
+def test_place_patterns_that_look_around_match_the_same(spark):
+    words = ["ten days", "days", "holidays", "_days", "Xdays.", "day's", "teachers shall", "marshall", "shall", "does  not provide", "is not available_", "no health, no", "no healthy", "", "é days é", "will1"]
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    for p in (K.UNITS, K.BINDING, K.DENIALS):
+        rows = df.select(F.col("t").rlike(p).alias("a"), F.col("t").rlike(K._whole(p)).alias("b")).collect()
+        assert K._whole(p) != p and any(r.a for r in rows) and all(r.a == r.b for r in rows)
