@@ -1,19 +1,19 @@
 """Problem 2: the most similar vectors for every vector.
 
 An inverted multi-index: both halves of the unit vectors are quantised by codebooks of their own, a pair of centroids is
-a cell. For each cell that holds vectors, the cells are traversed by the sum of the two centroid distances, with a heap,
-until they hold CANDIDATES vectors and are CELLS; every vector of the cell is compared exactly with all of these.
-
-Cells that list one another are gathered into regions of bounded size; a vector is sent to its own region and to the
-regions that list its cell, and each region is one group of a shuffle. Codebooks are fitted on a bounded sample, every
-vector is indexed. What the driver holds, counts and lists of cells, is bounded by the square of the codebook's size.
-
-A cell of more than HOT vectors is indexed once more with codebooks of its own, fitted in the tasks on bounded samples: all such
-cells of a level in two passes over the vectors, one that samples and one that counts, down to LEVELS levels. Its vectors are
-compared with the subcells that the inner traversal lists and with those that traversals of the indexes around it list, from
-the subcell's own centroids; cells beside it are compared with the whole of it. Vectors of a leaf that is still larger than
-HOT after all levels are dealt to several tasks, each of which compares its share with all that the leaf lists. Of a vector with very many exact copies
-only the smallest ids are indexed, for they are the neighbours of all the others.
+a cell. A cell of more than HOT vectors is indexed once more with codebooks of its own, fitted in the tasks on bounded samples: all such
+cells of a level in two passes over the vectors, one that samples and one that counts, down to LEVELS levels.
+
+Cells beside one another are gathered into regions of bounded size. Each vector traverses the cells by the sum of its own two
+centroid distances: the first is its home, and it is also sent to the regions of those that follow, up to CELLS of an index and
+no further than MARGIN beyond the first; a cell with an index of its own is traversed in the same way. Each region is one group of a shuffle, in
+which the vectors at home are compared exactly with all that were sent there. Lists are made for each vector and not for a cell's
+centre, for where cells are crowded a vector's neighbours lie across the border next to it, which the centre does not tell.
+
+Codebooks are fitted on a bounded sample, every vector is indexed. What the driver holds, codebooks and counts of cells, grows with
+the number of crowded cells. Vectors of a region larger than HOT, as one is whose leaf is still larger than that after all levels, are dealt to
+several tasks, each of which compares its share with all that the region is sent. Of a vector with very many exact copies only the smallest ids are indexed, for
+they are the neighbours of all the others.
 """
 
 from __future__ import annotations
@@ -33,9 +33,11 @@ SAMPLE = 20_000  # vectors, about, that the codebooks are fitted on
 CENTROIDS = 256  # at most, in each codebook
 INNER_SAMPLE, INNER_CENTROIDS = 4_000, 32  # the same for cells that get an index of their own
 CANDIDATES = 400  # vectors, at least, that each vector is compared with
-CELLS = 4  # cells, at least, that each vector is compared with, its own included: neighbours lie across a cell's border, too
-REGION = 16_000  # own vectors of a region, at most, unless one cell has more; a twelfth of all in small collections
-HOT = 20_000  # vectors of a cell from which it gets an index of its own
+CELLS = 8  # cells of an index, at most, that a vector is sent to, its own included: neighbours lie across a cell's border, too
+BESIDE = 2  # the same in the index of a crowded cell that is not the vector's own
+MARGIN = 0.02  # share by which the distance of such a cell may be beyond the nearest one's
+REGION = 8_000  # own vectors of a region, at most, unless one cell has more; a twelfth of all in small collections
+HOT = 8_000  # vectors of a cell from which it gets an index of its own
 LEVELS = 5
 BITS = (17, 11, 11, 11, 11)  # of a level's part of a leaf's number: the cell's number and 1, 0 below a leaf
 SHIFTS = tuple(sum(BITS[i + 1 :]) for i in range(LEVELS))
@@ -164,35 +166,71 @@ def leaves(tree: dict[Path, Index], unit: np.ndarray, path: Path = ()) -> np.nda
     return out
 
 
-def leaf_lists(tree: dict[Path, Index], counts: dict[Path, dict[int, int]], candidates: int) -> dict[int, list[int]]:
-    """For each leaf the numbers of the leaves, and of whole hot cells beside it, that its vectors are compared with,
-    itself first."""
-    out = {}
-
-    def around(path: Path, point: tuple[np.ndarray, np.ndarray], without: int) -> list[int]:
-        """Leaves below `path` by their distance from a point, other than those below the cell `without`."""
-        index = tree[path]
-        (a, da), (b, db) = ([x[0] for x in _orders(p[None, :], c)] for p, c in zip(point, (index.first, index.second)))
-        got = []
-        for c in _traversed(a, da, b, db, len(index.second), counts[path], candidates, CELLS, without):
-            got += around((*path, c), point, -1) if (*path, c) in tree else [key((*path, c))]
-        return got
-
-    for path, index in tree.items():
-        for cell, listed in traversals(index, counts[path], candidates).items():
-            if (*path, cell) not in tree:
-                i, j = divmod(cell, len(index.second))
-                own = [key((*path, c)) for c in listed]
-                for level in range(len(path)):
-                    own += around(path[:level], (index.first[i], index.second[j]), path[level])
-                out[key((*path, cell))] = own
-    return out
-
-
-def regions(counts: dict[int, int], lists: dict[int, list[int]], most: int) -> dict[int, int]:
-    """The region of each cell: cells are joined with those they list, the nearest first, up to `most` vectors."""
-    parent = {c: c for c in counts}
-    size = dict(counts)
+@dataclass
+class Cells:
+    """What the cells of an index hold: 0 nothing, 1 vectors, 2 an index of their own."""
+
+    kind: np.ndarray
+    filled: np.ndarray
+
+    @staticmethod
+    def of(tree: dict[Path, Index], counts: dict[Path, dict[int, int]]) -> dict[Path, Cells]:
+        out = {}
+        for path, index in tree.items():
+            kind = np.zeros(len(index.first) * len(index.second), np.int8)
+            kind[[c for c, m in counts[path].items() if m]] = 1
+            kind[[p[-1] for p in tree if len(p) == len(path) + 1 and p[:-1] == path]] = 2
+            out[path] = Cells(kind, np.flatnonzero(kind))
+        return out
+
+
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum(0, (x**2).sum(1)[:, None] - 2 * (x @ c.T) + (c**2).sum(1)[None, :])
+
+
+def probed(tree: dict[Path, Index], cells: dict[Path, Cells], unit: np.ndarray, path: Path = (), home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of vectors, the leaves below `path` that each traverses, and whether this is its home. home: for which of the vectors the
+    first leaf is. A vector's first pairs are among the first of either codebook, so a corner of the grid is enough."""
+    if home is None:
+        home = np.ones(len(unit), bool)
+    index, held, half = tree[path], cells[path], unit.shape[1] // 2
+    d, o = [], []
+    for x, c in ((unit[:, :half], index.first), (unit[:, half:], index.second)):
+        all_ = _distances(x, c)
+        near = np.argpartition(all_, 2 * CELLS - 1, axis=1)[:, : 2 * CELLS] if len(c) > 2 * CELLS else np.tile(np.arange(len(c)), (len(x), 1))
+        d.append(np.take_along_axis(all_, near, 1))
+        o.append(near)
+    cell = (o[0][:, :, None] * len(index.second) + o[1][:, None, :]).reshape(len(unit), -1)
+    far = (d[0][:, :, None] + d[1][:, None, :]).reshape(len(unit), -1)
+    far[held.kind[cell] == 0] = np.inf
+    order = np.argsort(far, axis=1, kind="stable")[:, :CELLS]
+    cell, far = np.take_along_axis(cell, order, 1), np.take_along_axis(far, order, 1)
+    for r in np.flatnonzero(np.isinf(far[:, 0])).tolist():  # all of the corner is empty
+        a, b = (_distances(x[None, :], c)[0] for x, c in ((unit[r, :half], index.first), (unit[r, half:], index.second)))
+        all_ = a[held.filled // len(index.second)] + b[held.filled % len(index.second)]
+        cell[r, 0], far[r, 0] = held.filled[all_.argmin()], all_.min()
+    listed = far <= far[:, :1] * (1 + MARGIN)
+    listed[~home, BESIDE:] = False
+    row, rank = np.nonzero(listed)
+    cell, first = cell[row, rank], home[row] & (rank == 0)
+    hot = held.kind[cell] == 2
+    rows, found, firsts = [row[~hot]], [key(path) + (cell[~hot].astype(np.int64) + 1 << SHIFTS[len(path)])], [first[~hot]]
+    row, cell, first = row[hot], cell[hot], first[hot]
+    by = np.argsort(cell, kind="stable")
+    for at in np.split(by, np.flatnonzero(np.diff(cell[by])) + 1) if len(by) else []:
+        r, f, h = probed(tree, cells, unit[row[at]], (*path, int(cell[at[0]])), first[at])
+        rows.append(row[at][r])
+        found.append(f)
+        firsts.append(h)
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(firsts)
+
+
+def regions(tree: dict[Path, Index], counts: dict[Path, dict[int, int]], candidates: int, most: int) -> dict[int, int]:
+    """The region of each leaf: leaves are joined with those beside them, the nearest first, up to `most` vectors; regions of
+    fewer than `candidates` with the nearest that is less than twice as large as that, else with the nearest."""
+    size = {key((*path, c)): m for path in tree for c, m in counts[path].items() if (*path, c) not in tree}
+    leaf = list(size)
+    parent = {c: c for c in size}
 
     def root(c: int) -> int:
         while parent[c] != c:
@@ -200,14 +238,47 @@ def regions(counts: dict[int, int], lists: dict[int, list[int]], most: int) -> d
             c = parent[c]
         return c
 
-    for rank in range(1, max([len(x) for x in lists.values()], default=1)):
-        for c, listed in lists.items():
+    def join(a: int, b: int) -> None:
+        parent[max(a, b)] = min(a, b)
+        size[min(a, b)] = size[a] + size[b]
+
+    # what lies beside each leaf: cells of its own index, then of those around it; of a cell with an index the leaf nearest to the asking one
+    around = {path: traversals(index, counts[path], candidates, 2 * CELLS) for path, index in tree.items()}
+    beside: dict[int, list[int]] = {}
+    asking: dict[Path, list[tuple[int, int, Path, int]]] = {}
+    for path in tree:
+        for x in counts[path]:
+            if (*path, x) not in tree:
+                c = key((*path, x))
+                listed = [(*p[:-1], y) for p in [(*path, x)[: i + 1] for i in range(len(path), -1, -1)] for y in around[p[:-1]][p[-1]][1:]]
+                beside[c] = [key(y) for y in listed]
+                for place, y in enumerate(listed):
+                    if y in tree:
+                        asking.setdefault(y, []).append((c, place, path, x))
+    for at in sorted(tree, key=len):  # from the outer indexes to the inner
+        asks = asking.get(at, [])
+        index, there = tree[at], np.array(sorted(counts[at]), np.int64)
+        for k in range(0, len(asks) if len(there) else 0, 4096):
+            some = asks[k : k + 4096]
+            ij = [divmod(x, len(tree[path].second)) for _, _, path, x in some]
+            d = _distances(np.stack([tree[path].first[i] for (_, _, path, _), (i, _) in zip(some, ij)]), index.first)[:, there // len(index.second)]
+            d += _distances(np.stack([tree[path].second[j] for (_, _, path, _), (_, j) in zip(some, ij)]), index.second)[:, there % len(index.second)]
+            for (c, place, path, x), y in zip(some, there[d.argmin(1)].tolist()):
+                beside[c][place] = key((*at, y))
+                if (*at, y) in tree:
+                    asking.setdefault((*at, y), []).append((c, place, path, x))
+    for rank in range(max([len(x) for x in beside.values()], default=0)):
+        for c, listed in beside.items():
             if rank < len(listed):
                 a, b = root(c), root(listed[rank])
                 if a != b and size[a] + size[b] <= most:
-                    parent[max(a, b)] = min(a, b)
-                    size[min(a, b)] = size[a] + size[b]
-    return {c: root(c) for c in counts}
+                    join(a, b)
+    for c, listed in beside.items():
+        if size[root(c)] < candidates:
+            others = [b for b in map(root, listed) if b != root(c)]
+            if others:
+                join(root(c), next((b for b in others if size[b] <= 2 * most), others[0]))
+    return {c: root(c) for c in leaf}
 
 
 def nearest_in(queries: np.ndarray, query_ids: np.ndarray, others: np.ndarray, other_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,10 +293,11 @@ def nearest_in(queries: np.ndarray, query_ids: np.ndarray, others: np.ndarray, o
     own /= np.linalg.norm(own, axis=1, keepdims=True)
     keep = min(len(o), k + 1)
     left, right = [], []
-    for at in range(0, len(q), 1024):
-        s = q[at : at + 1024] @ o.T
+    step = max(16, min(1024, 2**24 // len(o)))
+    for at in range(0, len(q), step):
+        s = q[at : at + step] @ o.T
         floor = np.partition(s, len(o) - keep, axis=1)[:, len(o) - keep] - 2e-6  # all that may tie with the last
-        row, col = np.nonzero(s >= floor[:, None])
+        row, col = np.divmod(np.flatnonzero(s >= floor[:, None]), len(o))
         other = query_ids[at + row] != other_ids[col]
         row, col = row[other], col[other]
         sim = np.round(np.einsum("ij,ij->i", own[at + row], exact[col]), 6)
@@ -239,18 +311,38 @@ def nearest_in(queries: np.ndarray, query_ids: np.ndarray, others: np.ndarray, o
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _packed(x: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """Vectors as bytes: two bytes a value where that loses nothing, else four."""
-    with np.errstate(over="ignore"):
+def _packed(x: np.ndarray) -> pa.Array:
+    """Vectors as bytes, none of which lose anything: if the values are whole multiples of a power of two, about one byte a value (a
+    byte for the power, the values, then place and value of those beyond a byte), else two if that is enough, else four."""
+    with np.errstate(over="ignore", invalid="ignore"):
         half = x.astype(np.float16)
-    same = (half.astype(np.float32) == x).all(1)
-    return pa.array([h.tobytes() if s else f.tobytes() for h, f, s in zip(half, x, same)], pa.binary()), same
+        power = next((p for p in range(16) if len(x) and (x[0] * 2.0**p == np.rint(x[0] * 2.0**p)).all()), 0)
+        whole = x * np.float32(2.0**power)
+        small = (whole == np.rint(whole)).all(1) & (np.abs(whole) < 2**15).all(1)
+    whole = np.where(small[:, None], whole, 0).astype(np.int16)
+    row, place = np.nonzero((whole > 127) | (whole < -128))
+    beyond = np.stack([place.astype(np.int16), whole[row, place]], axis=1)
+    ends = np.cumsum(np.bincount(row, minlength=len(x)))
+    head = bytes([power])
+    out = []
+    for i, (s, f) in enumerate(zip(small & (np.diff(ends, prepend=0) < DIMENSIONS // 4), (half.astype(np.float32) == x).all(1))):
+        if s:
+            out.append(head + whole[i].astype(np.int8).tobytes() + beyond[ends[i - 1] if i else 0 : ends[i]].tobytes())
+        else:
+            out.append(half[i].tobytes() if f else x[i].astype(np.float32).tobytes())
+    return pa.array(out, pa.binary())
 
 
 def _unpacked(column: pa.Array) -> np.ndarray:
     out = np.empty((len(column), DIMENSIONS), np.float32)
     for i, b in enumerate(column.to_pylist()):
-        out[i] = np.frombuffer(b, np.float16 if len(b) == 2 * DIMENSIONS else np.float32)
+        if len(b) % 2:
+            out[i] = np.frombuffer(b, np.int8, DIMENSIONS, 1)
+            beyond = np.frombuffer(b[1 + DIMENSIONS :], np.int16).reshape(-1, 2)
+            out[i, beyond[:, 0]] = beyond[:, 1]
+            out[i] *= np.float32(2.0 ** -b[0])
+        else:
+            out[i] = np.frombuffer(b, np.float16 if len(b) == 2 * DIMENSIONS else np.float32)
     return out
 
 
@@ -270,7 +362,7 @@ def _indexed(rows: DataFrame, tree: dict[Path, Index], counts: dict[Path, dict[i
             cell = leaves(tree, _unit(x)) if tree else np.zeros(len(x), np.int64)
             share = np.array([shares.get(c, (0, 0))[0] for c in cell.tolist()], np.uint64)
             keep = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)) < share
-            yield pa.RecordBatch.from_arrays([pa.array(cell[keep]), pa.array(ids[keep], pa.int64()), _packed(x[keep])[0]], ["cell", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell[keep]), pa.array(ids[keep], pa.int64()), _packed(x[keep])], ["cell", "id", "v"])
 
     def fit(rows: pa.Table) -> pa.Table:
         cell, half = rows.column("cell")[0].as_py(), DIMENSIONS // 2
@@ -320,64 +412,56 @@ def _search(rows: DataFrame, n: int, k: int, candidates: int) -> DataFrame:
     while open_:
         _indexed(rows, tree, counts, open_)
         open_ = {(*p, c): m for p in open_ if len(p) + 1 < LEVELS for c, m in counts[p].items() if m > HOT}
-    lists = leaf_lists(tree, counts, candidates)
-    held = {key((*path, c)): m for path in tree for c, m in counts[path].items() if (*path, c) not in tree}
-    own = regions(held, {c: [y for y in x if y in held] for c, x in lists.items()}, min(REGION, max(2000, n // 12)))
-    tasks: dict[tuple[int, int], int] = {}  # a region, or a share of a leaf too large for one
-    shares = {c: -(-m // HOT) for c, m in held.items()}
-    for c in held:
-        for i in range(shares[c]):
-            tasks.setdefault((own[c], i) if shares[c] == 1 else (-c, i), len(tasks))
+    cells = Cells.of(tree, counts)
+    own = regions(tree, counts, candidates, min(REGION, max(2000, n // 12)))
+    size: dict[int, int] = {}
+    for path in tree:
+        for c, m in counts[path].items():
+            if (*path, c) not in tree:
+                size[own[key((*path, c))]] = size.get(own[key((*path, c))], 0) + m
+    tasks: dict[tuple[int, int], int] = {}  # a region, or a share of one too large for one task
+    shares = {r: -(-m // HOT) for r, m in size.items()}
+    for r in shares:
+        for i in range(shares[r]):
+            tasks[r, i] = len(tasks)
     parts = min(20_000, len(tasks))
     label = _places(rows.sparkSession, parts)
-    at_task = lambda c: [tasks[own[c], 0] if shares[c] == 1 else tasks[-c, i] for i in range(shares[c])]
-    members: dict[int, set[int]] = {}
-    for c, listed in lists.items():
-        for y in listed:
-            members.setdefault(y, set()).update(at_task(c))
-    asks = {c: (at_task(c)[0], shares[c]) for c in held}
-    plan = rows.sparkSession.sparkContext.broadcast((tree, asks, members, lists, label))
+    leaf = np.array(sorted(own), np.int64)
+    share = np.array([shares[own[c]] for c in leaf.tolist()], np.int64)
+    start = np.array([tasks[own[c], 0] for c in leaf.tolist()], np.int64)
+    plan = rows.sparkSession.sparkContext.broadcast((tree, cells, leaf, share, start, np.array(label, np.int64)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, _, members, _, label = plan.value
+        tree, cells, leaf, share, start, label = plan.value
         for b in batches:
             at, x = _matrix(b.column(1))
-            ids = b.column(0).to_numpy()[at]
-            c = leaves(tree, _unit(x))
-            to = {y: sorted(set().union(*[members.get(y >> z << z, ()) for z in SHIFTS])) for y in set(c.tolist())}
-            targets = [to[y] for y in c.tolist()]
-            reps = np.repeat(np.arange(len(c)), [len(t) for t in targets])
-            tasks = np.array([t for ts in targets for t in ts], np.int64)
-            vectors, _ = _packed(x)
+            ids = b.column(0).to_numpy()[at].astype(np.int64)
+            row, found, home = probed(tree, cells, _unit(x))
+            place = np.searchsorted(leaf, found)
+            n = share[place]  # what a region of several tasks is sent goes to each of these; a vector is at home in one
+            row, home, first, n_ = np.repeat(row, n), np.repeat(home, n), np.repeat(start[place], n), np.repeat(n, n)
+            i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            home &= ids[row] % n_ == i
+            order = np.lexsort((~home, first + i, row))
+            row, task, home = row[order], (first + i)[order], home[order]
+            once = np.append(True, (row[1:] != row[:-1]) | (task[1:] != task[:-1]))[: len(row)]
+            row, task, home = row[once], task[once], home[once]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(label, np.int64)[tasks % len(label)]), pa.array(tasks), pa.array(c[reps]), pa.array(ids[reps], pa.int64()), vectors.take(pa.array(reps))],
-                ["part", "task", "cell", "id", "v"],
+                [pa.array(label[task % len(label)]), pa.array(task), pa.array(home), pa.array(ids[row]), _packed(x).take(pa.array(row))],
+                ["part", "task", "home", "id", "v"],
             )
 
     def compare(rows: pa.Table) -> pa.Table:
-        _, asks, _, lists, _ = plan.value
-        task = rows.column("task")[0].as_py()
-        cell = rows.column("cell").to_numpy()
+        home = rows.column("home").to_numpy()
         ids = rows.column("id").to_numpy()
-        order = np.lexsort((ids, cell))
-        cell, ids = cell[order], ids[order]
-        once = np.append(True, (cell[1:] != cell[:-1]) | (ids[1:] != ids[:-1]))  # equal rows
-        order, cell, ids = order[once], cell[once], ids[once]
+        order = np.lexsort((~home, ids))
+        order = order[np.append(True, np.diff(ids[order]) != 0)]  # equal rows once
+        home, ids = home[order], ids[order]
         x = _unpacked(rows.column("v").combine_chunks().take(pa.array(order)))
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for c in np.unique(cell).tolist():
-            first, share = asks[c]
-            if first <= task < first + share:
-                mine = np.arange(*np.searchsorted(cell, [c, c + 1]))
-                mine = mine[ids[mine] % share == task - first]
-                at = np.concatenate([np.arange(*np.searchsorted(cell, [y, end(y)])) for y in lists[c]])
-                if len(mine):
-                    a, b = nearest_in(x[mine], ids[mine], x[at], ids[at], k)
-                    left.append(a)
-                    right.append(b)
-        return pa.table([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["passage_id_a", "passage_id_b"])
-
-    routed = rows.mapInArrow(route, "part long, task long, cell long, id long, v binary")
+        a, b = nearest_in(x[home], ids[home], x, ids, k) if home.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.table([pa.array(a), pa.array(b)], ["passage_id_a", "passage_id_b"])
+
+    routed = rows.mapInArrow(route, "part long, task long, home boolean, id long, v binary")
     return routed.repartition(parts, "part").groupBy("part", "task").applyInArrow(compare, "passage_id_a long, passage_id_b long")
 
 

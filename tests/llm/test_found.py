@@ -135,6 +135,28 @@ def test_p2_leaves_too_large_for_one_task(spark, monkeypatch):
     assert len(got & want) >= 0.95 * max(len(want), len(got))
 
 
+def test_p2_neighbours_across_borders_of_crowded_cells(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    families = rng.normal(size=384) * 0.5 + 0.7 * rng.normal(size=(333, 384))  # many more than the codebooks can tell apart
+    x = (families[rng.integers(len(families), size=5000)] + 0.25 * rng.normal(size=(5000, 384))).astype(np.float32)
+    for name, value in {"HOT": 400, "REGION": 300, "CENTROIDS": 8, "INNER_CENTROIDS": 6, "SAMPLE": 300, "INNER_SAMPLE": 100}.items():
+        monkeypatch.setattr(p2, name, value)
+    got = {tuple(r) for r in p2.most_similar(vectors(spark, [(i, p2.MODEL, v.tolist()) for i, v in enumerate(x)]), candidates=12).collect()}
+    want = brute_pairs(np.arange(len(x)), x)
+    assert len(got & want) >= 0.95 * max(len(want), len(got))
+
+
+def test_p2_packed_vectors_lose_nothing():
+    rng = np.random.default_rng(0)
+    whole = np.round(rng.normal(size=(20, 384)) * 60) / 1024
+    whole[3, :5] = [30, -31, 0, 127 / 1024, -129 / 1024]
+    whole[4] *= 40  # most values beyond a byte
+    for x in (whole, rng.normal(size=(20, 384)), rng.normal(size=(20, 384)).astype(np.float16), np.full((2, 384), 1e30), np.concatenate([whole[:2], rng.normal(size=(2, 384))])):
+        x = x.astype(np.float32)
+        assert (p2._unpacked(p2._packed(x)) == x).all()
+    assert len(p2._packed(whole[:1].astype(np.float32))[0].as_py()) < 500
+
+
 def test_p2_numbers_of_leaves():
     for path in ((0,), (65535,), (3, 1023), (7, 0, 5), (1, 2, 3, 4, 1023)):
         assert p2.path_of(p2.key(path)) == path and p2.key(path) < 2**63
