@@ -168,14 +168,20 @@ def wide_pivot(read) -> DataFrame:
     FROM d CROSS JOIN questions q LEFT JOIN best b ON d.document_id = b.document_id AND q.qid = b.question_id
 """)
 def long_dataset(read) -> DataFrame:
-    """Every document with every question, its topic and the four fields of the best answer: the long form of the data set."""
-    rows = _attempts(read, "document_id", "question_id", *FIELDS)
+    """Every document with every question, its topic and the four fields of the best answer: the long form of the data set.
+
+    The best answers meet their document as one map, and the questions (a codebook, of fixed size) are unfolded last, as rows
+    leave: nothing is shuffled or sorted by document and question but the answers themselves. Copies of an attempt need not
+    be dropped, for the best one stays the same."""
+    book = read("questions").select(F.col("qid").alias("question_id"), "topic")
+    rows = read("attempts").select("attempt_id", "document_id", "question_id", *FIELDS).join(F.broadcast(book), "question_id", "left_semi")
     best = A.best_answers(rows, ["document_id", "question_id"], ["attempt_id"])
+    item = F.struct(*[A.with_defaults(F.col(f), d).alias(f) for f, d in FIELDS.items()], F.col("attempt_id").isNotNull().alias("coded"))
+    coded = best.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("question_id", item))).alias("_all"))
     docs = read("documents").groupBy("document_id").agg(F.min("district").alias("district"))
-    book = F.broadcast(read("questions").select(F.col("qid").alias("question_id"), "topic"))  # the codebook has a fixed size
-    grid = A.template(docs, _book(read)).join(docs, "document_id").join(book, "question_id")
-    full = grid.join(best, ["document_id", "question_id"], "left")
-    return full.select("document_id", "district", "question_id", "topic", *[A.with_defaults(F.col(f), d).alias(f) for f, d in FIELDS.items()], F.col("attempt_id").isNotNull().alias("coded"))
+    full = docs.join(coded.hint("merge"), "document_id", "left").crossJoin(F.broadcast(book))  # only the codebook is broadcast, whatever the sizes are taken for
+    one = F.col("_all")[F.col("question_id")]
+    return full.select("document_id", "district", "question_id", "topic", *[F.coalesce(one[f], F.lit(d)).alias(f) for f, d in FIELDS.items()], F.coalesce(one["coded"], F.lit(False)).alias("coded"))
 
 
 @query(f"""
